@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Arrow batches are cut at this many bytes, so that a batch of very long texts fits a Python worker.
@@ -73,19 +72,22 @@ def text_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
+#: Stands for a null doc_id where rows are matched.
+NO_DOC = -(1 << 63)
+
+
 def keep_rows(docs: DataFrame, keys: DataFrame, how: str, one_each: bool = False) -> DataFrame:
     """Rows of docs, all columns as they are, whose (doc_id, text_key) is in keys (how="left_semi") or not ("left_anti").
 
-    one_each keeps a single row of those that agree in doc_id and text. Null doc_ids compare as equal.
+    one_each keeps a single row of those that agree in doc_id and text. Null doc_ids compare as equal. The columns
+    travel inside one struct, so none can clash with what is added here.
     """
-    from pyspark.sql import Window
-
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    row = row.withColumn("k_id", F.col("row.doc_id").cast("long")).withColumn(
+    row = row.withColumn("k_id", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(NO_DOC))).withColumn(
         "k_text", F.xxhash64(F.coalesce(F.col("row.text"), F.lit("")))
     )
-    right = keys.select(F.col("doc_id").alias("r_id"), F.col("text_key").alias("r_text"))
-    out = row.join(right, F.col("k_id").eqNullSafe(F.col("r_id")) & (F.col("k_text") == F.col("r_text")), how)
+    right = keys.select(F.coalesce("doc_id", F.lit(NO_DOC)).alias("r_id"), F.col("text_key").alias("r_text"))
+    out = row.join(right, (F.col("k_id") == F.col("r_id")) & (F.col("k_text") == F.col("r_text")), how)
     if one_each:
         w = Window.partitionBy("k_id", "k_text").orderBy(F.lit(1))
         out = out.withColumn("rn", F.row_number().over(w)).filter("rn = 1")
@@ -96,5 +98,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def columns_of(names: Iterable[str]) -> list[Column]:
-    return [F.col(c) for c in names]

@@ -5,8 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, simhash
+from . import decontaminate, exact_dedup, licenses, packing, quality, simhash, toxicity
 from .common import table
+from .sampling import fold_of
+
+
+def tokenizer_path() -> str:
+    """The vocabulary file that packing and token counts use here."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def _judged(found: DataFrame, held_out) -> DataFrame:
+    return found.select(
+        "doc_id",
+        F.coalesce(held_out, F.lit(False)).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+    )
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), fold_of(F.col("doc_id"), 5) == 0
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return _judged(quality.score(docs, model), held_out)
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,9 +41,43 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("text_key")
 
 
-QUERIES = {"op3_simhash_near_dedup": op3_simhash_near_dedup, "op4_exact_dedup": op4_exact_dedup}
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
+
+
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), fold_of(F.col("doc_id"), 4) == 2
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return _judged(toxicity.score(docs, model), held_out)
+
+
+QUERIES = {
+    "op2_quality_classifier": op2_quality_classifier,
+    "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_license_scans": op9_license_scans,
+    "op10_toxicity": op10_toxicity,
+}
 
 WHITE_SQL = r"[\x20\x09-\x0D]"
+WORD_SQL = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _values(rows: list[tuple]) -> str:
+    say = lambda v: f"'{v}'" if isinstance(v, str) else str(v).lower()
+    return ", ".join(f"({', '.join(map(say, r))})" for r in rows)
+
 
 SQL = {
     "op4_exact_dedup": rf"""
@@ -35,4 +92,48 @@ SQL = {
                sha256(body) as text_sha256
         from t
     """,
+    "op8_benchmark_decontamination": rf"""
+        with a as (select doc_id as id, regexp_extract_all(lower(coalesce(text, '')), '{WORD_SQL}') as w from documents),
+        b as (select item_id as id, regexp_extract_all(lower(coalesce(text, '')), '{WORD_SQL}') as w from benchmark),
+        da as (select distinct id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: list_slice(w, i, i + 4)) when len(w) > 0 then [w] else [] end) as s from a),
+        db as (select distinct id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: list_slice(w, i, i + 4)) when len(w) > 0 then [w] else [] end) as s from b),
+        n as (select id, count(*) as n from db group by id)
+        select da.id as doc_id, db.id as item_id, n.n as n_shingles, count(*) as n_shared, count(*) / n.n as containment
+        from db join n on db.id = n.id join da on da.s = db.s
+        group by da.id, db.id, n.n
+        having count(*) / n.n >= 0.8
+    """,
+    "op9_license_scans": rf"""
+        with t(template, label, base, k, q, gram, n_grams) as (values {_values(licenses.template_grams(licenses.PHRASES, licenses.NOTICES))}),
+        w as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '{WORD_SQL}') as w from documents),
+        g as (
+            select doc_id, 2 as k, i - 1 as p, array_to_string(list_slice(w, i, i + 1), ' ') as gram
+            from (select doc_id, w, unnest(range(1, len(w))) as i from w)
+            union all
+            select doc_id, 3 as k, i - 1 as p, array_to_string(list_slice(w, i, i + 2), ' ') as gram
+            from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from w)
+        ),
+        v as (
+            select doc_id, template, label, base, n_grams, p - q as diagonal, count(*) as votes, min(p) as first
+            from g join t on g.k = t.k and g.gram = t.gram group by all
+        ),
+        s as (
+            select *, sum(case when n_grams = 1 or coalesce(diagonal - before > {licenses.SLACK}, true) then 1 else 0 end)
+                      over (partition by doc_id, template order by diagonal) as span
+            from (select *, lag(diagonal) over (partition by doc_id, template order by diagonal) as before from v)
+        ),
+        u as (
+            select doc_id, template, label, base, span, min(first) as first, least(1.0::double, sum(votes)::double / n_grams) as share
+            from s group by doc_id, template, label, base, n_grams, span
+        ),
+        d as (
+            select doc_id, count(*) filter (base) as n_base, min(first) filter (base) as first_word, max(first) filter (base) as last_word,
+                   string_agg(distinct label, ',' order by label) filter (base) as base_labels,
+                   string_agg(distinct label, ',' order by label) filter (share >= {licenses.COVERAGE}) as labels, max(share) as score
+            from u group by doc_id
+        )
+        select w.doc_id, len(w.w)::bigint as n_words, coalesce(n_base, 0) as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
+               coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0.0::double) as score
+        from w left join d on w.doc_id = d.doc_id
+    """,
 }
