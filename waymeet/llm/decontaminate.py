@@ -71,8 +71,8 @@ def contained_items(docs: DataFrame, items: DataFrame, *, width: int = WIDTH, th
 
     pairs = found.groupBy("doc_id", "text_key").agg(F.collect_set("passage").alias("wanted"))
     pairs = pairs.select(F.col("doc_id").alias("c_id"), F.col("text_key").alias("c_key"), "wanted")
-    held = hashed.join(_bounded(pairs), F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("text_key") == F.col("c_key")))
-    held = held.select("doc_id", "text_key", "words", "wanted", F.posexplode_outer("shingles").alias("at", "hash"))
+    held = texts.join(_bounded(pairs), F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("text_key") == F.col("c_key")))
+    held = _with_shingles(held, "text", width).select("doc_id", "text_key", "words", "wanted", F.posexplode_outer("shingles").alias("at", "hash"))
     right = own.select("item_id", F.col("passage").alias("p"), F.col("hash").alias("p_hash"), "shingle", "n")
     same = (F.col("hash") == F.col("p_hash")) & F.array_contains("wanted", F.col("p")) & (gram_at(F.col("words"), F.col("at"), width) == F.col("shingle"))
     shared = held.join(_bounded(right), same).select("doc_id", "text_key", "item_id", "p", "n", "shingle").distinct()
