@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, licenses, packing, quality, simhash, toxicity
-from .common import table
+from . import decontaminate, exact_dedup, licenses, packing, quality, simhash, token_counts, toxicity, url_filter, warc
+from .common import scratch_path, table
 from .sampling import fold_of
 
 
+#: (host, path, verdict) of the rules that op6 applies (fixed values).
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
 def tokenizer_path() -> str:
     """The vocabulary file that packing and token counts use here."""
     import public_tokenizers
@@ -26,6 +30,10 @@ def _judged(found: DataFrame, held_out) -> DataFrame:
     )
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.suffix_sums(token_counts.histogram(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), fold_of(F.col("doc_id"), 5) == 0
     model = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
@@ -46,6 +54,17 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge(table(spark, sf_dir, "pages"), rules)
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder, with_payload=False).drop("url", "payload")
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
 
@@ -61,10 +80,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_url_filters": op6_url_filters,
+    "op7_warc": op7_warc,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_license_scans": op9_license_scans,
     "op10_toxicity": op10_toxicity,
@@ -92,6 +114,29 @@ SQL = {
                sha256(body) as text_sha256
         from t
     """,
+    "op6_url_filters": f"""
+        with r(host, path, verdict) as (values {_values(URL_RULES)}),
+        p as (
+            select row_number() over () as row_no, page_id,
+                   translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+                   regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') as path
+            from pages
+        )
+        select page_id, p.host, p.path, r.host || r.path as rule, coalesce(r.verdict, 'allow') as verdict
+        from p left join r on (p.host = r.host or ends_with(p.host, '.' || r.host)) and starts_with(p.path, r.path)
+        qualify row_number() over (partition by row_no order by length(r.host || r.path) desc nulls last, length(r.host) desc, r.verdict desc) = 1
+    """,
+    "op7_warc": """
+        with d as (select page_id, encode(coalesce(html, '')) as body, sha1(encode(coalesce(html, ''))) as hex from pages),
+        m as (select *, max(page_id) over (partition by hex) as last from d)
+        select page_id, octet_length(body)::bigint as payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((
+                   ((instr('0123456789abcdef', substr(hex, 1 + (5 * i) // 4, 1)) - 1) * 16 + greatest(instr('0123456789abcdef', substr(hex, 2 + (5 * i) // 4, 1)) - 1, 0))
+                   >> (3 - (5 * i) % 4)::int) & 31)::int, 1)), '') as payload_digest,
+               case when page_id < last then 'revisit' else 'response' end as record_type,
+               case when page_id < last then last end as refers_to
+        from m
+    """,
     "op8_benchmark_decontamination": rf"""
         with a as (select doc_id as id, regexp_extract_all(lower(coalesce(text, '')), '{WORD_SQL}') as w from documents),
         b as (select item_id as id, regexp_extract_all(lower(coalesce(text, '')), '{WORD_SQL}') as w from benchmark),
