@@ -1,0 +1,79 @@
+"""Image boxes as columns: areas, overlaps and their variants."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+Box = tuple[Column, Column, Column, Column]  # x1, y1, x2, y2
+
+
+def from_center(x: Column, y: Column, w: Column, h: Column) -> Box:
+    return x - w / 2, y - h / 2, x + w / 2, y + h / 2
+
+
+def to_center(b: Box) -> Box:
+    return (b[0] + b[2]) / 2, (b[1] + b[3]) / 2, b[2] - b[0], b[3] - b[1]
+
+
+def rescale(b: Box, gain: float, pad: tuple[float, float], size: tuple[int, int]) -> Box:
+    """Boxes of a padded image back in the original of (width, height) size, cut at its border."""
+    cut = lambda v, top: F.least(F.lit(float(top)), F.greatest(F.lit(0.0), v))
+    return (
+        cut((b[0] - pad[0]) / gain, size[0]),
+        cut((b[1] - pad[1]) / gain, size[1]),
+        cut((b[2] - pad[0]) / gain, size[0]),
+        cut((b[3] - pad[1]) / gain, size[1]),
+    )
+
+
+def area(b: Box) -> Column:
+    return (b[2] - b[0]) * (b[3] - b[1])
+
+
+def intersection(a: Box, b: Box) -> Column:
+    side = lambda i: F.greatest(F.lit(0.0), F.least(a[i + 2], b[i + 2]) - F.greatest(a[i], b[i]))
+    return side(0) * side(1)
+
+
+def iou(a: Box, b: Box) -> Column:
+    inter = intersection(a, b)
+    union = area(a) + area(b) - inter
+    return F.when(union > 0, inter / union).otherwise(0.0)
+
+
+def over_second(a: Box, b: Box, eps: float = 1e-16) -> Column:
+    """Intersection over the second box's area."""
+    return intersection(a, b) / (area(b) + eps)
+
+
+def size_iou(w1: Column, h1: Column, w2: Column, h2: Column) -> Column:
+    """IoU of two sizes with a common corner."""
+    inter = F.least(w1, w2) * F.least(h1, h2)
+    return inter / (w1 * h1 + w2 * h2 - inter)
+
+
+def _hull(a: Box, b: Box) -> tuple[Column, Column]:
+    return F.greatest(a[2], b[2]) - F.least(a[0], b[0]), F.greatest(a[3], b[3]) - F.least(a[1], b[1])
+
+
+def giou(a: Box, b: Box) -> Column:
+    w, h = _hull(a, b)
+    inter = intersection(a, b)
+    union = area(a) + area(b) - inter
+    return inter / union - (w * h - union) / (w * h)
+
+
+def diou(a: Box, b: Box) -> Column:
+    w, h = _hull(a, b)
+    dx, dy = (a[0] + a[2] - b[0] - b[2]) / 2, (a[1] + a[3] - b[1] - b[3]) / 2
+    return iou(a, b) - (dx * dx + dy * dy) / (w * w + h * h)
+
+
+def ciou(a: Box, b: Box) -> Column:
+    d = F.atan((b[2] - b[0]) / (b[3] - b[1])) - F.atan((a[2] - a[0]) / (a[3] - a[1]))
+    v = F.lit(4 / math.pi**2) * d * d
+    both = iou(a, b)
+    return diou(a, b) - F.when(v > 0, v * v / (v - both + 1)).otherwise(0.0)
