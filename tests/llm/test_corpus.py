@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from waymeet.llm import decontaminate, exact_dedup, licenses, packing, quality, simhash, token_counts, toxicity, url_filter, warc
 from waymeet.llm.queries import QUERIES, SQL, tokenizer_path
+from waymeet.llm.words import words_of
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, `row` string, rn int"
 WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -317,6 +318,15 @@ def test_license_scan_counts_places(spark, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_only_ascii_capitals_are_lowered(spark):
+    texts = ["CC BY \u0130K \u212aB", "\u212a \u212aEY", "\u00c9T\u00c9 A\u00c9"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = [r[0] for r in df.orderBy("doc_id").select(words_of(F.col("text"))).collect()]
+    assert got == [["cc", "by", "\u0130k", "\u212ab"], ["\u212a", "\u212aey"], ["\u00c9t\u00c9", "a\u00c9"]]
+    rows = licenses.scan(df, phrases=[("k", "k key")]).collect()
+    assert all(r["n_base"] == 0 for r in rows)
+
+
 def test_license_span_with_an_inserted_word(spark):
     text = "permission is hereby granted free of any charge to any person obtaining a copy of this software and associated documentation files"
     row = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()

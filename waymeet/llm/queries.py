@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import decontaminate, exact_dedup, licenses, packing, quality, simhash, token_counts, toxicity, url_filter, warc
 from .common import scratch_path, table
 from .sampling import fold_of
+from .words import CAPITALS, SMALL
 
 
 #: (host, path, verdict) of the rules that op6 applies (fixed values).
@@ -118,7 +119,7 @@ SQL = {
         with r(host, path, verdict) as (values {_values(URL_RULES)}),
         p as (
             select row_number() over () as row_no, page_id,
-                   translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+                   translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), '{CAPITALS}', '{SMALL}') as host,
                    regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') as path
             from pages
         )
@@ -138,8 +139,8 @@ SQL = {
         from m
     """,
     "op8_benchmark_decontamination": rf"""
-        with a as (select doc_id as id, regexp_extract_all(lower(coalesce(text, '')), '{WORD_SQL}') as w from documents),
-        b as (select item_id as id, regexp_extract_all(lower(coalesce(text, '')), '{WORD_SQL}') as w from benchmark),
+        with a as (select doc_id as id, regexp_extract_all(translate(coalesce(text, ''), '{CAPITALS}', '{SMALL}'), '{WORD_SQL}') as w from documents),
+        b as (select item_id as id, regexp_extract_all(translate(coalesce(text, ''), '{CAPITALS}', '{SMALL}'), '{WORD_SQL}') as w from benchmark),
         da as (select distinct id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: list_slice(w, i, i + 4)) when len(w) > 0 then [w] else [] end) as s from a),
         db as (select distinct id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: list_slice(w, i, i + 4)) when len(w) > 0 then [w] else [] end) as s from b),
         n as (select id, count(*) as n from db group by id)
@@ -150,7 +151,7 @@ SQL = {
     """,
     "op9_license_scans": rf"""
         with t(template, label, base, k, q, gram, n_grams) as (values {_values(licenses.template_grams(licenses.PHRASES, licenses.NOTICES))}),
-        w as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '{WORD_SQL}') as w from documents),
+        w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{CAPITALS}', '{SMALL}'), '{WORD_SQL}') as w from documents),
         g as (
             select doc_id, 2 as k, i - 1 as p, array_to_string(list_slice(w, i, i + 1), ' ') as gram
             from (select doc_id, w, unnest(range(1, len(w))) as i from w)

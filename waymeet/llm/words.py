@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 #: Between words: all ASCII but digits and lower-case letters (the text is lower-cased first). A fixed value.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words_of(text: Column) -> Column:
-    """The words of a text, lower-cased; an empty array for null or no words."""
-    found = F.split(F.lower(F.coalesce(text, F.lit(""))), BETWEEN)
+    """The words of a text, A-Z lower-cased and other letters as they are; an empty array for null or no words."""
+    found = F.split(F.translate(F.coalesce(text, F.lit("")), CAPITALS, SMALL), BETWEEN)
     return F.filter(found, lambda w: w != "")
 
 
