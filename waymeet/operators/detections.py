@@ -88,3 +88,36 @@ def class_weights(truth: DataFrame) -> DataFrame:
     """Inverse frequencies of classes that sum to one."""
     n = truth.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
     return n.withColumn("weight", (1 / F.col("n")) / F.sum(1 / F.col("n")).over(Window.partitionBy()))
+
+
+def anchor_recall(sizes: DataFrame, anchors: list[tuple[float, float]], threshold: float = 4.0) -> DataFrame:
+    """How well anchors fit boxes (w, h): the share that some anchor fits within a factor of threshold, and anchors above it per box."""
+    ratio = lambda a: F.least(*(F.least(F.col(c) / v, F.lit(v) / F.col(c)) for c, v in zip("wh", a, strict=True)))
+    fits = F.array(*(ratio(tuple(map(float, a))) for a in anchors))
+    rows = sizes.select(F.array_max(fits).alias("best"), F.size(F.filter(fits, lambda r: r > 1 / threshold)).alias("above"))
+    return rows.agg(F.avg((F.col("best") > 1 / threshold).cast("double")).alias("recall"), F.avg("above").alias("anchors_above"), F.count(F.lit(1)).alias("boxes"))
+
+
+def fit_anchors(sizes: DataFrame, k: int = 9, seed: int = 1) -> list[tuple[float, float]]:
+    """k anchors, by area, as the centres of box sizes (w, h); k numbers are all that reaches the driver."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = VectorAssembler(inputCols=["w", "h"], outputCol="features", handleInvalid="skip").transform(sizes.select(F.col("w").cast("double"), F.col("h").cast("double")))
+    centres = KMeans(k=k, seed=seed, maxIter=30).fit(rows).clusterCenters()
+    return sorted(((float(w), float(h)) for w, h in centres), key=lambda a: a[0] * a[1])
+
+
+def check_labels(rows: DataFrame, columns: int = 15, bounded: tuple[int, int] = (1, 7)) -> DataFrame:
+    """Per label file (path, text: one object a line, numbers between spaces): n objects, and found, missing, empty or corrupt.
+
+    Corrupt are files with a line of another length, with what is no number, a negative one, one above 1 in the bounded
+    columns, or a line twice. A null text is a missing file.
+    """
+    lines = F.filter(F.split(F.trim("text"), r"\r?\n"), lambda s: F.trim(s) != "")
+    values = F.transform(lines, lambda s: F.transform(F.split(F.trim(s), r"\s+"), lambda v: v.try_cast("double")))
+    bad = lambda r: (F.size(r) != columns) | F.exists(r, lambda v: v.isNull() | (v < 0)) | F.exists(F.slice(r, bounded[0] + 1, bounded[1] - bounded[0]), lambda v: v > 1)
+    out = rows.select("path", "text", values.alias("v")).withColumn("n", F.size("v"))
+    corrupt = F.exists("v", bad) | (F.size(F.array_distinct("v")) != F.col("n"))
+    state = F.when(F.col("text").isNull(), "missing").when(F.col("n") == 0, "empty").when(corrupt, "corrupt").otherwise("found")
+    return out.select("path", F.when(F.col("text").isNull(), 0).otherwise(F.col("n")).alias("n"), state.alias("state"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes as box_functions
 from ..functions import camera, geometry
-from ..operators import anomaly, clustering, conflicts, detections, interactions, matching, tracks
+from ..operators import anomaly, clustering, conflicts, detections, interactions, matching, shapes, tracks
 from ..operators.conflicts import ConflictFilter
 from ..schemas import FRAME_US, OBJECT_CLASSES
 from . import views
@@ -825,3 +825,191 @@ def iou_family(spark, sf):
 @query("class_weights", f"with {views.BOXES_SQL}, n as (select cls, count(*) as n from boxes group by 1) select cls, n, round((1 / n) / sum(1 / n) over (), 6) as weight from n")
 def class_weights(spark, sf):
     return r6(detections.class_weights(views.boxes(spark, sf)), "weight")
+
+
+@query(
+    "box_candidates",
+    f"""with {views.BOXES_SQL}, c as (select *, least(x2, 450) - x1 as w, least(y2, 380) - y1 as h from boxes)
+    select det_id, w > 2 and h > 2 and w * h / ((x2 - x1) * (y2 - y1) + 1e-16) > 0.1 and greatest(w / (h + 1e-16), h / (w + 1e-16)) < 20 as usable from c""",
+)
+def box_candidates(spark, sf):
+    before = tuple(F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    after = (before[0], before[1], F.least(before[2], F.lit(450.0)), F.least(before[3], F.lit(380.0)))
+    return views.boxes(spark, sf).select("det_id", box_functions.still_usable(before, after).alias("usable"))
+
+
+@query(
+    "letterbox_sizes",
+    f"""with {views.BOXES_SQL}, g as (select det_id, x2 + 100 as w, y2 + 50 as h, least(640 / (x2 + 100), 640 / (y2 + 50)) as gain from boxes)
+    select det_id, round(gain, 6) as gain, ((640 - round_even(w * gain, 0)::int) % 32) / 2 as pad_x, ((640 - round_even(h * gain, 0)::int) % 32) / 2 as pad_y from g""",
+)
+def letterbox_sizes(spark, sf):
+    sized = box_functions.letterbox(F.col("x2") + 100, F.col("y2") + 50)
+    return r6(views.boxes(spark, sf).select("det_id", *(c.alias(n) for n, c in sized.items())), "gain")
+
+
+_ANCHORS = [(30, 60), (50, 50), (10, 13), (64, 80)]
+
+
+@query(
+    "anchor_recall",
+    f"""with {views.BOXES_SQL}, r as (select [{', '.join(f'least((x2 - x1) / {w}, {w} / (x2 - x1), (y2 - y1) / {h}, {h} / (y2 - y1))' for w, h in _ANCHORS)}] as r from boxes)
+    select round(avg((list_max(r) > 1 / 1.3)::int), 6) as recall, round(avg(len(list_filter(r, lambda v: v > 1 / 1.3))), 6) as anchors_above, count(*) as boxes from r""",
+)
+def anchor_recall(spark, sf):
+    sizes = views.boxes(spark, sf).select((F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h"))
+    return r6(detections.anchor_recall(sizes, _ANCHORS, 1.3), "recall", "anchors_above")
+
+
+# ---- shapes of tracks ------------------------------------------------------------------------------------------
+
+
+def _gradient_sql(c: str) -> str:
+    return f"case when lag({c}) {W} is null then lead({c}) {W} - {c} when lead({c}) {W} is null then {c} - lag({c}) {W} else (lead({c}) {W} - lag({c}) {W}) / 2 end"
+
+
+@query(
+    "curvature",
+    f"""with {P}, g as (select *, {_gradient_sql('x')} as gx, {_gradient_sql('y')} as gy from points), h as (select *, {_gradient_sql('gx')} as ggx, {_gradient_sql('gy')} as ggy from g)
+    select id_vehicle, ord, round(abs(gx * ggy - gy * ggx) / nullif((gx * gx + gy * gy) ** 1.5, 0), 6) as curvature from h""",
+)
+def curvature(spark, sf):
+    return r6(shapes.curvature(views.points(spark, sf)).select("id_vehicle", "ord", "curvature"), "curvature")
+
+
+@query(
+    "gaussian_smooth",
+    f"""with {P}, {_STEPS}, i as (select id_record, id_vehicle, quantile_cont(step, 0.75) - quantile_cont(step, 0.25) as iqr from steps where ord > 0 group by 1, 2),
+    s as (select points.*, least(5, greatest(0.5, coalesce(0.05 * iqr, 0.5)))::double as sigma, count(*) over (partition by points.id_record, points.id_vehicle) as n
+          from points left join i on points.id_record = i.id_record and points.id_vehicle = i.id_vehicle),
+    k as (select *, unnest(range(-floor(4 * sigma + 0.5)::bigint, floor(4 * sigma + 0.5)::bigint + 1)) as k from s),
+    m as (select *, exp(-(k * k) / (2 * sigma * sigma)) as w, ((ord + k) % (2 * n) + 2 * n) % (2 * n) as j from k)
+    select m.id_vehicle, m.ord, round(any_value(sigma), 6) as sigma, round(sum(w * q.x) / sum(w), 6) as x_smooth, round(sum(w * q.y) / sum(w), 6) as y_smooth
+    from m join points q on q.id_record = m.id_record and q.id_vehicle = m.id_vehicle and q.ord = case when j < n then j else 2 * n - 1 - j end
+    group by m.id_record, m.id_vehicle, m.ord""",
+)
+def gaussian_smooth(spark, sf):
+    return r6(shapes.gaussian_smooth(views.points(spark, sf), share=0.05).drop("id_record"), "sigma", "x_smooth", "y_smooth")
+
+
+@query(
+    "distance_segments",
+    f"""with recursive {P}, {_STEPS},
+    s as (select id_record, id_vehicle, ord, 0.0::double as way, 1 as n, 0 as segment from steps where ord = 0
+          union all
+          select t.id_record, t.id_vehicle, t.ord, case when s.way + t.step > 400 and s.n >= 6 then 0 else s.way + t.step end,
+                 case when s.way + t.step > 400 and s.n >= 6 then 1 else s.n + 1 end, s.segment + (s.way + t.step > 400 and s.n >= 6)::int
+          from s join steps t on t.id_record = s.id_record and t.id_vehicle = s.id_vehicle and t.ord = s.ord + 1)
+    select id_vehicle, segment, count(*) as frames, min(ord) as first_ord from s group by id_record, id_vehicle, segment having count(*) >= 6""",
+)
+def distance_segments(spark, sf):
+    cut = shapes.distance_segments(views.points(spark, sf), distance=400.0)
+    return cut.groupBy("id_record", "id_vehicle", "segment").agg(F.count(F.lit(1)).alias("frames"), F.min("ord").alias("first_ord")).drop("id_record")
+
+
+@query(
+    "angle_segments",
+    f"""with recursive {P}, d as (select *, x - lag(x) {W} as bx, y - lag(y) {W} as by_, lag(x) {W} - lag(x, 2) {W} as ax, lag(y) {W} - lag(y, 2) {W} as ay from points),
+    t as (select *, case when sqrt(ax * ax + ay * ay) * sqrt(bx * bx + by_ * by_) > 0
+          then degrees(acos(greatest(-1, least(1, (ax * bx + ay * by_) / (sqrt(ax * ax + ay * ay) * sqrt(bx * bx + by_ * by_)))))) else 0 end as turn from d),
+    s as (select id_record, id_vehicle, ord, 1 as n, 0 as segment from t where ord = 0
+          union all
+          select t.id_record, t.id_vehicle, t.ord, case when t.ord > 1 and t.turn > 100.5 and s.n >= 5 then 2 else s.n + 1 end, s.segment + (t.ord > 1 and t.turn > 100.5 and s.n >= 5)::int
+          from s join t on t.id_record = s.id_record and t.id_vehicle = s.id_vehicle and t.ord = s.ord + 1)
+    select id_vehicle, segment, count(*) as frames, case when segment > 0 then min(ord) - 1 end as lead_ord from s
+    group by id_record, id_vehicle, segment having count(*) + (segment > 0)::int >= 5""",
+)
+def angle_segments(spark, sf):
+    cut = shapes.angle_segments(views.points(spark, sf), degrees=100.5)
+    return cut.groupBy("id_record", "id_vehicle", "segment").agg(F.count(F.lit(1)).alias("frames"), F.max("lead_ord").alias("lead_ord")).drop("id_record")
+
+
+@query(
+    "border_trim",
+    f"""with {P}, {_STEPS}, a as (select *, sum(step) over (partition by id_record, id_vehicle order by ord) as arc, sum(step) over (partition by id_record, id_vehicle) as total from steps),
+    b as (select *, min(ord) filter (arc > 200) over (partition by id_record, id_vehicle) as lo, max(ord) filter (arc < total - 200) over (partition by id_record, id_vehicle) as hi from a)
+    select id_vehicle, ord, x, y from b where ord between lo and hi""",
+)
+def border_trim(spark, sf):
+    return shapes.trim_borders(views.points(spark, sf), 200.0).select("id_vehicle", "ord", "x", "y")
+
+
+@query(
+    "banned_tracks",
+    f"""with {P}, {_STEPS}, a as (select *, row_number() {W} as nth, sum(step) over (partition by id_record, id_vehicle order by ord) as arc, coalesce(lag(detected, 9) {W}, false) as was,
+        sqrt((x - first_value(x) {W}) ** 2 + (y - first_value(y) {W}) ** 2) as net from steps)
+    select id_vehicle, ord, bool_or((nth between 11 and 29 and (not (detected and was) or arc < 500)) or (nth = 40 and net < 60)) over (partition by id_record, id_vehicle order by ord) as banned from a""",
+)
+def banned_tracks(spark, sf):
+    pts = views.points(spark, sf).withColumn("valid", F.col("detected"))
+    near = shapes.banned(pts, least=500.0, at=-1).select("id_record", "id_vehicle", "ord", F.col("banned").alias("early"))
+    far = shapes.banned(pts, early=(0, -1), at=40, least=60.0).select("id_record", "id_vehicle", "ord", F.col("banned").alias("late"))
+    return near.join(far, ["id_record", "id_vehicle", "ord"]).select("id_vehicle", "ord", (F.col("early") | F.col("late")).alias("banned"))
+
+
+@query("extents", f"with {P} select id_record, min(x) as x_min, max(x) as x_max, min(y) as y_min, max(y) as y_max, min(z) as z_min, max(z) as z_max from points group by 1")
+def extents(spark, sf):
+    return shapes.extents(views.points(spark, sf))
+
+
+@query(
+    "active_tracks",
+    f"""with {P}, asked as (select distinct id_record, us from points where id_vehicle % 4 = 0)
+    select points.id_record, us as ask_us, id_vehicle, x, y, ord + 1 as history from asked join points using (id_record, us)""",
+)
+def active_tracks(spark, sf):
+    pts = views.points(spark, sf)
+    asked = pts.filter("id_vehicle % 4 = 0").select("id_record", F.col("us").alias("ask_us"))
+    return shapes.active_at(pts, asked).select("id_record", "ask_us", "id_vehicle", "x", "y", "history")
+
+
+@query(
+    "manual_split",
+    f"""with {P}, c(k, lo, hi) as (values (0, 2, 6), (2, 7, 12)), top as (select id_record, max(id_vehicle) as top from points group by 1),
+    v as (select distinct id_record, id_vehicle from points where id_vehicle % 5 = 0),
+    e as (select v.*, lo, hi, row_number() over (partition by id_record order by id_vehicle, k) as n from v cross join c)
+    select points.id_vehicle, top + n as new_vehicle, ord, x, y from points join e on points.id_record = e.id_record and points.id_vehicle = e.id_vehicle and ord between lo and hi
+    join top on top.id_record = points.id_record""",
+)
+def manual_split(spark, sf):
+    pts = views.points(spark, sf)
+    cuts = pts.filter("id_vehicle % 5 = 0").select("id_record", "id_vehicle").distinct().withColumn("at", F.array(*(F.lit(v).cast("long") for v in (2, 6, 7, 12))))
+    return shapes.split_tracks(pts, cuts).select("id_vehicle", "new_vehicle", "ord", "x", "y")
+
+
+@query(
+    "stride_rows",
+    f"""with {P}, n as (select *, ceil(count(*) over (partition by id_record, id_vehicle) / 7) as stride from points)
+    select id_vehicle, ord, x, y from n where ord % stride = 0 and ord < stride * 7""",
+)
+def stride_rows(spark, sf):
+    return shapes.strided(views.points(spark, sf), 7).select("id_vehicle", "ord", "x", "y")
+
+
+@query(
+    "step_scale",
+    f"""with {P}, d as (select id_record, abs(x - lag(x) over w) as dx, abs(y - lag(y) over w) as dy from points window w as (partition by id_record order by id_vehicle, ord))
+    select id_record, round(sum(dx) / count(dx), 6) as mean_dx, round(sum(dy) / count(dx), 6) as mean_dy, count(dx) as n from d group by 1""",
+)
+def step_scale(spark, sf):
+    scale = shapes.step_scale(views.points(spark, sf))
+    return r6(scale.select("id_record", (F.col("dx") / F.col("n")).alias("mean_dx"), (F.col("dy") / F.col("n")).alias("mean_dy"), "n"), "mean_dx", "mean_dy")
+
+
+@query(
+    "motion_gate",
+    f"""with {P}, l as (select *, 2 * lag(x) {W} - lag(x, 2) {W} as px, 2 * lag(y) {W} - lag(y, 2) {W} as py, lag(x) {W} as lx, lag(y) {W} as ly, lag(x, 3) {W} as hx, lag(y, 3) {W} as hy from points),
+    e as (select *, sqrt((px - x) ** 2 + (py - y) ** 2) as err, sqrt((x - hx) ** 2 + (y - hy) ** 2) / 3 as seen, sqrt((px - hx) ** 2 + (py - hy) ** 2) / 3 as expected,
+                 abs(atan2(py - ly, px - lx) - atan2(y - ly, x - lx)) as turn from l where hx is not null)
+    select id_vehicle, ord, case when ord < 10 then err < greatest(250, err * 45) else err < 250 and seen <= 3 * expected and seen >= expected / 3
+        and case when seen > 0 and expected > 0 then turn - 2 * pi() * floor(turn / (2 * pi())) < pi() / 2 else true end end as fits from e""",
+)
+def motion_gate(spark, sf):
+    w = tracks.along()
+    lag = lambda c, k: F.lag(c, k).over(w)
+    at = {f"{p}{c}": e for c in "xy" for p, e in (("p", 2 * lag(c, 1) - lag(c, 2)), ("l", lag(c, 1)), ("h", lag(c, 3)))}
+    rows = views.points(spark, sf).withColumns(at).filter("hx is not null")
+    far = lambda a, b: F.sqrt(F.pow(F.col(f"{a}x") - F.col(f"{b}x"), 2) + F.pow(F.col(f"{a}y") - F.col(f"{b}y"), 2))
+    way = lambda a: F.atan2(F.col(f"{a}y") - F.col("ly"), F.col(f"{a}x") - F.col("lx"))
+    fits = shapes.consistent(error=far("p", ""), frames=F.col("ord"), seen=far("", "h") / 3, expected=far("p", "h") / 3, turn=way("p") - way(""), distance=250.0, settled=10)
+    return rows.select("id_vehicle", "ord", fits.alias("fits"))
