@@ -16,13 +16,13 @@ def suppress(found: DataFrame, *, iou: float = 0.65, conf: float = 0.25, most_in
 
     Candidates are the most_in best of a frame and results its most_out best; both are the operator's own limits.
     """
-    best = Window.partitionBy("frame_id").orderBy(F.desc("conf"), "det_id")
+    best = Window.partitionBy("frame_id").orderBy(F.desc("conf"), "det_id", *BOX)
     rows = found.filter(F.col("conf") > conf).withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= most_in).drop("rn")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        pdf = pdf.sort_values(["conf", "det_id"], ascending=[False, True]).reset_index(drop=True)
+        pdf = pdf.sort_values(["conf", "det_id", *BOX], ascending=[False] + [True] * 5).reset_index(drop=True)
         b = pdf[list(BOX)].to_numpy()
         b = b + pdf["cls"].to_numpy()[:, None] * 2 * (abs(b).max() + 1)  # classes side by side, so they cannot overlap
         size = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])

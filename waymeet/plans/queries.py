@@ -733,21 +733,58 @@ def lof_writeback(spark, sf):
     return out.groupBy("idRecord").agg(F.count(F.lit(1)).alias("n"), n("is_anomaly1").alias("set1"), n("is_anomaly2").alias("set2"), F.round(F.sum("LOF1"), 4).alias("lof1"), F.round(F.sum("LOF2"), 4).alias("lof2"))
 
 
-@query("score_groups")
+@query(
+    "score_groups",
+    f"""with {C}, ok as (select * from conflicts where Vehicle_Cluster_1 <> -1 and Vehicle_Cluster_2 <> -1 and Vehicle_Cluster_1 <> Vehicle_Cluster_2),
+    v as (select least(Vehicle_Cluster_1, Vehicle_Cluster_2) as c_a, greatest(Vehicle_Cluster_1, Vehicle_Cluster_2) as c_b, Vehicle_Cluster_1 as cluster, Vehicle_Class_1 as class_name,
+                 idRecord as r, idVehicle1 as v, not coalesce(Auto_Rule_Flag, true) as broke from ok
+          union all
+          select least(Vehicle_Cluster_1, Vehicle_Cluster_2), greatest(Vehicle_Cluster_1, Vehicle_Cluster_2), Vehicle_Cluster_2, Vehicle_Class_2, idRecord, idVehicle2, not coalesce(Auto_Rule_Flag, true) from ok),
+    w as (select *, sum(broke::int) over g as n_broke, count(*) over g as n_all from v window g as (partition by c_a, c_b, cluster, class_name))
+    select c_a, c_b, cluster, class_name, count(distinct (r, v)) as n from w where (n_broke > 20 and broke) or (n_broke <= 20 and n_all > 20) group by 1, 2, 3, 4""",
+)
 def score_groups(spark, sf):
     found = anomaly.score_groups(views.conflicts(spark, sf))
     return found.groupBy("c_a", "c_b", "cluster", "class_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("motion_embeddings")
+def _embedding_sql() -> str:
+    return ", ".join(f"round(coalesce(max(case when part = {i} then d{c} end), 0), 6) + 0.0 as e{2 * i + k}" for i in range(20) for k, c in enumerate("xy"))
+
+
+@query(
+    "motion_embeddings",
+    f"""with {P}, e as (select *, x - first_value(x) {W} as ex, y - first_value(y) {W} as ey, -first_value(yaw) {W} as a, count(*) over (partition by id_record, id_vehicle) as n from points),
+    r as (select *, cos(a) * ex - sin(a) * ey as rx, sin(a) * ex + cos(a) * ey as ry from e),
+    d as (select id_record, id_vehicle, floor(ord * 20 / n) as part, coalesce(rx - lag(rx) {W}, 0) as dx, coalesce(ry - lag(ry) {W}, 0) as dy from r),
+    m as (select id_record, id_vehicle, part, avg(dx) as dx, avg(dy) as dy from d group by 1, 2, 3)
+    select id_vehicle, {_embedding_sql()} from m group by id_record, id_vehicle""",
+)
 def motion_embeddings(spark, sf):
-    return anomaly.motion_features(views.points(spark, sf)).select("id_vehicle", F.transform("embedding", lambda v: F.round(v, 6)).alias("embedding"))
+    found = anomaly.motion_features(views.points(spark, sf))
+    cols = [f"e{i}" for i in range(40)]
+    return r6(found.select("id_vehicle", *(F.get("embedding", F.lit(i)).alias(c) for i, c in enumerate(cols))), *cols)
 
 
 # ---- detections ------------------------------------------------------------------------------------------------
 
 
-@query("nms")
+_BOX = f"struct_pack({', '.join(f'{c} := r.{c}' for c in ('frame_id', 'det_id', 'cls', 'conf', 'x1', 'y1', 'x2', 'y2'))})"
+_SHARED = "greatest(0, least(k.x2, r.x2) - greatest(k.x1, r.x1)) * greatest(0, least(k.y2, r.y2) - greatest(k.y1, r.y1))"
+
+
+@query(
+    "nms",
+    f"""with recursive {views.BOXES_SQL}, r as (select *, row_number() over (partition by frame_id, cls order by conf desc, det_id, x1, y1, x2, y2) as rn from boxes where conf > 0.25),
+    s as (select frame_id, cls, rn, [{_BOX}] as kept from r where rn = 1
+          union all
+          select r.frame_id, r.cls, r.rn,
+                 case when len(list_filter(s.kept, lambda k: {_SHARED} > 0.45 * ((k.x2 - k.x1) * (k.y2 - k.y1) + (r.x2 - r.x1) * (r.y2 - r.y1) - {_SHARED}))) = 0
+                      then list_append(s.kept, {_BOX}) else s.kept end
+          from s join r on r.frame_id = s.frame_id and r.cls = s.cls and r.rn = s.rn + 1),
+    f as (select unnest(arg_max(kept, rn)) as b from s group by frame_id, cls)
+    select b.* from f""",
+)
 def nms(spark, sf):
     return detections.suppress(views.boxes(spark, sf), iou=0.45)
 
