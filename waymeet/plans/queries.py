@@ -531,7 +531,7 @@ _INSIDE = " or ".join(
 
 @query("point_in_zone", f"with {P} select event_id from points where y <> 20 and ({_INSIDE})")
 def point_in_zone(spark, sf):
-    return interactions.in_zones(views.points(spark, sf).filter("y <> 20"), views.zones(spark)).select("event_id")
+    return interactions.in_zones(views.points(spark, sf), views.zones(spark)).select("event_id")
 
 
 _AXES = "(greatest(abs({dx} * cos({yaw}) + {dy} * sin({yaw})) - ({l} + {ol} * abs(cos({t})) + {ow} * abs(sin({t}))) / 2, abs({dy} * cos({yaw}) - {dx} * sin({yaw})) - ({w} + {ol} * abs(sin({t})) + {ow} * abs(cos({t}))) / 2) < 0)"
