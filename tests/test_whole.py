@@ -19,3 +19,9 @@ def test_zones_judge_points_with_y_20(spark, sf, con):
     got = [tuple(r) for r in queries.QUERIES["point_in_zone"](spark, sf).collect()]
     assert sorted(got) == sorted(want)
     assert con.sql(f"with {views.points_sql()} select event_id from points where y = 20 and ({queries._INSIDE}) and not {lower_edge}").fetchall()
+
+
+def test_every_instant_is_answered(spark, sf, con):
+    want = con.sql(f"with {views.points_sql()} select id_record, us, id_vehicle, ord + 1 from points").fetchall()
+    got = [tuple(r) for r in queries.QUERIES["active_tracks"](spark, sf).select("id_record", "ask_us", "id_vehicle", "history").collect()]
+    assert sorted(got) == sorted(want)

@@ -996,7 +996,7 @@ def extents(spark, sf):
 )
 def active_tracks(spark, sf):
     pts = views.points(spark, sf)
-    asked = pts.filter("id_vehicle % 4 = 0").select("id_record", F.col("us").alias("ask_us"))
+    asked = pts.select("id_record", F.col("us").alias("ask_us"))
     return shapes.active_at(pts, asked).select("id_record", "ask_us", "id_vehicle", "x", "y", "history")
 
 
