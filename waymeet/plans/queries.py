@@ -12,6 +12,7 @@ from ..functions import camera, geometry
 from ..operators import anomaly, clustering, conflicts, detections, interactions, matching, shapes, tracks
 from ..operators.conflicts import ConflictFilter
 from ..schemas import FRAME_US, OBJECT_CLASSES
+from ..storage import store
 from . import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -670,14 +671,17 @@ def cluster_means(spark, sf):
     return r6(clustering.cluster_means(keyed, keyed.select("id", (F.col("id") % 3).cast("int").alias("label"))).drop("z"), "x", "y")
 
 
-def _curves(spark, sf, n: int = 6):
-    fitted = tracks.curves(tracks.key_points(views.points(spark, sf).filter(F.col("id_vehicle") <= n)))
-    return fitted.select(F.col("id_vehicle").cast("int").alias("cluster_id"), "cx", "cy", "cz").filter(F.col("cluster_id").between(1, n)).withColumn("cluster_id", F.col("cluster_id") - 1)
+def _curves(spark, sf, keyed: DataFrame | None = None) -> DataFrame:
+    """Curves of the clusters that DBSCAN finds among all tracks, after merging; there are none where no cluster is."""
+    keyed = store(_keyed(spark, sf), "keyed") if keyed is None else keyed
+    labels = clustering.dbscan(keyed.select("id"), clustering.neighbours(keyed, EPS), 5)
+    return store(clustering.merge_means(clustering.cluster_means(keyed, labels), most=10.0, total=40.0), "curves")
 
 
 @query("curve_distance_assign")
 def curve_distance_assign(spark, sf):
-    return r6(clustering.assign(_keyed(spark, sf), _curves(spark, sf), total=200.0, most=60.0).drop("most"), "total")
+    keyed = store(_keyed(spark, sf), "keyed")
+    return r6(clustering.assign(keyed, _curves(spark, sf, keyed), total=200.0, most=60.0).drop("most"), "total")
 
 
 @query("maneuver_classify")
