@@ -449,18 +449,6 @@ def test_rejected_rows_go_with_all_columns_kept(spark, docs):
     assert quality.drop_rejected(docs, model).columns == docs.columns
 
 
-def test_label_model_trusts_good_voters():
-    rng = np.random.default_rng(2)
-    y = (rng.random(3000) < 0.2).astype(float)
-    good = np.stack([np.where(rng.random(3000) < 0.9, y, 1 - y) for _ in range(3)], axis=1)
-    bad = (rng.random((3000, 2)) < 0.3).astype(float)
-    votes = np.concatenate([good, bad, good[:, :1]], axis=1)  # the last one echoes the first
-    known = np.arange(3000) < 300
-    model = toxicity.fit_label_model(votes, np.where(known, y, 0), known, np.ones(3000))
-    assert ((model.posterior(votes) > 0.5) == (y > 0.5)).mean() > 0.93
-    assert model.own[0] < 0.8 and model.own[5] < 0.8 and model.own[1] > model.own[0]
-
-
 # ---- empty tables, registered queries, the pipeline
 
 

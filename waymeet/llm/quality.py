@@ -1,15 +1,16 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a small network.
 
 Every word of the corpus has a fixed sparse index vector; a word's own vector is the sum of the index vectors of its
-neighbours over all documents, which tasks accumulate in tables of fixed size and Spark sums. Words are kept in two
-vocabularies of hashed buckets: the letters of a word, and its shape (case, digits, punctuation). A document is
-the weighted mean of its words' vectors in both, with a few shares of its characters and repetitions. A two-layer
-network is trained on a bounded sample of labelled documents and its probabilities are calibrated by a temperature
-that the network was not fitted on.
+neighbours over all documents, which tasks accumulate in tables of fixed size and Spark sums. There are three
+vocabularies of hashed buckets: the letters of words, their shapes (case, digits, punctuation), and n-grams of two
+shapes, which stand for one word each. A document is the mean of its words' vectors in each of them, and nothing else. A
+two-layer network is trained on a bounded sample of labelled documents and its probabilities are calibrated by a
+temperature that the network was not fitted on.
 
 Defined results: a null or empty text is scored like any other (its vectors are zero); repeated rows get the same score
-each; without labels of both classes the score is the labels' smoothed rate, 0.5 without any; an empty table gives an
-empty result.
+each; other columns, whatever their names, are ignored; of documents with one doc_id the smallest text is fitted on;
+without labels of both classes the score is the labels' smoothed rate, 0.5 without any; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -26,11 +27,15 @@ from pyspark.sql import functions as F
 from .common import corpus, text_key, tune
 from .sampling import labelled_sample
 
-BUCKETS = 1 << 13  # of each vocabulary
-DIM = 32
+#: Buckets of each vocabulary: words, their shapes, and pairs of shapes. Words beyond their number share buckets.
+VOCABULARIES = (1 << 16, 1 << 13, 1 << 13)
+BASES = (0, VOCABULARIES[0], VOCABULARIES[0] + VOCABULARIES[1])
+BUCKETS = sum(VOCABULARIES)
+DIM = 64
+WIDTH = DIM * len(VOCABULARIES)  # of a document's vector
 NONZERO = 2  # of an index vector
 WINDOW = 2  # neighbours on each side
-CHUNK = 200_000  # words handled at once
+CHUNK = 50_000  # words handled at once
 
 _byte = np.arange(256, dtype=np.uint8)
 _upper = (_byte >= 65) & (_byte <= 90)
@@ -40,106 +45,115 @@ _high = _byte >= 128
 _white = np.isin(_byte, np.frombuffer(b"\x20\x09\x0a\x0b\x0c\x0d", np.uint8))
 WORD_TABLE = np.where(_upper, _byte + 32, np.where(_lower | _digit | _high, _byte, 32)).astype(np.uint8).tobytes()
 SHAPE_TABLE = np.where(_upper, 65, np.where(_lower | _high, 97, np.where(_digit, 48, np.where(_white, 32, _byte)))).astype(np.uint8).tobytes()
-KIND_TABLE = np.select([_upper, _lower, _high, _digit, _byte == 10, _white], [0, 1, 2, 3, 4, 5], 6).astype(np.uint8)
-N_SHARES = 7 + 6
 
 
 def index_vectors(seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """(positions, signs) of the nonzero entries of every bucket's index vector."""
     rng = np.random.default_rng(seed)
-    return rng.integers(0, DIM, (2 * BUCKETS, NONZERO)), rng.choice([-1.0, 1.0], (2 * BUCKETS, NONZERO))
+    return rng.integers(0, DIM, (BUCKETS, NONZERO)), rng.choice([-1, 1], (BUCKETS, NONZERO))
 
 
-def bucket_streams(text: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Bucket numbers of a text's words and of their shapes, and the words."""
-    words = text.translate(WORD_TABLE).split()
-    shapes = text.translate(SHAPE_TABLE).split()
-    a = np.fromiter(map(crc32, words), np.int64, len(words)) & (BUCKETS - 1)
-    b = (np.fromiter(map(crc32, shapes), np.int64, len(shapes)) & (BUCKETS - 1)) + BUCKETS
-    return a, b, words
+def bucket_streams(text: bytes) -> list[np.ndarray]:
+    """Bucket numbers of a text's words, of their shapes, and of every two shapes in a row."""
+    words, shapes = text.translate(WORD_TABLE).split(), text.translate(SHAPE_TABLE).split()
+    hashed = [np.fromiter(map(crc32, found), np.int64, len(found)) for found in (words, shapes)]
+    pairs = (hashed[1][:-1] * 31 + hashed[1][1:]) % 1_000_003
+    return [h % size + base for h, size, base in zip([*hashed, pairs], VOCABULARIES, BASES, strict=True)]
 
 
-def _count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task: how often each bucket occurs and the sum of its neighbours' index vectors."""
-    pos, sign = index_vectors()
-    total = np.zeros(2 * BUCKETS * DIM)
-    seen = np.zeros(2 * BUCKETS, np.int64)
-    held: list[np.ndarray] = []
-    size = 0
-
-    def add() -> None:
-        nonlocal size
-        if not held:
+def pieces(ids: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """A stream in pieces of CHUNK, each led by the last WINDOW of the one before, and how many lead it."""
+    for lo in range(0, len(ids), CHUNK):
+        lead = min(lo, WINDOW)
+        yield ids[lo - lead : lo + CHUNK], lead
+
+
+class Contexts:
+    """How often each bucket occurs, and the sum of its neighbours' index vectors, over the streams added."""
+
+    def __init__(self) -> None:
+        self.pos, self.sign = index_vectors()
+        self.total = np.zeros((BUCKETS, DIM), np.int32)
+        self.seen = np.zeros(BUCKETS, np.int64)
+        self.held: list[tuple[np.ndarray, int]] = []
+        self.size = 0
+
+    def add(self, stream: np.ndarray) -> None:
+        for ids, lead in pieces(stream):
+            self.held.append((ids, lead))
+            self.size += len(ids)
+            if self.size >= CHUNK:
+                self.sum_up()
+
+    def sum_up(self) -> None:
+        if not self.held:
             return
-        ids = np.concatenate(held)
-        doc = np.repeat(np.arange(len(held)), [len(h) for h in held])
-        seen[:] += np.bincount(ids, minlength=len(seen))
+        ids = np.concatenate([h for h, _ in self.held])
+        stream = np.repeat(np.arange(len(self.held)), [len(h) for h, _ in self.held])
+        new = np.concatenate([np.arange(len(h)) >= lead for h, lead in self.held])
+        used, at = np.unique(ids, return_inverse=True)
+        self.seen[used] += np.bincount(at[new], minlength=len(used))
+        sums = np.zeros(len(used) * DIM)
         for d in range(1, WINDOW + 1):
-            near = doc[d:] == doc[:-d]
-            left, right = ids[:-d][near], ids[d:][near]
+            near = (stream[d:] == stream[:-d]) & new[d:]  # pairs of lead words have been counted before
+            left, right = np.flatnonzero(near), np.flatnonzero(near) + d
             for x, y in ((left, right), (right, left)):
                 for k in range(NONZERO):
-                    total[:] += np.bincount(x * DIM + pos[y, k], sign[y, k], minlength=len(total))
-        held.clear()
-        size = 0
+                    sums += np.bincount(at[x] * DIM + self.pos[ids[y], k], self.sign[ids[y], k], minlength=len(sums))
+        self.total[used] += sums.reshape(-1, DIM).astype(np.int32)
+        self.held.clear()
+        self.size = 0
 
+
+def _count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per task: a row for each bucket that occurs, how often, and its sum of index vectors."""
+    sums = Contexts()
     for batch in batches:
         for text in batch.column("text").cast(pa.binary()):
-            a, b, _ = bucket_streams(text.as_py())
-            for ids in (a, b):
-                for lo in range(0, len(ids), CHUNK):
-                    held.append(ids[lo : lo + CHUNK])
-                    size += len(held[-1])
-                    if size >= CHUNK:
-                        add()
-    add()
-    used = np.flatnonzero(seen)
-    vectors = total.reshape(-1, DIM)[used].astype(np.int64)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(used.astype(np.int32)), pa.array(seen[used]), *(pa.array(np.ascontiguousarray(vectors[:, i])) for i in range(DIM))],
-        names=["bucket", "n", *(f"v{i}" for i in range(DIM))],
-    )
+            for stream in bucket_streams(text.as_py()):
+                sums.add(stream)
+    sums.sum_up()
+    used = np.flatnonzero(sums.seen)
+    for lo in range(0, len(used), 20_000):
+        at = used[lo : lo + 20_000]
+        columns = [pa.array(np.ascontiguousarray(sums.total[at, i])) for i in range(DIM)]
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums.seen[at]), *columns], names=["bucket", "n", *(f"v{i}" for i in range(DIM))])
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
-    """The vectors of all buckets (2 * BUCKETS x DIM), from all documents; this table's size does not depend on them."""
+    """The vectors of all buckets (BUCKETS x DIM), from all documents; this table's size does not depend on them."""
     tune(docs.sparkSession)
-    ddl = "bucket int, n long, " + ", ".join(f"v{i} long" for i in range(DIM))
+    ddl = "bucket int, n long, " + ", ".join(f"v{i} int" for i in range(DIM))
     sums = corpus(docs).select("text").mapInArrow(_count_contexts, ddl).groupBy("bucket").agg(F.sum("n").alias("n"), *(F.sum(f"v{i}").alias(f"v{i}") for i in range(DIM)))
     got = sums.toArrow()
-    vectors, n = np.zeros((2 * BUCKETS, DIM)), np.zeros(2 * BUCKETS)
+    vectors, n = np.zeros((BUCKETS, DIM)), np.zeros(BUCKETS)
     at = got.column("bucket").to_numpy()
     n[at] = got.column("n").to_numpy()
     for i in range(DIM):
         vectors[at, i] = got.column(f"v{i}").to_numpy()
-    for part in (slice(0, BUCKETS), slice(BUCKETS, None)):
-        share = n[part] / max(1, n[part].sum())
-        v = vectors[part]
-        v = v / np.maximum(1e-9, np.linalg.norm(v, axis=1, keepdims=True))
-        v -= share @ v  # what all words have in common
-        vectors[part] = v * (1e-3 / (1e-3 + share))[:, None]  # frequent words weigh less
-    return vectors.astype(np.float32)
+    return weighted(vectors, n)
 
 
-def shares(text: bytes, words: list[bytes], buckets: np.ndarray) -> list[float]:
-    """Shares of kinds of characters, and how much a text repeats itself."""
-    kinds = np.bincount(KIND_TABLE[np.frombuffer(text, np.uint8)], minlength=7) / max(1, len(text))
-    n = len(words)
-    again = float((buckets[1:] == buckets[:-1]).mean()) if n > 1 else 0.0
-    capitals = float(kinds[0] / max(1e-9, kinds[0] + kinds[1])) if n else 0.0
-    return [*kinds, np.log1p(n) / 5, len(set(words)) / max(1, n), again, capitals, sum(map(len, words)) / max(1, n) / 10, float(n == 0)]
+def weighted(vectors: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Context sums as vectors of length one, less what all words of a vocabulary have in common, frequent words weighing less."""
+    out = np.zeros(vectors.shape, np.float32)
+    for base, size in zip(BASES, VOCABULARIES, strict=True):
+        part = slice(base, base + size)
+        share = n[part] / max(1, n[part].sum())
+        v = vectors[part] / np.maximum(1e-9, np.linalg.norm(vectors[part], axis=1, keepdims=True))
+        out[part] = (v - share @ v) * (1e-3 / (1e-3 + share))[:, None]
+    return out
 
 
 def pool(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
-    """A row of features for each text."""
-    out = np.zeros((len(texts), 2 * DIM + N_SHARES), np.float32)
+    """A row for each text: the means of its words' vectors in each vocabulary."""
+    out = np.zeros((len(texts), WIDTH), np.float32)
     for i, text in enumerate(texts):
-        a, b, words = bucket_streams(text)
-        for at, ids in ((0, a), (DIM, b)):
+        for k, ids in enumerate(bucket_streams(text)):
+            at = slice(k * DIM, (k + 1) * DIM)
             for lo in range(0, len(ids), CHUNK):
-                out[i, at : at + DIM] += vectors[ids[lo : lo + CHUNK]].sum(axis=0)
-            out[i, at : at + DIM] /= max(1, len(ids))
-        out[i, 2 * DIM :] = shares(text, words, a)
+                out[i, at] += vectors[ids[lo : lo + CHUNK]].sum(axis=0)
+            out[i, at] /= max(1, len(ids))
     return out
 
 
@@ -196,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, column: str = "quali
     """Train on about per_class labelled documents of each class where `usable` holds (an expression on doc_id)."""
     vectors = word_vectors(docs)
     sample, weights = labelled_sample(docs, labels, column, usable, per_class)
-    n = 2 * DIM + N_SHARES
+    n = WIDTH
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
