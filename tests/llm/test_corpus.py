@@ -186,7 +186,6 @@ def reference_ids(text):
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    made.encode_special_tokens = True
     return made.encode(text or "", add_special_tokens=False).ids
 
 
@@ -194,10 +193,22 @@ def test_encoder_gives_the_ids_of_the_tokenizers_library(spark, sf):
     encode = packing.bpe_encoder(open(tokenizer_path()).read())
     texts = [r[0] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(60).collect()]
     odd = ["", " ", "\n\n \t", "don't  stop  ", "a\u00a0b\u2003c", "日本語 テキスト", "\U0001f600\U0001f601", "<|endoftext|>", "x" * 3000, "١٢٣ ½ Ⅻ", "e\u0301\u200d", "\x00\x01"]
+    odd += ["a<|endoftext|>b", "hello <|endoftext|> world<|endoftext|>", "  <|endoftext|>  ", "<|endoftext", "\x1c\x1d x"]
+    for n in (packing.LONG_RUN - 1, packing.LONG_RUN, 3000):
+        odd += [" " * n, "a" + " " * n + "b", "\n " * n + "\u3000" * n, "x " + "\t" * n + " <|endoftext|>" + " " * n, "a\n" * 9 + "\x85" * n + "\x1c" * n + "é"]
     for t in texts + odd:
         assert list(encode(t)) == reference_ids(t), t[:40]
 
 
+@pytest.mark.parametrize("unit,many", [(" ", 5_000_000), ("\n ", 2_500_000), ("x", 5_000_000), ("ab ", 1_500_000)])
+def test_encoder_takes_very_long_texts(unit, many):
+    from tokenizers import Tokenizer
+
+    encode = packing.bpe_encoder(open(tokenizer_path()).read())
+    ids = encode(unit * many)
+    assert len(ids) > 1000 and Tokenizer.from_file(tokenizer_path()).decode(ids[-100:].tolist()) == (unit * many)[-len(Tokenizer.from_file(tokenizer_path()).decode(ids[-100:].tolist())) :]
+
+
 @pytest.mark.parametrize("window", [2000, 1 << 20])
 def test_packing_is_whole_and_gapless(docs, window):
     rows = [r.asDict() for r in packing.pack(docs, tokenizer_path(), window=window).collect()]
@@ -225,17 +236,44 @@ def test_packing_is_whole_and_gapless(docs, window):
     assert len(by_seq) <= -(-total // 1024) + 6
 
 
+def best_trade_left(bins, sizes):
+    """Whether any move or exchange, found by trying all, still raises the sum of squared fills."""
+    some = lambda items, most: [c for n in range(most + 1) for c in itertools.combinations(items, n)]
+    under = [b for b, items in enumerate(bins.items) if items and bins.room[b]]
+    for d, t in itertools.permutations(under, 2):
+        for out in some(bins.items[d], 2):
+            for back in some(bins.items[t], 2):
+                if (len(out), len(back)) not in ((1, 0), (1, 1), (1, 2), (2, 1)):
+                    continue
+                gain = sum(sizes[i] for i in out) - sum(sizes[i] for i in back)
+                if 0 < gain <= bins.room[t] and gain > bins.room[t] - bins.room[d]:
+                    return True
+    return False
+
+
 def test_local_search_raises_squared_fill_and_empties_bins():
     rng = random.Random(8)
-    for top in (300, 700, 1023):
-        sizes = [rng.randrange(1, top) for _ in range(400)]
-        start = packing.Bins([1024 - s for s in sizes[:]], [[i] for i in range(len(sizes))])
+    for low, top, n in ((1, 300, 60), (1, 700, 90), (1, 1023, 90), (342, 512, 60), (200, 400, 60)):
+        sizes = [rng.randrange(low, top) for _ in range(n)]
+        start = packing.Bins([1024 - s for s in sizes], [[i] for i in range(n)])
         before = sum((1024 - r) ** 2 for r in start.room)
         end = packing.local_search(start, sizes)
-        assert sorted(i for b in end.items for i in b) == list(range(400))
+        assert sorted(i for b in end.items for i in b) == list(range(n))
         assert all(1024 - r == sum(sizes[i] for i in b) and r >= 0 for r, b in zip(end.room, end.items, strict=True))
         assert sum((1024 - r) ** 2 for r in end.room) > before
-        assert sum(map(bool, end.items)) < 400
+        assert sum(map(bool, end.items)) < n
+        assert not best_trade_left(end, sizes)
+
+
+def test_local_search_saves_sequences_that_best_fit_leaves():
+    rng = random.Random(5)
+    saved = 0
+    for _ in range(6):
+        sizes = [rng.randrange(180, 420) for _ in range(400)]
+        plain = packing.best_fit(sizes, 1024)
+        n = len(plain.items)
+        saved += n - sum(map(bool, packing.local_search(plain, sizes).items))
+    assert saved > 0
 
 
 def test_token_histogram_and_sums(docs):
