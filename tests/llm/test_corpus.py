@@ -371,6 +371,36 @@ def test_license_span_with_an_inserted_word(spark):
     assert row["labels"] == "mit" and row["base_labels"] == "" and 0.7 <= row["score"] < 1
 
 
+def slow_spans(text):
+    """{template: best share} of notices: of every diagonal and those up to SLACK beyond it, the different places reached."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+    out = {}
+    for i, (label, notice) in enumerate(licenses.NOTICES):
+        t = notice.split()
+        hits = {(p - q, q) for p in range(len(w) - 2) for q in range(len(t) - 2) if w[p : p + 3] == t[q : q + 3]}
+        best = max((len({q for e, q in hits if d <= e <= d + licenses.SLACK}) for d, _ in hits), default=0)
+        out[i, label] = best / (len(t) - 2)
+    return out
+
+
+def test_license_spans_reach_different_places_of_their_template(spark):
+    rng = random.Random(2)
+    texts = ["licensed under the " * 5, "licensed under a " * 4, "licensed under the apache license version 2 0"]
+    for _ in range(40):
+        words_ = [w for _, t in rng.sample(licenses.NOTICES, 2) for w in t.split()]
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(words_))
+            words_[at : at + rng.randrange(2)] = rng.choice([[], ["x"], ["x", "y"], words_[:3]])
+        texts.append(" ".join(words_))
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert not got[0]["labels"] and not got[1]["labels"] and got[2]["labels"] == "apache-2.0"
+    for i, text in enumerate(texts):
+        spans = slow_spans(text)
+        base = set(filter(None, got[i]["base_labels"].split(",")))
+        assert set(filter(None, got[i]["labels"].split(","))) == base | {label for (_, label), share in spans.items() if share >= licenses.COVERAGE}
+        assert got[i]["score"] == pytest.approx(1 if base else max(spans.values()))
+
+
 # ---- URL filters
 
 

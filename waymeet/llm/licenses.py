@@ -2,9 +2,10 @@
 
 Templates are word sequences with a label. Every k words of a document are looked up, by hash, among every k words of
 the templates, in one Spark join; a hit at document position p and template position q votes for the diagonal p - q.
-Votes are summed by diagonal, neighbouring diagonals (a word added or left out) are merged, and a span counts if it
-carries enough of its template's grams. The words of every hit are compared, so hashes decide nothing. A template of k
-words is a phrase: each of its diagonals is a place.
+Votes are summed by diagonal, and a diagonal is merged with its neighbours up to `slack` beyond it (words added or left
+out). Such a span is verified by the places of the template that its votes come from: it counts if they are enough
+different ones, however often a place is hit. The words of every hit are compared, so hashes decide nothing. A template
+of k words is a phrase: each of its diagonals is a place.
 
 Every document also sends one row of its own through the join, so documents without hits are in the result and no
 second pass over the texts is needed. Only DataFrame functions run here; the templates are broadcast because their
@@ -56,7 +57,8 @@ def template_grams(phrases: list[tuple[str, str]], notices: list[tuple[str, str]
 def scan(docs: DataFrame, *, phrases: list[tuple[str, str]] = PHRASES, notices: list[tuple[str, str]] = NOTICES, slack: int = SLACK, coverage: float = COVERAGE) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    phrases: of two or three words each. score: the best share of a template's grams in one span, 1 where a phrase is.
+    phrases: of two or three words each. score: the best share of a template's grams
+    that one span reaches, 1 where a phrase is.
     """
     spark = docs.sparkSession
     grams = spark.createDataFrame(template_grams(phrases, notices), "template int, label string, base boolean, k int, q int, gram string, n_grams int")
@@ -78,37 +80,37 @@ def scan(docs: DataFrame, *, phrases: list[tuple[str, str]] = PHRASES, notices:
     hits = hits.withColumn("at", at).filter((F.col("k") == kind) & ((F.col("k") == 0) | (gram_at(F.col("words"), F.col("at"), F.greatest(F.col("k"), F.lit(1))) == F.col("gram"))))
 
     doc = ["doc_id", "text_key"]
-    template = ["template", "label", "base", "k", "n_grams"]
-    votes = hits.groupBy(*doc, *template, (F.col("at") - F.col("q")).alias("diagonal")).agg(F.count("*").alias("votes"), F.min("at").alias("first"), F.max("at").alias("last"), F.max("n_words").alias("n_words"))
-    along = Window.partitionBy(*doc, "template").orderBy("diagonal")
-    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > slack, F.lit(True)) | (F.col("n_grams") == 1)
-    votes = votes.withColumn("span", F.sum(apart.cast("int")).over(along))
-    spans = votes.groupBy(*doc, *template, "span").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("n_words").alias("n_words"))
+    template = ["template", "label", "base", "n_grams"]
+    spots = hits.groupBy(*doc, *template, (F.col("at") - F.col("q")).alias("diagonal"), "q").agg(F.count("*").alias("rows"), F.max("n_words").alias("n_words"))
+    # a span is a diagonal and those up to slack beyond it; what counts is how many places of the template it reaches
+    span = Window.partitionBy(*doc, "template").orderBy("diagonal").rangeBetween(0, slack)
+    spots = spots.withColumn("share", F.size(F.collect_set("q").over(span)) / F.col("n_grams"))
+    base = F.when(F.col("base"), F.col("diagonal"))
+    best = spots.groupBy(*doc, *template).agg(
+        F.max("share").alias("share"), F.max("rows").alias("rows"), F.max("n_words").alias("n_words"),
+        F.count(base).alias("n"), F.min(base).alias("first"), F.max(base).alias("last"),
+    )
 
     own = F.col("template") == DOCUMENT
-    times = F.max(F.when(own, F.col("votes"))).alias("times")
-    base = F.when(F.col("base"), F.col("first"))
-    per = spans.groupBy(*doc).agg(
-        times,
+    per = best.groupBy(*doc).agg(
+        F.max(F.when(own, F.col("rows"))).alias("times"),
         F.max("n_words").alias("n_words"),
-        F.count(base).alias("n_base"),
-        F.min(base).alias("first_word"),
-        F.max(base).alias("last_word"),
+        F.sum("n").alias("n_base"),
+        F.min("first").alias("first_word"),
+        F.max("last").alias("last_word"),
+        F.max(F.when(~own, F.col("share"))).alias("score"),
         F.collect_set(F.when(F.col("base"), F.col("label"))).alias("base_labels"),
-        F.collect_list(F.when(~own, F.struct("label", "votes", "n_grams"))).alias("found"),
+        F.collect_set(F.when(~own & (F.col("share") >= coverage), F.col("label"))).alias("labels"),
     )
-    share = F.transform("found", lambda s: F.struct(s.label.alias("label"), F.least(F.lit(1.0), s.votes / F.col("times") / s.n_grams).alias("share")))
-    per = per.withColumn("found", share)
-    labels = F.transform(F.filter("found", lambda s: s.share >= coverage), lambda s: s.label)
-    joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
+    joined = lambda c: F.array_join(F.array_sort(c), ",")
     return per.select(
         "doc_id",
         F.col("n_words").cast("long").alias("n_words"),
         "n_base",
         F.col("first_word").cast("long").alias("first_word"),
         F.col("last_word").cast("long").alias("last_word"),
-        joined(F.col("base_labels")).alias("base_labels"),
-        joined(labels).alias("labels"),
-        F.coalesce(F.array_max(F.transform("found", lambda s: s.share)), F.lit(0.0)).alias("score"),
+        joined("base_labels").alias("base_labels"),
+        joined("labels").alias("labels"),
+        F.coalesce("score", F.lit(0.0)).alias("score"),
         F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy"),
     ).drop("copy")

@@ -160,20 +160,15 @@ SQL = {
             from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from w)
         ),
         v as (
-            select doc_id, template, label, base, n_grams, p - q as diagonal, count(*) as votes, min(p) as first
-            from g join t on g.k = t.k and g.gram = t.gram group by all
-        ),
-        s as (
-            select *, sum(case when n_grams = 1 or coalesce(diagonal - before > {licenses.SLACK}, true) then 1 else 0 end)
-                      over (partition by doc_id, template order by diagonal) as span
-            from (select *, lag(diagonal) over (partition by doc_id, template order by diagonal) as before from v)
+            select distinct doc_id, template, label, base, n_grams, p - q as diagonal, q
+            from g join t on g.k = t.k and g.gram = t.gram
         ),
         u as (
-            select doc_id, template, label, base, span, min(first) as first, least(1.0::double, sum(votes)::double / n_grams) as share
-            from s group by doc_id, template, label, base, n_grams, span
+            select *, count(distinct q) over (partition by doc_id, template order by diagonal range between current row and {licenses.SLACK} following)::double / n_grams as share
+            from v
         ),
         d as (
-            select doc_id, count(*) filter (base) as n_base, min(first) filter (base) as first_word, max(first) filter (base) as last_word,
+            select doc_id, count(*) filter (base) as n_base, min(diagonal) filter (base) as first_word, max(diagonal) filter (base) as last_word,
                    string_agg(distinct label, ',' order by label) filter (base) as base_labels,
                    string_agg(distinct label, ',' order by label) filter (share >= {licenses.COVERAGE}) as labels, max(share) as score
             from u group by doc_id
