@@ -3,10 +3,12 @@
 A host reversed by labels makes "host and its subdomains" a prefix, and a prefix an interval of sorted keys. Pages and
 rules are dealt to ranges of the key (a rule to every range that its interval meets), sorted, and swept: the open rules
 form a stack, because intervals of prefixes nest or are apart. A page is judged by the longest open rule whose path its
-own path starts with. Ranges are cut by page counts over host and path, and then page_id, so a host or a url with a third of all pages spans many.
+own path starts with. Ranges are cut by page counts over host, path and row, so a host, or one url repeated, with a
+third of all pages spans many.
 
 Defined results: a null url, or one without "://", has an empty host and path and fits no rule; a page without a rule
-gets the default verdict; repeated rows are judged each; other columns are ignored; empty tables give empty results. Of
+gets the default verdict; control characters in hosts are characters like others; repeated rows are judged each; other
+columns, whatever their names, are ignored; empty tables give empty results. Of
 rules equally long the longer host wins, then block over allow.
 """
 
@@ -22,8 +24,9 @@ from pyspark.sql import functions as F
 from .common import store, tune
 
 END = "\U0010ffff"
-#: Key samples read to cut ranges, whatever the number of pages. Only the balance depends on them.
-CUT_SAMPLES = 4096
+#: Keys sampled for each range. Only the balance depends on them.
+SAMPLES = 32
+CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -33,11 +36,13 @@ def split_url(url: Column) -> tuple[Column, Column]:
     rest = F.coalesce(rest, F.lit(""))
     host = F.regexp_extract(rest, r"^([^/?#]*)", 1)
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
-    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
+    return F.translate(host, CAPITALS, SMALL), path
 
 
 def host_key(host: Column) -> Column:
-    """The labels of a host in reverse, each ended by a character that sorts before all others."""
+    """The labels of a host in reverse, each ended by \\x01, which no label holds, as are the other marks of keys."""
+    for held, stands in (("\x02", "\x02\x02"), ("\x01", "\x02\x03"), ("\x00", "\x02\x04"), (END, "\x02\x05")):
+        host = F.replace(host, F.lit(held), F.lit(stands))
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "\x01"), F.lit("\x01"))
 
 
@@ -83,7 +88,31 @@ def _range_of(cuts: list[str]):
     return run
 
 
-def judge(pages: DataFrame, rules: DataFrame, *, default: str = "allow", range_rows: int = 50_000) -> DataFrame:
+def _every(n: int):
+    """The first of every n keys of a sorted partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for batch in batches:
+            keys = batch.column("sort_key").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(keys[-at % n :: n], pa.string())], names=["sort_key"])
+            at += len(keys)
+
+    return run
+
+
+def _cuts(rows: DataFrame, range_rows: int) -> list[str]:
+    """Keys that cut rows (sort_key) into ranges of about range_rows: one short string a range reaches the driver."""
+    spark = rows.sparkSession
+    n, least = rows.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(least, -(-n // range_rows))
+    step = max(1, n // (SAMPLES * ranges))
+    picked = rows.filter(F.pmod(F.xxhash64("sort_key"), F.lit(step)) == 0).select("sort_key")
+    cuts = picked.repartitionByRange(max(1, min(least, ranges)), "sort_key").sortWithinPartitions("sort_key").mapInArrow(_every(max(1, n // (step * ranges))), "sort_key string")
+    return sorted({r[0] for r in cuts.collect()})[1:]
+
+
+def judge(pages: DataFrame, rules: DataFrame, *, default: str = "allow", range_rows: int = 200_000) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict.
 
     pages: (page_id, url). rules: (host, path, verdict), the path with its leading "/".
@@ -95,17 +124,13 @@ def judge(pages: DataFrame, rules: DataFrame, *, default: str = "allow", range_r
     page_id = F.col("page_id").cast("long") if "page_id" in has else F.lit(None).cast("long")
     host, path = split_url(url)
     rows = pages.select(page_id.alias("page_id"), host.alias("host"), path.alias("path")).withColumn("key", host_key(F.col("host")))
-    rows = rows.select("key", F.concat("key", F.lit("\x00"), "path", F.lit("\x00"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))).alias("sort_key"), F.lit(True).alias("is_page"), "page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
+    # the last part tells repeated rows apart, so that ranges can split them
+    sort_key = F.concat("key", F.lit("\x00"), "path", F.lit("\x00"), F.monotonically_increasing_id().cast("string"))
+    rows = rows.select("key", sort_key.alias("sort_key"), F.lit(True).alias("is_page"), "page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
     rows = store(rows, "urls")
+    cuts = _cuts(rows, range_rows)
 
-    n = rows.count()
-    parts = min(CUT_SAMPLES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // range_rows)))
-    step = max(1, n // CUT_SAMPLES)
-    picked = rows.filter(F.pmod(F.xxhash64("page_id", "sort_key"), F.lit(step)) == 0).select("sort_key").orderBy("sort_key").limit(4 * CUT_SAMPLES)
-    picked = [r[0] for r in picked.collect()]
-    cuts = sorted({picked[len(picked) * i // parts] for i in range(1, parts)}) if picked else []
-
-    given = rules.select(F.lower(F.col("host")).alias("host"), F.col("path"), F.col("verdict")).filter("host is not null and path is not null").distinct()
+    given = rules.select(F.translate("host", CAPITALS, SMALL).alias("host"), F.col("path"), F.col("verdict")).filter("host is not null and path is not null").distinct()
     given = given.select(host_key(F.col("host")).alias("key"), "host", "path", F.concat("host", "path").alias("rule"), "verdict")
     given = given.select("key", F.col("key").alias("sort_key"), F.lit(False).alias("is_page"), F.lit(None).cast("long").alias("page_id"), "host", "path", "rule", "verdict")
 
