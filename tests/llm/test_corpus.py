@@ -81,10 +81,15 @@ def test_patricia_trie_keeps_strings_apart():
     rng = random.Random(5)
     made = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(9))) for _ in range(600)]
     trie = exact_dedup.PatriciaOwners()
+    rank = [(-rng.randrange(3), rng.randrange(50), i, 0) for i in range(len(made))]
     for i, body in enumerate(made):
-        trie.insert(body).append((i,))
-    found = {body: [r[0] for r in owner] for body, owner in trie.walk()}
-    assert found == {b: [i for i, m in enumerate(made) if m == b] for b in set(made)}
+        assert trie.insert(body, i, 2, rank[i]) == made.index(body)
+    found = {body: (o.first, o.n_rows, o.best) for body, o in trie.walk()}
+    assert found == {b: (made.index(b), 2 * made.count(b), min(r for r, m in zip(rank, made) if m == b)) for b in set(made)}
+    size = trie.held
+    for _ in range(1000):
+        trie.insert(made[0], 7, 1, rank[0])
+    assert trie.held == size
 
 
 def test_drop_exact_copies_keeps_columns(docs):
@@ -408,7 +413,7 @@ RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("a.example.ne
 
 
 def test_url_rules_match_brute_force(spark):
-    hosts = ["net", "example.net", "a.example.net", "b.a.example.net", "xexample.net", "example.com", "EXAMPLE.Com", "org", "", "net:80", "..net", "é.net"]
+    hosts = ["net", "example.net", "a.example.net", "b.a.example.net", "xexample.net", "example.com", "EXAMPLE.Com", "org", "", "net:80", "..net", "é.net", "foo.net\x01", "a\x01.net", "net\x01x", "a\x00.net", "a\x02.net", "\U0010ffff.net", "\U0010ffff.a.example.net"]
     paths = ["", "/", "/en/", "/en/x", "/en/xy?q=/de", "/de#f", "/De", "?/en/", "/a b\n"]
     urls = [f"{s}://{h}{p}" for s in ("http", "ftp") for h in hosts for p in paths] + [None, "", "no scheme/net", "a://b://net/en/"]
     pages = [(i, u, "x", "clash") for i, u in enumerate(urls)] + [(1, urls[1], None, None), (None, urls[2], None, None)]
@@ -427,6 +432,9 @@ def test_url_rules_match_brute_force(spark):
         return host, path, best and best[0] + best[1], best[2] if best else "allow"
 
     assert sorted(map(str, ((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in got))) == sorted(str((p[0], *slow(p[1]))) for p in pages)
+    long_ = [(i, f"http://{h}/en/{'x' * 300_000}{i % 2}", None, None) for i, h in enumerate(["a." * 40_000 + "example.net", "org", "org", "com"])] + [(None, "http://net/", None, None)] * 60
+    rows = url_filter.judge(spark.createDataFrame(long_, "page_id long, url string, rule string, key string"), spark.createDataFrame(RULES, "host string, path string, verdict string"), range_rows=7).collect()
+    assert sorted(map(str, ((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in rows))) == sorted(str((p[0], *slow(p[1]))) for p in long_)
     assert url_filter.judge(df.limit(0), spark.createDataFrame(RULES, "host string, path string, verdict string")).count() == 0
 
 

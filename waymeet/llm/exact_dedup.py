@@ -3,8 +3,10 @@
 Every text is stripped of white space (the characters space and 0x09-0x0D). Tasks first fold the copies inside a
 window of their own rows, so that a text that makes up a third of the corpus is shuffled once a window and not once a
 row. The folded texts are dealt by (length, content hash); each partition inserts the full byte strings into a
-Patricia trie, whose terminal nodes hold the row that stays. A trie that outgrows its memory gives up its largest
-subtree: those strings go out unresolved and are dealt again, finer, in another round.
+Patricia trie, whose terminal nodes hold the smallest identifier, the one of the row that stays, and a count. Every
+further row leaves at once as a link to the first of its string, so a trie takes no more memory for a string however
+often it comes. A trie that outgrows its memory gives up its largest subtree: those strings go out unresolved and are
+dealt again, finer, in another round.
 
 Defined results: a null text is an empty one, and all empty texts are one group; a null doc_id sorts after every
 number; of rows equal in text, length and doc_id exactly one is kept; other columns are ignored; an empty table gives
@@ -46,10 +48,12 @@ FOLDED_DDL = (
     "rep long, norm_len long, content_hash long, body binary, text_sha256 string, n_rows long, best_chars long, "
     "best_id long, best_at int, ids array<long>, keys array<long>"
 )
-OWNED_DDL = (
-    "rep long, keep_rep long, keep_at int, keep_id long, group_size long, "
-    "norm_len long, content_hash long, body binary, n_rows long, best_chars long, best_id long, best_at int"
+LINKED_DDL = (
+    "rep long, first long, group_size long, best_chars long, best_id long, best_rep long, best_at int, "
+    "norm_len long, content_hash long, body binary, n_rows long"
 )
+#: Bytes that a node of the trie takes besides those on its edge, about.
+NODE_BYTES = 400
 
 
 def _signed(x: int) -> int:
@@ -119,12 +123,25 @@ def _fold(window_bytes: int):
     return run
 
 
+class Owner:
+    """What a terminal node holds of its string: the first row inserted, the best one so far, and how many rows there are."""
+
+    __slots__ = ("first", "n_rows", "best")
+
+    def __init__(self, first: int, n_rows: int, best: tuple) -> None:
+        self.first, self.n_rows, self.best = first, n_rows, best
+
+    def add(self, n_rows: int, best: tuple) -> None:
+        self.n_rows += n_rows
+        self.best = min(self.best, best)
+
+
 class Node:
     """A node of the trie: the bytes on the edge above it, its children by first byte, and the owner of its string."""
 
     __slots__ = ("edge", "kids", "owner")
 
-    def __init__(self, edge: bytes, owner: list | None = None) -> None:
+    def __init__(self, edge: bytes, owner: Owner | None = None) -> None:
         self.edge, self.kids, self.owner = edge, {}, owner
 
 
@@ -138,24 +155,27 @@ def _common(edge: bytes, body: bytes, at: int) -> int:
 
 
 class PatriciaOwners:
-    """Compressed radix trie from byte strings to the rows that own them."""
+    """Compressed radix trie from byte strings to their owners."""
 
     def __init__(self) -> None:
         self.root = Node(b"", None)
         self.bytes_under: dict[int, int] = {}
         self.held = 0
 
-    def insert(self, body: bytes) -> list:
-        """The owner list at body's terminal node, made if it is new."""
+    def _hold(self, first: int, size: int) -> None:
+        self.bytes_under[first] = self.bytes_under.get(first, 0) + size
+        self.held += size
+
+    def insert(self, body: bytes, rep: int, n_rows: int, best: tuple) -> int:
+        """Add n_rows rows of a string, the best of them with rank `best`; returns the row that came first."""
         node, at = self.root, 0
         while at < len(body):
             kid = node.kids.get(body[at])
             if kid is None:
                 rest = body[at:]
-                node.kids[body[at]] = Node(rest, [])
-                self.bytes_under[body[0]] = self.bytes_under.get(body[0], 0) + len(rest) + 200
-                self.held += len(rest) + 200
-                return node.kids[body[at]].owner
+                node.kids[body[at]] = Node(rest, Owner(rep, n_rows, best))
+                self._hold(body[0], len(rest) + NODE_BYTES)
+                return rep
             if body.startswith(kid.edge, at):
                 node, at = kid, at + len(kid.edge)
                 continue
@@ -164,12 +184,15 @@ class PatriciaOwners:
             kid.edge = kid.edge[n:]
             fork.kids[kid.edge[0]] = kid
             node.kids[body[at]] = fork
+            self._hold(body[0], NODE_BYTES)
             node, at = fork, at + n
         if node.owner is None:
-            node.owner = []
-        return node.owner
+            node.owner = Owner(rep, n_rows, best)
+        else:
+            node.owner.add(n_rows, best)
+        return node.owner.first
 
-    def walk(self, first: int | None = None) -> Iterator[tuple[bytes, list]]:
+    def walk(self, first: int | None = None) -> Iterator[tuple[bytes, Owner]]:
         """(string, owner) of every terminal, or of those under one child of the root."""
         todo = [(b"", self.root)] if first is None else [(b"", self.root.kids[first])]
         while todo:
@@ -192,48 +215,55 @@ class PatriciaOwners:
 
 
 def _own(trie_bytes: int):
-    """Per partition: insert all strings; a row for each folded text with the row that stays, or unresolved."""
-    names = ["rep", "norm_len", "content_hash", "body", "n_rows", "best_chars", "best_id", "best_at"]
-    out = pa.schema([("rep", pa.int64()), ("keep_rep", pa.int64()), ("keep_at", pa.int32()), ("keep_id", pa.int64()), ("group_size", pa.int64()), *(FOLDED.field(n) for n in names[1:])])
+    """Per partition: insert all strings. Rows out are links of folded texts to the first of their string, owners of
+    strings (rep null), and strings to be dealt again (body not null)."""
+    names = ["rep", "content_hash", "body", "n_rows", "best_chars", "best_id", "best_rep", "best_at"]
+    kinds = {f.name: f.type for f in FOLDED} | {n: pa.int64() for n in ("first", "group_size", "best_rep")}
+    out = pa.schema([(field.split()[0], kinds[field.split()[0]]) for field in LINKED_DDL.split(", ")])
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, spilled = PatriciaOwners(), set()
+    def told(best: tuple) -> tuple:
+        """best_chars, best_id, best_rep, best_at of a rank."""
+        return -best[0], None if best[1] == NO_ID else best[1], best[2], best[3]
 
-        def unresolved(body: bytes, r: tuple) -> tuple:
-            return (r[0], None, None, None, None, len(body), r[1], body, r[2], r[3], r[4], r[5])
+    def again(body: bytes, rep: int, n_rows: int, best: tuple) -> tuple:
+        return (rep, None, None, *told(best), len(body), _signed(xxhash.xxh64_intdigest(body)), body, n_rows)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, spilled = PatriciaOwners(), set()
         for batch in batches:
-            late = []
+            ready, size = [], 0
             cols = [batch.column(n).to_pylist() for n in names]
-            for rep, _, chash, body, n, chars, best, at in zip(*cols, strict=True):
-                row = (rep, chash, n, chars, best, at)
+            for rep, _, body, n, chars, best_id, best_rep, at in zip(*cols, strict=True):
+                best = (-chars, NO_ID if best_id is None else best_id, best_rep, at)
                 if body and body[0] in spilled:
-                    late.append(unresolved(body, row))
-                    continue
-                trie.insert(body).append(row)
+                    ready.append(again(body, rep, n, best))
+                    size += len(body)
+                else:
+                    first = trie.insert(body, rep, n, best)
+                    if first != rep:
+                        ready.append((rep, first, *[None] * 9))
                 while trie.held > trie_bytes and (first := trie.largest()) is not None:
                     for text, owner in trie.walk(first):
-                        late += (unresolved(text, r) for r in owner)
-                        if len(late) >= 2000:
-                            yield table(late)
-                            late = []
+                        ready.append(again(text, owner.first, owner.n_rows, owner.best))
+                        size += len(text)
+                        if size > 4 << 20:
+                            yield table(ready)
+                            ready, size = [], 0
                     trie.drop(first)
                     spilled.add(first)
-            if late:
-                yield table(late)
-        done = []
+            if ready:
+                yield table(ready)
+        ready = []
         for _, owner in trie.walk():
-            rep, _, _, _, best, at = min(owner, key=lambda r: (-r[3], NO_ID if r[4] is None else r[4], r[0]))
-            size = sum(r[2] for r in owner)
-            done += ((r[0], rep, at, best, size, None, None, None, None, None, None, None) for r in owner)
-            if len(done) >= 20_000:
-                yield table(done)
-                done = []
-        if done:
-            yield table(done)
+            ready.append((None, owner.first, owner.n_rows, *told(owner.best), None, None, None, None))
+            if len(ready) >= 20_000:
+                yield table(ready)
+                ready = []
+        if ready:
+            yield table(ready)
 
     return run
 
@@ -250,26 +280,33 @@ def exact_groups(docs: DataFrame, *, window_bytes: int = 32 << 20, trie_bytes: i
     members = store(folded.select("rep", "text_sha256", "ids", "keys"), "members")
     total = folded.agg(F.sum("norm_len")).first()[0] or 0
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // partition_bytes))
-    todo = folded.select("rep", "norm_len", "content_hash", "body", "n_rows", "best_chars", "best_id", "best_at")
-    owned, turn = None, 0
+    todo = folded.withColumn("best_rep", F.col("rep")).select("rep", "norm_len", "content_hash", "body", "n_rows", "best_chars", "best_id", "best_rep", "best_at")
+    owners, links, turn = None, [], 0
     while True:
         dealt = todo.repartition(n_parts, "norm_len", "content_hash", F.lit(turn))
-        made = store(dealt.mapInArrow(_own(trie_bytes), OWNED_DDL), "owned")
-        good = made.filter("keep_rep is not null").select("rep", "keep_rep", "keep_at", "keep_id", "group_size")
-        owned = good if owned is None else owned.unionByName(good)
-        todo = made.filter("keep_rep is null").select(*todo.columns)
+        made = store(dealt.mapInArrow(_own(trie_bytes), LINKED_DDL), "owned")
+        done = made.filter("rep is null").select("first", "group_size", "best_id", "best_rep", "best_at")
+        owners = done if owners is None else owners.unionByName(done)
+        links.append(made.filter("rep is not null and body is null").select("rep", "first"))
+        todo = made.filter("body is not null").select(*todo.columns)
         if todo.isEmpty():
             break
         n_parts, turn = n_parts * 8, turn + 1
     discard(folded)
+    # a string dealt again goes on under the row that came first, so each turn's links lead to rows of the next
+    named = members
+    for k, link in enumerate(links):
+        link = link.select(F.col("rep").alias("from"), F.col("first").alias("to"))
+        at = "rep" if k == 0 else "first"
+        named = named.join(link, named[at] == F.col("from"), "left").withColumn("first", F.coalesce("to", at)).drop("from", "to")
     return (
-        members.join(owned, "rep")
-        .select("rep", "text_sha256", "keep_rep", "keep_at", "keep_id", "group_size", F.posexplode(F.arrays_zip("ids", "keys")).alias("at", "m"))
+        named.join(owners, "first")
+        .select("rep", "text_sha256", "best_rep", "best_at", "best_id", "group_size", F.posexplode(F.arrays_zip("ids", "keys")).alias("at", "m"))
         .select(
             F.col("m.ids").alias("doc_id"),
-            "keep_id",
+            F.col("best_id").alias("keep_id"),
             "group_size",
-            ((F.col("rep") == F.col("keep_rep")) & (F.col("at") == F.col("keep_at"))).alias("kept"),
+            ((F.col("rep") == F.col("best_rep")) & (F.col("at") == F.col("best_at"))).alias("kept"),
             "text_sha256",
             F.col("m.keys").alias("text_key"),
         )
