@@ -1,20 +1,29 @@
-"""Tables in the shared folder, for cutting lineage in iterative operators."""
+"""Tables in the shared folder, for cutting lineage in iterative operators, and bounds of what is broadcast."""
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A table is broadcast up to this many bytes.
+BROADCAST_BYTES = 32 << 20
 
 _own_folder: dict[str, str] = {}
+_tracked: list[list[DataFrame]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder from spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
+    """The shared folder from spark.checkpoint.dir; a temporary one only in local mode, where one machine is all there is."""
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folder:
         _own_folder[app] = "file://" + tempfile.mkdtemp(prefix="waymeet-")
@@ -26,7 +35,45 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back."""
+    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    if _tracked:
+        _tracked[-1].append(out)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a stored table that nothing reads any more."""
+    path = getattr(df, "_scratch_path", None)
+    if path:
+        _delete(df.sparkSession, path)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Tables stored inside are deleted at the end; results that read them must have been written by then."""
+    _tracked.append([])
+    try:
+        yield
+    finally:
+        for df in _tracked.pop():
+            discard(df)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all that this application has stored; for the end of a job."""
+    _delete(spark, f"{scratch_root(spark)}/waymeet/{spark.sparkContext.applicationId}")
+
+
+def bounded(df: DataFrame, row_bytes: Column | int = 64, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, to be broadcast if its rows, measured, take at most `most` bytes; row_bytes is what one takes."""
+    size = row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes)
+    return F.broadcast(df) if (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= most else df
