@@ -445,13 +445,14 @@ def test_warc_round_trip(spark, tmp_path):
     pages = [(i, f"http://h/{i}", "same" if i % 3 == 0 else f"<p>{i}\r\n\r\né</p>") for i in range(40)]
     pages += [(100, None, None), (101, "http://a b\r\nX: y", ""), (102, "u", "long " * 40_000), (39, "http://h/39", "same"), (None, "n", "same"), (7, "v", "other")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    df = df.withColumns({"check": F.lit("clash"), "is_page": F.lit(1), "refers_to": F.lit("x"), "digest": F.lit(None)})
     folder = f"file://{tmp_path}/a"
-    listed = warc.write(df, folder, roll_bytes=2000).collect()
+    listed = warc.write(df, folder, shards=4, roll_bytes=2000).collect()
     assert sum(r["records"] for r in listed) == len(pages) and len(listed) > 4
     for r in listed:
         data = (tmp_path / "a" / r["name"]).read_bytes()
         assert len(data) == r["bytes"] and hashlib.sha256(data).hexdigest() == r["sha256"] and gzip.decompress(data).count(b"WARC/1.1\r\n") == r["records"]
-    assert not [p for p in (tmp_path / "a").iterdir() if p.name.startswith("tmp-")]
+    assert not (tmp_path / "a" / warc.TEMPORARY).exists()
     (tmp_path / "a" / "pages-00000-99999.warc.gz").write_bytes(b"left by a task that lost")
     rows = warc.read(spark, folder).collect()
     assert len(rows) == len(pages)
@@ -466,7 +467,7 @@ def test_warc_round_trip(spark, tmp_path):
             assert (r["record_type"], r["refers_to"]) == (("revisit", last) if revisit else ("response", None))
             assert bytes(r["payload"]) == raw if not revisit else r["payload"] is None
     again = f"file://{tmp_path}/b"
-    assert sorted(map(tuple, warc.write(df, again, roll_bytes=2000).collect())) == sorted(map(tuple, listed))
+    assert sorted(map(tuple, warc.write(df, again, shards=4, roll_bytes=2000).collect())) == sorted(map(tuple, listed))
 
 
 def test_warc_size_limit_and_no_pages(spark, tmp_path):
@@ -528,11 +529,34 @@ def test_rejected_rows_go_with_all_columns_kept(spark, docs):
 # ---- empty tables, registered queries, the pipeline
 
 
-def test_empty_tables(none):
+def test_empty_tables(spark, none, sf):
     assert exact_dedup.exact_groups(none).count() == 0
     assert simhash.near_groups(none).count() == 0
     assert packing.pack(none, tokenizer_path()).count() == 0
     assert token_counts.suffix_sums(token_counts.histogram(none, tokenizer_path())).count() == 0
+    model = quality.fit(none, spark.createDataFrame([], "doc_id long, quality int"), F.lit(True))
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    for out in (exact_dedup.drop_exact_copies(none), simhash.drop_near_copies(none), quality.drop_rejected(none, model), decontaminate.drop_contaminated(none, items)):
+        assert out.count() == 0 and out.columns == none.columns
+
+
+def test_pipeline_on_no_documents_and_on_repeated_rows(spark, sf, tmp_path):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert p.run(spark, str(tmp_path)).count() == 0
+    some = docs.limit(30)
+    once = exact_dedup.drop_exact_copies(some).count()
+    assert exact_dedup.drop_exact_copies(some.union(some).union(some)).count() == once
+
+
+def test_clashing_columns_change_no_token_sums(spark, docs):
+    clash = docs.withColumns({c: F.lit("clash") for c in ("length", "documents", "tokens", "block")})
+    rows = lambda df: sorted(map(tuple, token_counts.suffix_sums(token_counts.histogram(df, tokenizer_path())).collect()))
+    assert rows(clash) == rows(docs)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

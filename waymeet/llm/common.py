@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import bounded, clean, discard, scratch, scratch_path, store
+
+__all__ = ["bounded", "clean", "corpus", "discard", "keep_rows", "scratch", "scratch_path", "store", "table", "text_key", "tune"]
+
 #: Arrow batches are cut at this many bytes, so that a batch of very long texts fits a Python worker.
 BATCH_BYTES = 4 << 20
 
-_own_folder: dict[str, str] = {}
-
 
 def tune(spark: SparkSession) -> None:
     """Bound the bytes of an Arrow batch unless the session already does."""
@@ -22,40 +21,6 @@ def tune(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder from spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
-    given = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if given:
-        return given.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_folder:
-        _own_folder[app] = "file://" + tempfile.mkdtemp(prefix="waymeet-")
-    return _own_folder[app]
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/waymeet-llm/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a stored table that nothing reads any more."""
-    path = getattr(df, "_scratch_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        there = jvm.org.apache.hadoop.fs.Path(path)
-        there.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(there, True)
-
-
 def corpus(docs: DataFrame, *more: str) -> DataFrame:
     """(doc_id, text, *more): the columns an operator needs, missing ones as null; null texts count as empty."""
     has = set(docs.columns)
@@ -86,11 +51,10 @@ def keep_rows(docs: DataFrame, keys: DataFrame, how: str, one_each: bool = False
     row = row.withColumn("k_id", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(NO_DOC))).withColumn(
         "k_text", F.xxhash64(F.coalesce(F.col("row.text"), F.lit("")))
     )
+    if one_each:  # every task keeps one of its copies before they travel
+        row = row.groupBy("k_id", "k_text").agg(F.first("row").alias("row"))
     right = keys.select(F.coalesce("doc_id", F.lit(NO_DOC)).alias("r_id"), F.col("text_key").alias("r_text"))
     out = row.join(right, (F.col("k_id") == F.col("r_id")) & (F.col("k_text") == F.col("r_text")), how)
-    if one_each:
-        w = Window.partitionBy("k_id", "k_text").orderBy(F.lit(1))
-        out = out.withColumn("rn", F.row_number().over(w)).filter("rn = 1")
     return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 

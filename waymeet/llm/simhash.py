@@ -23,8 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import corpus, keep_rows, store, text_key, tune
-from .components import components
+from ..operators.graph import components
+from .common import bounded, corpus, keep_rows, store, text_key, tune
 
 BITS = 64
 
@@ -163,11 +163,14 @@ def near_groups(docs: DataFrame, *, width: int = 4, max_bits: int = 4, seed: int
     nodes = store(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "nodes")
     edges = store(near_links(nodes.select("fp"), max_bits), "links")
     roots = components(edges)
-    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id", "n")
-    named = store(named, "named")
-    whole = named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("n").alias("size"))
-    many = store(named.join(whole.filter("size > 1"), "root").select(F.col("fp").alias("node"), "component_id"), "many")
-    return marked.join(many, marked.fp == many.node, "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"), "text_key")
+    # only fingerprints that are linked to others travel: those that are alone name themselves
+    linked = store(nodes.join(roots, nodes.fp == roots.node).select("fp", "root", "first_id"), "linked")
+    whole = store(linked.groupBy("root").agg(F.min("first_id").alias("least")).select(F.col("root").alias("of"), "least"), "components")
+    named = store(linked.join(bounded(whole, 24), F.col("root") == F.col("of")).select(F.col("fp").alias("node"), F.col("least").alias("component_id")), "named")
+    alone = nodes.filter("n > 1").join(roots, nodes.fp == roots.node, "left_anti").select(F.col("fp").alias("node"), F.col("first_id").alias("component_id"))
+    many = store(named.unionByName(alone), "many")
+    out = marked.join(bounded(many, 24), marked.fp == many.node, "left")
+    return out.select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"), "text_key")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

@@ -4,8 +4,8 @@ Tasks encode their documents and return how many have each length; Spark adds th
 then answer every context limit: how many documents and tokens there are, how many documents are longer, and what is
 left if all are cut at the limit. Quantiles read off the same sums.
 
-Defined results: a null text is an empty one of length zero; repeated rows count as often as they occur; other columns
-are ignored; an empty table gives an empty histogram.
+Defined results: a null text is an empty one of length zero; repeated rows count as often as they occur; other columns,
+whatever their names, are ignored; an empty table gives an empty histogram.
 """
 
 from __future__ import annotations

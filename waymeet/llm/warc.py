@@ -11,7 +11,7 @@ found on digest, length and a second hash before the payloads move. The folder c
 and Spark both reach.
 
 Defined results: a null html is an empty payload; a null url writes no target; rows with a null page_id and repeated
-rows of the largest page_id are responses of their own; other columns are ignored; no pages give an empty manifest.
+rows of the largest page_id are responses of their own; other columns, whatever their names, are ignored; no pages give an empty manifest.
 """
 
 from __future__ import annotations
@@ -27,11 +27,15 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import store, tune
+from .common import bounded, store, tune
 
 MANIFEST_DDL = "name string, records long, bytes long, sha256 string"
 RECORD_DDL = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 ID = "urn:waymeet:page:"
+#: Tasks that read archives, at most; a task reads its files one after another.
+READERS = 100_000
+#: Folder of files that are not complete.
+TEMPORARY = "_tmp"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -81,7 +85,7 @@ def _write(folder: str, prefix: str, roll_bytes: int, level: int, date: str):
                 return
             data = b"".join(held)
             name = f"{prefix}-{at.partitionId():05d}-{len(made):05d}.warc.gz"
-            temporary = f"{root}/tmp-{name}-{at.taskAttemptId()}"
+            temporary = f"{root}/{TEMPORARY}/{name}-{at.taskAttemptId()}"
             with fs.open_output_stream(temporary, compression=None) as f:
                 f.write(data)
             fs.move(temporary, f"{root}/{name}")
@@ -108,8 +112,12 @@ def _write(folder: str, prefix: str, roll_bytes: int, level: int, date: str):
     return run
 
 
-def write(pages: DataFrame, folder: str, *, prefix: str = "pages", min_revisit_bytes: int = 0, shards: int | None = None, roll_bytes: int = 16 << 20, level: int = 6, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
-    """Write pages (page_id, url, html) under folder; returns the committed manifest."""
+def write(pages: DataFrame, folder: str, *, prefix: str = "pages", min_revisit_bytes: int = 0, shards: int | None = None, shard_bytes: int = 16 << 20, roll_bytes: int = 16 << 20, level: int = 6, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
+    """Write pages (page_id, url, html) under folder; returns the committed manifest.
+
+    shards: ranges of page_id, each written by one task; by default one for every shard_bytes of payload. roll_bytes:
+    compressed size at which a task goes on to its next file.
+    """
     spark = pages.sparkSession
     tune(spark)
     has = set(pages.columns)
@@ -119,21 +127,21 @@ def write(pages: DataFrame, folder: str, *, prefix: str = "pages", min_revisit_b
     same = ["digest", "n_bytes", "check"]
     digests = store(rows.select("page_id", F.sha1("html").alias("digest"), F.octet_length("html").alias("n_bytes"), "check"), "digests")
     groups = digests.filter(F.col("n_bytes") >= min_revisit_bytes).groupBy(*same).agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1")
-    groups = store(groups.select(*(F.col(c).alias(f"g_{c}") for c in same), "refers_to"), "payloads")
+    groups = bounded(store(groups.select(*(F.col(c).alias(f"g_{c}") for c in same), "refers_to"), "payloads"), 80)
     on = [F.col(c) == F.col(f"g_{c}") for c in same]
     revisits = digests.join(groups, on[0] & on[1] & on[2]).filter("page_id < refers_to")
     revisits = store(revisits.select("page_id", "check", "refers_to"), "revisits")
 
     told = revisits.select("page_id", F.lit(False).alias("is_page"), "check", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("html"), "refers_to")
     full = rows.select("page_id", F.lit(True).alias("is_page"), "check", "url", "html", F.lit(None).cast("long").alias("refers_to"))
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if shards is None:
+        size = digests.agg(F.sum(F.col("n_bytes") + 500)).first()[0] or 0
+        shards = max(1, -(-size // shard_bytes))
     dealt = full.unionByName(told).repartitionByRange(shards, "page_id").sortWithinPartitions("page_id", "is_page", "url", "check")
     fs, root = pafs.FileSystem.from_uri(folder)
-    fs.create_dir(root, recursive=True)
+    fs.create_dir(f"{root}/{TEMPORARY}", recursive=True)
     dealt.mapInArrow(_write(folder, prefix, roll_bytes, level, date), MANIFEST_DDL).write.parquet(f"{folder}/_manifest")
-    for left in fs.get_file_info(pafs.FileSelector(root)):
-        if left.base_name.startswith("tmp-"):  # of tasks that were lost or lost the race
-            fs.delete_file(left.path)
+    fs.delete_dir(f"{root}/{TEMPORARY}")  # with what tasks that were lost, or lost the race, have left
     return manifest(spark, folder)
 
 
@@ -202,5 +210,6 @@ def read(spark: SparkSession, folder: str, *, with_payload: bool = True) -> Data
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    files = manifest(spark, folder).select("name").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    listed = manifest(spark, folder)
+    files = listed.select("name").repartition(max(1, min(listed.count(), READERS)))
     return files.mapInArrow(run, RECORD_DDL)
