@@ -2,7 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and judges all rows that the one before it kept. The first four return the
 columns of documents, the last one the pieces of the packed sequences. run() writes each stage's result to the shared
-folder and reads it again, so a lost executor costs at most one stage.
+folder and reads it again, so a lost executor costs at most one stage; what a stage and the one before it have stored is
+deleted then.
+
+Defined results, in all stages: a null text is an empty one; repeated rows are judged each, and of rows equal in doc_id
+and text the dedup stages keep one; columns of docs with any names stay as they are; no documents give no pieces.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymeet.llm import decontaminate, exact_dedup, packing, quality, simhash
-from waymeet.llm.common import store, table
+from waymeet.llm.common import discard, scratch, store, table
 from waymeet.llm.queries import tokenizer_path
 from waymeet.llm.sampling import fold_of
 
@@ -57,5 +61,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = store(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch():
+            made = store(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
+        discard(docs)
+        docs = made
     return docs

@@ -34,13 +34,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/waymeet/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
+def store(df: DataFrame, name: str, *, keep: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    keep: a surrounding scratch() leaves the table.
+    """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path
-    if _tracked:
+    if _tracked and not keep:
         _tracked[-1].append(out)
     return out
 
