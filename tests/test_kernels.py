@@ -51,7 +51,7 @@ def test_no_conflict_when_too_late_or_both_vulnerable_or_apart(spark):
     seconds_apart = scene(spark, (1, "car", 60, 0, east(15)), (2, "car", 60, 2.5, north(15)))
     assert interactions.pet3d(seconds_apart).count() == 0
     parallel = scene(spark, (1, "car", 90, 0, east()), (2, "car", 90, 0, east(y=1.9)))
-    pairs = interactions.tube_hits(interactions.frame_pairs(parallel, reach=13.45, band_us=3_000_000))
+    pairs = interactions.tube_hits(interactions.frame_pairs(parallel, band_us=3_000_000))
     assert pairs.count() > 0 and interactions.box_hits(pairs).count() == 0
 
 

@@ -91,3 +91,24 @@ def letterbox(width: Column, height: Column, side: int = 640, stride: int = 32)
     gain = F.least(F.lit(float(side)) / width, F.lit(float(side)) / height)
     pad = lambda v: ((side - F.bround(v * gain).cast("int")) % stride) / 2
     return {"gain": gain, "pad_x": pad(width), "pad_y": pad(height)}
+
+
+def resample_ring(ring: Column, n: int) -> Column:
+    """n points (x, y) at equal steps of the number of corners along a closed ring given as array of (x, y)."""
+    closed = F.concat(ring, F.slice(ring, 1, 1))
+    last = F.size(closed) - 1
+
+    def at(k: Column) -> Column:
+        t = k * last / (n - 1)
+        i = F.least(F.floor(t), last - 1).cast("int")
+        p, q = F.get(closed, i), F.get(closed, i + 1)
+        return F.struct((p.x + (t - i) * (q.x - p.x)).alias("x"), (p.y + (t - i) * (q.y - p.y)).alias("y"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), at)
+
+
+def box_of_points(points: Column, width: float, height: float) -> Box:
+    """The box around those of the points that lie in an image; zeros where none does."""
+    inside = F.filter(points, lambda p: p.x.between(0, width) & p.y.between(0, height))
+    side = lambda c, f: F.coalesce(f(F.transform(inside, lambda p: p.getField(c))), F.lit(0.0))
+    return side("x", F.array_min), side("y", F.array_min), side("x", F.array_max), side("y", F.array_max)

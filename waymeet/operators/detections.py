@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes
+from ..storage import bounded, store
+from .walks import each_track
 
 BOX = ("x1", "y1", "x2", "y2")
 
@@ -19,22 +21,21 @@ def suppress(found: DataFrame, *, iou: float = 0.65, conf: float = 0.25, most_in
     best = Window.partitionBy("frame_id").orderBy(F.desc("conf"), "det_id", *BOX)
     rows = found.filter(F.col("conf") > conf).withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= most_in).drop("rn")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        pdf = pdf.sort_values(["conf", "det_id", *BOX], ascending=[False] + [True] * 5).reset_index(drop=True)
-        b = pdf[list(BOX)].to_numpy()
-        b = b + pdf["cls"].to_numpy()[:, None] * 2 * (abs(b).max() + 1)  # classes side by side, so they cannot overlap
+    def alive(at: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        b = np.stack([at[c] for c in BOX], axis=1)
+        b = b + at["cls"][:, None] * 2 * (abs(b).max() + 1)  # classes side by side, so they cannot overlap
         size = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
-        alive = np.ones(len(b), bool)
+        left = np.ones(len(b), bool)
         for k in range(len(b)):
-            if alive[k]:
+            if left[k]:
                 wh = np.minimum(b[k, 2:], b[k + 1 :, 2:]) - np.maximum(b[k, :2], b[k + 1 :, :2])
                 both = np.prod(np.clip(wh, 0, None), axis=1)
-                alive[k + 1 :] &= ~(both > iou * (size[k] + size[k + 1 :] - both))
-        return pdf[alive]
+                left[k + 1 :] &= ~(both > iou * (size[k] + size[k + 1 :] - both))
+        return {"alive": left}
 
-    kept = rows.groupBy("frame_id").applyInPandas(run, rows.schema)
+    rest = [c for c in rows.columns if c != "frame_id"]
+    judged = each_track(rows, rest, alive, "alive boolean", key=("frame_id",), order=(F.desc("conf"), "det_id", *BOX))
+    kept = judged.filter("alive").select(*rows.columns)
     return kept.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= most_out).drop("rn")
 
 
@@ -58,30 +59,76 @@ def confusion(found: DataFrame, truth: DataFrame, *, iou: float = 0.45, conf: fl
     return hit.unionByName(missed).unionByName(extra).groupBy("cls", "t_cls").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _ranged(judged: DataFrame) -> DataFrame:
+    """judged by falling confidence in ranges that may cut a class anywhere, with the number of the range as part."""
+    parts = int(judged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return store(judged.repartitionByRange(parts, "cls", F.desc("conf"), "det_id").withColumn("part", F.spark_partition_id()), "judged")
+
+
 def precision_recall(judged: DataFrame, truth_counts: DataFrame) -> DataFrame:
-    """judged: (cls, conf, det_id, tp); truth_counts: (cls, n_truth). Adds precision and recall at each confidence."""
-    w = Window.partitionBy("cls").orderBy(F.desc("conf"), "det_id").rowsBetween(Window.unboundedPreceding, 0)
-    out = judged.withColumns({"tp_sum": F.sum(F.col("tp").cast("long")).over(w), "n_sum": F.count(F.lit(1)).over(w)})
-    out = out.join(truth_counts, "cls")
+    """judged: (cls, conf, det_id, tp); truth_counts: (cls, n_truth). Adds precision and recall at each confidence.
+
+    Sums run inside ranges of a class and over the ranges' totals, so a class of any size is spread over many tasks.
+    """
+    rows = _ranged(judged)
+    before = Window.partitionBy("cls").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("part", "cls").agg(F.sum(F.col("tp").cast("long")).alias("tps"), F.count(F.lit(1)).alias("ns"))
+    totals = totals.select("part", "cls", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("tps", "ns")))
+    w = Window.partitionBy("part", "cls").orderBy(F.desc("conf"), "det_id").rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.join(bounded(totals, 40), ["part", "cls"])
+    out = out.withColumns({"tp_sum": F.sum(F.col("tp").cast("long")).over(w) + F.col("tps"), "n_sum": F.count(F.lit(1)).over(w) + F.col("ns")}).drop("tps", "ns")
+    out = out.join(bounded(truth_counts, 16), "cls")
     return out.withColumns({"precision": F.col("tp_sum") / F.col("n_sum"), "recall": F.col("tp_sum") / F.col("n_truth")})
 
 
 def average_precision(judged: DataFrame, truth_counts: DataFrame, points: int = 101) -> DataFrame:
-    """(cls, ap): area under the falling envelope of precision, read at equal steps of recall and summed by trapezoids."""
+    """(cls, ap): area under the falling envelope of precision, read at equal steps of recall and summed by trapezoids.
+
+    Every row of the envelope goes to the one step that it is next to, so a class is read in one row a step.
+    """
     pr = precision_recall(judged, truth_counts)
-    after = Window.partitionBy("cls").orderBy(F.asc("conf"), F.desc("det_id")).rowsBetween(Window.unboundedPreceding, 0)
-    env = pr.withColumn("env", F.max("precision").over(after)).groupBy("cls", "recall").agg(F.max("env").alias("env"))
-    grid = truth_counts.select("cls", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k"))
-    grid = grid.select("cls", "k", (F.col("k") / (points - 1)).alias("r"))
-    at = grid.join(env, "cls", "left")
+    later = Window.partitionBy("cls").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    tops = pr.groupBy("part", "cls").agg(F.max("precision").alias("top")).select("part", "cls", F.max("top").over(later).alias("top"))
+    after = Window.partitionBy("part", "cls").orderBy(F.asc("conf"), F.desc("det_id")).rowsBetween(Window.unboundedPreceding, 0)
+    env = pr.join(bounded(tops, 32), ["part", "cls"]).withColumn("env", F.greatest(F.max("precision").over(after), "top"))
+    env = env.groupBy("cls", "recall").agg(F.max("env").alias("env"))
+    last = points - 1
+    at = F.ceil(F.col("recall") * last).cast("int")
+    at = F.when((at - 1) / last >= F.col("recall"), at - 1).when(at / last < F.col("recall"), at + 1).otherwise(at)
+    pair = F.struct("recall", "env")
+    steps = env.groupBy("cls", at.alias("k")).agg(F.max(pair).alias("lo"), F.min(pair).alias("hi"))
+    # a row is at or below the steps from its own on, and above all before it
+    grid = truth_counts.select("cls", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("k"))
+    grid = grid.join(steps, ["cls", "k"], "full")
+    down = Window.partitionBy("cls").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    up = Window.partitionBy("cls").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)
+    read = grid.select("cls", "k", (F.col("k") / last).alias("r"), F.max("lo").over(down).alias("lo"), F.min("hi").over(up).alias("hi")).filter(F.col("k") <= last)
     # between two recalls the envelope runs straight; before the first it is 1, after the last 0
-    lo = F.max(F.when(F.col("recall") <= F.col("r"), F.struct("recall", "env"))).alias("lo")
-    hi = F.min(F.when(F.col("recall") > F.col("r"), F.struct("recall", "env"))).alias("hi")
-    read = at.groupBy("cls", "k", "r").agg(lo, hi)
     r0, e0 = F.coalesce("lo.recall", F.lit(0.0)), F.coalesce("lo.env", F.lit(1.0))
     value = F.when(F.col("hi").isNull(), F.when(F.col("lo.recall") == F.col("r"), e0).otherwise(0.0)).otherwise(e0 + (F.col("hi.env") - e0) * (F.col("r") - r0) / (F.col("hi.recall") - r0))
-    half = F.when(F.col("k").isin(0, points - 1), 0.5).otherwise(1.0)
-    return read.withColumn("v", value * half).groupBy("cls").agg((F.sum("v") / (points - 1)).alias("ap"))
+    half = F.when(F.col("k").isin(0, last), 0.5).otherwise(1.0)
+    return read.withColumn("v", value * half).groupBy("cls").agg((F.sum("v") / last).alias("ap"))
+
+
+def best_f1(judged: DataFrame, truth_counts: DataFrame) -> DataFrame:
+    """(cls, conf, precision, recall, f1): per class the confidence with the best harmonic mean of precision and recall, the highest of equals.
+
+    Detections of one confidence stand or fall together.
+    """
+    pr = precision_recall(judged, truth_counts).groupBy("cls", "conf").agg(F.max_by(F.struct("precision", "recall"), "n_sum").alias("p"))
+    f1 = 2 * F.col("p.precision") * F.col("p.recall") / (F.col("p.precision") + F.col("p.recall") + 1e-16)
+    best = pr.withColumn("f1", F.round(f1, 9)).groupBy("cls").agg(F.max(F.struct("f1", "conf", "p")).alias("b"))
+    return best.select("cls", "b.conf", "b.p.precision", "b.p.recall", "b.f1")
+
+
+def fitness(metrics: DataFrame) -> DataFrame:
+    """Adds fitness: a tenth of the mean precision at overlap 0.5 (map50) and nine of that over overlaps 0.5 to 0.95 (map)."""
+    return metrics.withColumn("fitness", 0.1 * F.col("map50") + 0.9 * F.col("map"))
+
+
+def image_weights(truth: DataFrame, weights: DataFrame) -> DataFrame:
+    """(frame_id, weight): the sum of the class weights (cls, weight) of a frame's objects."""
+    return truth.join(bounded(weights.select("cls", "weight"), 16), "cls").groupBy("frame_id").agg(F.sum("weight").alias("weight"))
 
 
 def class_weights(truth: DataFrame) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kinematics
 from .tracks import KEY, along, arc_length
+from .walks import each_track
 
 
 def curvature(points: DataFrame) -> DataFrame:
@@ -56,14 +57,7 @@ def gaussian_smooth(points: DataFrame, *, share: float = 15.0, reach: float = 4.
 
 def _cut(points: DataFrame, starts) -> DataFrame:
     """Adds segment, counted from 0: starts(x, y) tells, for the rows of one track, which begin a new one."""
-    kept = points.select(*KEY, "ord", "x", "y")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        pdf["segment"] = pd.Series(starts(pdf["x"].to_numpy(), pdf["y"].to_numpy()), index=pdf.index).cumsum().astype("int32")
-        return pdf
-
-    return kept.groupBy(*KEY).applyInPandas(run, "id_record long, id_vehicle long, ord long, x double, y double, segment int")
+    return each_track(points, ["x", "y"], lambda at: {"segment": np.cumsum(starts(at["x"].tolist(), at["y"].tolist()))}, "segment int")
 
 
 def distance_segments(points: DataFrame, *, distance: float = 3.0, rows: int = 6) -> DataFrame:
@@ -121,17 +115,22 @@ def trim_borders(points: DataFrame, metres: float = 1.0) -> DataFrame:
     return out.withColumns({"first": first, "last": last}).filter(F.col("ord").between(F.col("first"), F.col("last"))).drop("first", "last", "total", "step", "arc")
 
 
-def banned(points: DataFrame, *, early: tuple[int, int] = (11, 29), back: int = 9, at: int = 100, least: float = 0.5) -> DataFrame:
+def banned(points: DataFrame, *, early: tuple[int, int] = (11, 29), back: int = 9, at: int = 100, least: float = 0.5, pixels: float = 5.0) -> DataFrame:
     """Adds banned: from the first row on which a track fails, for good.
 
     In its early rows it fails where it is outside the zones now or `back` rows ago, or has come less than `least`
-    metres; on row `at` where that is less than `least` from its first row.
+    metres; on row `at` where that is less than `least` from its first row, or, if points have px and py, less than
+    `pixels` in the image.
     """
     w = along()
     out = arc_length(points).withColumn("nth", F.row_number().over(w))
     inside = F.col("valid") & F.coalesce(F.lag("valid", back).over(w), F.lit(False))
     net = F.hypot(F.col("x") - F.first("x").over(kinematics.whole(w)), F.col("y") - F.first("y").over(kinematics.whole(w)))
-    fails = (F.col("nth").between(*early) & (~inside | (F.col("arc") < least))) | ((F.col("nth") == at) & (net < least))
+    still = net < least
+    if {"px", "py"} <= set(points.columns):
+        from_first = [F.col(c) - F.first(c).over(kinematics.whole(w)) for c in ("px", "py")]
+        still = still | (F.hypot(*from_first) < pixels)
+    fails = (F.col("nth").between(*early) & (~inside | (F.col("arc") < least))) | ((F.col("nth") == at) & still)
     return out.withColumn("banned", F.max(fails).over(kinematics.so_far(w))).drop("nth", "step", "arc")
 
 
@@ -167,10 +166,30 @@ def strided(points: DataFrame, most: int = 1200) -> DataFrame:
 
 
 def step_scale(points: DataFrame) -> DataFrame:
-    """Per record the sums behind the mean change of x and y from row to row, in the order of vehicles: dx, dy and n steps."""
-    w = Window.partitionBy("id_record").orderBy("id_vehicle", "ord")
-    moved = points.select("id_record", *(F.abs(F.col(c) - F.lag(c).over(w)).alias(f"d{c}") for c in "xy"))
-    return moved.groupBy("id_record").agg(F.sum("dx").alias("dx"), F.sum("dy").alias("dy"), F.count("dx").alias("n"))
+    """Per record the sums behind the mean change of x and y from row to row, in the order of vehicles: dx, dy and n steps.
+
+    Steps inside tracks and those from one track's end to the next one's start are summed apart, so no task sorts a record.
+    """
+    inside = points.select("id_record", *(F.abs(F.col(c) - F.lag(c).over(along())).alias(f"d{c}") for c in "xy"))
+    ends = points.groupBy(*KEY).agg(*(f(c, "ord").alias(f"{n}_{c}") for c in "xy" for n, f in (("first", F.min_by), ("last", F.max_by))))
+    w = Window.partitionBy("id_record").orderBy("id_vehicle")  # a row a track
+    between = ends.select("id_record", *(F.abs(F.col(f"first_{c}") - F.lag(f"last_{c}").over(w)).alias(f"d{c}") for c in "xy"))
+    return inside.unionByName(between).groupBy("id_record").agg(F.sum("dx").alias("dx"), F.sum("dy").alias("dy"), F.count("dx").alias("n"))
+
+
+def padded(points: DataFrame, most: int = 1200) -> DataFrame:
+    """Rows k = 0 .. most - 1 of every track: its strided rows, then rows of zeros where pad is true."""
+    kept = strided(points, most).withColumn("k", (F.row_number().over(along()) - 1).cast("int"))
+    grid = points.select(*KEY).distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
+    out = grid.join(kept.select(*KEY, "k", "x", "y"), [*KEY, "k"], "left")
+    return out.select(*KEY, "k", F.coalesce("x", F.lit(0.0)).alias("x"), F.coalesce("y", F.lit(0.0)).alias("y"), F.col("x").isNull().alias("pad"))
+
+
+def reconstruction_error(rows: DataFrame, *key: str) -> DataFrame:
+    """Per key the mean square error of (x_hat, y_hat) against (x, y) over rows that are not padding, its root, and a hundred times the mean."""
+    square = lambda c: F.pow(F.col(f"{c}_hat") - F.col(c), 2)
+    error = rows.filter(~F.col("pad")).groupBy(*key).agg(((F.sum(square("x")) + F.sum(square("y"))) / (2 * F.count(F.lit(1)))).alias("mse"))
+    return error.withColumns({"rmse": F.sqrt("mse"), "loss": F.col("mse") * 100})
 
 
 def consistent(*, error: Column, frames: Column, seen: Column, expected: Column, turn: Column, distance: float = 2.0, factor: float = 3.0, most_turn: float = math.pi / 2, settled: int = 150) -> Column:

@@ -255,3 +255,83 @@ def nearest_in_time(points: DataFrame, asked: DataFrame, tolerance_us: int) -> D
     near = left.join(points.withColumn("slot", slot("us")), [*KEY, "slot"]).filter(F.abs(F.col("us") - F.col("ask_us")) <= tolerance_us)
     best = F.min_by(F.struct("us", "x", "y", "ord"), F.struct(F.abs(F.col("us") - F.col("ask_us")), F.col("ord"))).alias("b")
     return near.groupBy(*KEY, "ask_us").agg(best).select(*KEY, "ask_us", "b.us", "b.x", "b.y", "b.ord")
+
+
+def from_base(points: DataFrame, base: DataFrame) -> DataFrame:
+    """Adds seconds since the record's base instant (id_record, base_us), negative before it."""
+    return points.join(base, "id_record").withColumn("seconds", (F.col("us") - F.col("base_us")) / 1e6).drop("base_us")
+
+
+def initial_filter(points: DataFrame, *, share: float = 0.2, frames: int = 15) -> DataFrame:
+    """Tracks (with frames and share_detected) detected often and seen long enough to be worth enhancing."""
+    found = points.groupBy(*KEY).agg(F.count(F.lit(1)).alias("frames"), F.avg(F.col("detected").cast("double")).alias("share_detected"))
+    return found.filter((F.col("share_detected") >= share) & (F.col("frames") >= frames))
+
+
+def finished_at_end(points: DataFrame, least: int = 3) -> DataFrame:
+    """Tracks that count as finished when their record ends: those of at least that many frames."""
+    return points.groupBy(*KEY).agg(F.count(F.lit(1)).alias("frames")).filter(F.col("frames") >= least)
+
+
+def merge_tracks(points: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Tracks joined by hand: pairs (id_record, id_vehicle, into); rows of both are one track in order of time."""
+    both = points.join(pairs.select(*KEY, "into"), list(KEY), "left").withColumn("id_vehicle", F.coalesce("into", "id_vehicle")).drop("into")
+    w = Window.partitionBy(*KEY).orderBy("us", "ord", "event_id" if "event_id" in points.columns else "ord")
+    return both.withColumn("ord", (F.row_number().over(w) - 1).cast("long"))
+
+
+def remove_tracks(points: DataFrame, tracks: DataFrame) -> DataFrame:
+    return points.join(tracks.select(*KEY).distinct(), list(KEY), "left_anti")
+
+
+def rebuilt(points: DataFrame, *key: str) -> DataFrame:
+    """Per piece of a track (KEY and key): frames, rows since the last detection, class by vote and mean size of its detected rows.
+
+    Pieces without a detection are gone.
+    """
+    by = [*KEY, *key]
+    votes = points.filter("detected").groupBy(*by, "class_name").count()
+    voted = votes.groupBy(*by).agg(F.min(F.struct((-F.col("count")).alias("n"), "class_name")).alias("v")).select(*by, F.col("v.class_name").alias("class_name"))
+    seen = F.when(F.col("detected"), F.col("ord"))
+    sizes = [F.avg(F.when(F.col("detected"), F.col(c))).alias(c) for c in ("length", "width", "height")]
+    found = points.groupBy(*by).agg(F.count(F.lit(1)).alias("frames"), (F.max("ord") - F.max(seen)).alias("undetected"), *sizes)
+    return found.join(voted, by)
+
+
+def fitted_or_raw(points: DataFrame, *columns: str) -> DataFrame:
+    """Each column from its fitted one (column_fit) where there is a value, else as measured."""
+    return points.withColumns({c: F.coalesce(f"{c}_fit", c) for c in columns})
+
+
+def history_slice(points: DataFrame, first: int, end: int) -> DataFrame:
+    """Rows first .. end - 1 of every track; negative ends count from its last row."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*KEY))
+    at = F.row_number().over(along()) - 1
+    place = lambda v: F.lit(v) if v >= 0 else F.col("n") + v
+    return points.withColumns({"n": n, "at": at}).filter((F.col("at") >= place(first)) & (F.col("at") < place(end))).drop("n", "at")
+
+
+def lagged_positions(points: DataFrame, rows: int = 3) -> DataFrame:
+    """Adds where the track was `rows` rows before, null on its first ones, and the instant in seconds of the epoch."""
+    w = along()
+    return points.withColumns({f"{c}_before": F.lag(c, rows).over(w) for c in "xyz"} | {"epoch": F.col("us") / 1e6})
+
+
+def record_counts(points: DataFrame, size: tuple[int, int] = (640, 480)) -> DataFrame:
+    """Per record its tracks, frames and rows, and the size of its image."""
+    found = points.groupBy("id_record").agg(F.countDistinct("id_vehicle").alias("tracks"), F.countDistinct("us").alias("frames"), F.count(F.lit(1)).alias("rows"))
+    return found.withColumns({"width": F.lit(size[0]), "height": F.lit(size[1])})
+
+
+def new_numbers(tracks: DataFrame, taken: DataFrame) -> DataFrame:
+    """tracks (KEY) with new_vehicle: numbers above all of the record's in taken, in order; the first is 1 where there are none."""
+    top = taken.groupBy("id_record").agg(F.max("id_vehicle").alias("top"))
+    number = F.row_number().over(Window.partitionBy("id_record").orderBy("id_vehicle"))
+    return tracks.withColumn("nth", number).join(top, "id_record", "left").withColumn("new_vehicle", F.coalesce("top", F.lit(0)) + F.col("nth")).drop("nth", "top")
+
+
+def appended_sizes(points: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id_record, id_vehicle, length, width, height) of tracks after others are appended: means weighted by frames."""
+    each = points.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), *(F.min_by(c, "ord").alias(c) for c in ("length", "width", "height")))
+    into = each.join(pairs.select(*KEY, "into"), list(KEY), "left").withColumn("id_vehicle", F.coalesce("into", "id_vehicle"))
+    return into.groupBy(*KEY).agg(*((F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in ("length", "width", "height")))

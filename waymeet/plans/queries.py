@@ -493,15 +493,29 @@ def greedy_match(spark, sf):
 
 @query(
     "chain_resolution",
-    """with recursive l as (select user_id as i, user_id // 2 as j from events where user_id > 0 group by 1), r as (select i, j from l union select r.i, l.j from r join l on r.j = l.i)
-    select i, min(j) as root from r group by i""",
+    SQL["greedy_match"].rsplit("select id_record, i, j from m", 1)[0].rstrip()
+    + """, l as (select id_record, i, j from m where i is not null), r as (select id_record, i, j, 1 as steps from l union all select r.id_record, r.i, l.j, steps + 1 from r join l on l.id_record = r.id_record and l.i = r.j)
+    select id_record, i, arg_max(j, steps) as root from r group by 1, 2""",
 )
 def chain_resolution(spark, sf):
-    links = views.read(spark, sf, "events").filter("user_id > 0").select(F.lit(0).alias("g"), F.col("user_id").alias("i"), F.floor(F.col("user_id") / 2).alias("j")).distinct()
-    return matching.chains(links, ["g"]).select("i", "root")
+    return matching.chains(greedy_match(spark, sf), ["id_record"]).select("id_record", "i", "root")
 
 
-@query("kalman_track")
+_STEP = """a.*, p.ord as o, p.x as zx, p.y as zy, p.z as zz, p.detected as seen, kx + kvx / 30 as qx, ky + kvy / 30 as qy, kz + kvz / 30 as qz,
+        pa + 2 * pb / 30 + pc / 900 + 1 as na, pb + pc / 30 as nb, pc + 0.01 as nc"""
+
+
+@query(
+    "kalman_track",
+    f"""with recursive {P}, s as (
+        select id_record, id_vehicle, ord, x as kx, y as ky, z as kz, 0.0::double as kvx, 0.0::double as kvy, 0.0::double as kvz, 10.0::double as pa, 0.0::double as pb, 10.0::double as pc from points where ord = 0
+        union all
+        select id_record, id_vehicle, o, {', '.join(f'q{c} + case when seen then na / (na + 1) * (z{c} - q{c}) else 0 end' for c in 'xyz')},
+               {', '.join(f'kv{c} + case when seen then nb / (na + 1) * (z{c} - q{c}) else 0 end' for c in 'xyz')},
+               case when seen then (1 - na / (na + 1)) * na else na end, case when seen then (1 - na / (na + 1)) * nb else nb end, case when seen then nc - nb / (na + 1) * nb else nc end
+        from (select {_STEP} from s a join points p on p.id_record = a.id_record and p.id_vehicle = a.id_vehicle and p.ord = a.ord + 1))
+    select id_vehicle, ord, {', '.join(f'round({c}, 6) as {c}' for c in ('kx', 'ky', 'kz', 'kvx', 'kvy', 'kvz'))} from s""",
+)
 def kalman_track(spark, sf):
     return r6(matching.kalman(views.points(spark, sf)).drop("id_record"), "kx", "ky", "kz", "kvx", "kvy", "kvz")
 
@@ -519,18 +533,22 @@ def bev_corners(spark, sf):
     return out.select("id_vehicle", "ord", *(F.round(F.col("c").getItem(i).getField(k), 6).alias(f"{k}{i}") for i in range(4) for k in "xy"))
 
 
-_INSIDE = " or ".join(
-    "("
-    + " + ".join(
-        f"(case when ({y1} > y) <> ({y2} > y) and x < ({x2} - {x1}) * (y - {y1}) / ({y2} - {y1}) + {x1} then 1 else 0 end)" if y1 != y2 else "0"
-        for (x1, y1), (x2, y2) in zip(v, v[1:] + v[:1], strict=True)
-    )
-    + ") % 2 = 1"
-    for _, _, v in views.ZONE_LIST
-)
+def _edge_sql(x1: float, y1: float, x2: float, y2: float) -> str:
+    span = f"x between {min(x1, x2)} - 1e-9 and {max(x1, x2)} + 1e-9 and y between {min(y1, y2)} - 1e-9 and {max(y1, y2)} + 1e-9"
+    return f"(abs(({x2} - {x1}) * (y - {y1}) - ({y2} - {y1}) * (x - {x1})) <= 1e-9 and {span})"
+
 
+def _zone_sql(v: list[tuple[float, float]]) -> str:
+    """Inside by the even-odd rule, and on no edge."""
+    sides = [(*p, *q) for p, q in zip(v, v[1:] + v[:1], strict=True)]
+    crossed = " + ".join(f"(case when ({y1} > y) <> ({y2} > y) and x < ({x2} - {x1}) * (y - {y1}) / ({y2} - {y1}) + {x1} then 1 else 0 end)" for x1, y1, x2, y2 in sides if y1 != y2)
+    return f"(({crossed}) % 2 = 1 and not ({' or '.join(_edge_sql(*e) for e in sides)}))"
 
-@query("point_in_zone", f"with {P} select event_id from points where y <> 20 and ({_INSIDE})")
+
+_INSIDE = " or ".join(_zone_sql(v) for _, _, v in views.ZONE_LIST)
+
+
+@query("point_in_zone", f"with {P} select event_id from points where {_INSIDE}")
 def point_in_zone(spark, sf):
     return interactions.in_zones(views.points(spark, sf), views.zones(spark)).select("event_id")
 
@@ -552,6 +570,13 @@ _NEAR = f"""near as (select a.id_record, a.id_vehicle as a, b.id_vehicle as b, a
 _DAY = f"""{views.points_sql('%Y%m%d')}, pts as (select *, avg(yaw) over (partition by id_record, id_vehicle order by ord rows between 30 preceding and 1 preceding) as yb from points),
     slots as (select distinct id_record, id_vehicle, us // {HOUR_US} as slot from points),
     met as (select distinct s.id_record, s.id_vehicle as a, t.id_vehicle as b from slots s join slots t on s.id_record = t.id_record and s.slot = t.slot and s.id_vehicle < t.id_vehicle), {views.maneuvers_sql()}"""
+
+
+def _day_sql(factor: float) -> str:
+    """_DAY and _NEAR for vehicles `factor` times as long."""
+    return f"{_DAY}, {_NEAR}".replace("pts as (select *,", f"pts as (select * replace (length * {factor} as length),", 1)
+
+
 _TYPE = """case when known is null or known = 'Check individual' then (case when d > 45 then 'Crossing' when d < 45 and d > 15 then 'Merging' else 'Following' end) else known end"""
 
 
@@ -561,22 +586,21 @@ def _angle(p: str, q: str) -> str:
 
 @query("sat_overlap", f"with {_DAY}, {_NEAR} select id_record, a, b, ao, bo from near where boxes")
 def sat_overlap(spark, sf):
-    pairs = interactions.tube_hits(interactions.frame_pairs(views.points(spark, sf, "yyyyMMdd"), reach=13.45, band_us=HOUR_US))
+    pairs = interactions.tube_hits(interactions.frame_pairs(views.points(spark, sf, "yyyyMMdd"), band_us=HOUR_US))
     return interactions.box_hits(pairs).select("id_record", F.col("a_id_vehicle").alias("a"), F.col("b_id_vehicle").alias("b"), F.col("a_ord").alias("ao"), F.col("b_ord").alias("bo"))
 
 
 @query("pet_pairs_min", f"with {_DAY}, {_NEAR} select id_record, a, b, min(gap) as gap_us from near group by 1, 2, 3")
 def pet_pairs_min(spark, sf):
-    pairs = interactions.tube_hits(interactions.frame_pairs(views.points(spark, sf, "yyyyMMdd"), reach=13.45, band_us=HOUR_US))
+    pairs = interactions.tube_hits(interactions.frame_pairs(views.points(spark, sf, "yyyyMMdd"), band_us=HOUR_US))
     return pairs.groupBy("id_record", F.col("a_id_vehicle").alias("a"), F.col("b_id_vehicle").alias("b")).agg(F.min("gap_us").alias("gap_us"))
 
 
 _OUT = ["id_record", "us", "idVehicle1", "idVehicle2", "Vehicle_Class_1", "Vehicle_Class_2", "Vehicle_Cluster_1", "Vehicle_Cluster_2", "posX", "posY", "Value", "Auto_Type"]
 
 
-@query(
-    "pet3d",
-    f"""with {_DAY}, {_NEAR},
+def _conflict_sql(factor: float = 1.0) -> str:
+    return f"""with {_day_sql(factor)},
     f as (select near.*, min(gap) over (partition by near.id_record, near.a, near.b) as least, row_number() over (partition by near.id_record, near.a, near.b order by ao, bo) as rn
           from near join met on near.id_record = met.id_record and near.a = met.a and near.b = met.b where boxes),
     g as (select *, aus > bus as late, {_angle('ayb', 'byb')} as d from f where rn = 1),
@@ -584,8 +608,10 @@ _OUT = ["id_record", "us", "idVehicle1", "idVehicle2", "Vehicle_Class_1", "Vehic
                  case when late then acl else bcl end as u1, case when late then bcl else acl end as u2 from g)
     select id_record, greatest(aus, bus) as us, v1 as "idVehicle1", v2 as "idVehicle2", k1 as "Vehicle_Class_1", k2 as "Vehicle_Class_2", u1 as "Vehicle_Cluster_1", u2 as "Vehicle_Cluster_2",
            round((ax + bx) / 2, 6) as "posX", round((ay + by_) / 2, 6) as "posY", round(least / 1e6, 6) as "Value", {_TYPE} as "Auto_Type"
-    from h left join maneuvers on u1 = c1 and u2 = c2""",
-)
+    from h left join maneuvers on u1 = c1 and u2 = c2"""
+
+
+@query("pet3d", _conflict_sql())
 def pet3d(spark, sf):
     found = interactions.pet3d(views.points(spark, sf, "yyyyMMdd"), views.maneuvers(spark), threshold_s=3600, slot_us=HOUR_US)
     return r6(found.select(*_OUT), "posX", "posY", "Value")
@@ -610,7 +636,7 @@ def pet3d(spark, sf):
     from m left join maneuvers on u1 = c1 and u2 = c2""",
 )
 def pet2d(spark, sf):
-    found = interactions.pet2d(views.points(spark, sf, "yyyyMMdd"), views.maneuvers(spark), threshold_s=3600, slot_us=HOUR_US, cell=100.0)
+    found = interactions.pet2d(views.points(spark, sf, "yyyyMMdd"), views.maneuvers(spark), threshold_s=3600, slot_us=HOUR_US, cell=50.0)
     return r6(found.select(*_OUT), "posX", "posY", "Value")
 
 
@@ -825,6 +851,12 @@ def ap_per_class(spark, sf):
     return r6(detections.average_precision(*_judged(spark, sf)), "ap")
 
 
+def _box_sql(rest: str) -> str:
+    """SQL after pr: precision p and recall r at the n-th detection of a class."""
+    return f"""with {_JUDGED}, pr as (select judged.cls, conf, sum(tp::int) over w / count(*) over w as p, sum(tp::int) over w / n_truth as r, count(*) over w as n
+        from judged join truth on judged.cls = truth.cls window w as (partition by judged.cls order by conf desc, det_id rows unbounded preceding)), {rest}"""
+
+
 def _truth(spark, sf):
     found = views.boxes(spark, sf)
     moved = found.filter("det_id % 4 <> 0")
@@ -995,7 +1027,7 @@ def extents(spark, sf):
 
 @query(
     "active_tracks",
-    f"""with {P}, asked as (select distinct id_record, us from points where id_vehicle % 4 = 0)
+    f"""with {P}, asked as (select distinct id_record, us from points)
     select points.id_record, us as ask_us, id_vehicle, x, y, ord + 1 as history from asked join points using (id_record, us)""",
 )
 def active_tracks(spark, sf):
@@ -1054,3 +1086,6 @@ def motion_gate(spark, sf):
     way = lambda a: F.atan2(F.col(f"{a}y") - F.col("ly"), F.col(f"{a}x") - F.col("lx"))
     fits = shapes.consistent(error=far("p", ""), frames=F.col("ord"), seen=far("", "h") / 3, expected=far("p", "h") / 3, turn=way("p") - way(""), distance=250.0, settled=10)
     return rows.select("id_vehicle", "ord", fits.alias("fits"))
+
+
+from . import more  # noqa: E402, F401  registers its queries here
