@@ -75,13 +75,17 @@ def test_encounters_on_a_stream(spark, tmp_path):
         rows.append((1, 1, -15 + 10 * t, 0.0, 0.0, 3.64, 1.82, START + timedelta(seconds=t)))
         rows.append((1, 2, 0.0, -15 + 10 * t, math.pi / 2, 3.64, 1.82, START + timedelta(seconds=t + 1)))
         rows.append((1, 3, 500.0, 500.0, 0.0, 3.64, 1.82, START + timedelta(seconds=t)))
+    # 60 m apart, yet longer than that
+    rows.append((1, 4, 2000.0, 0.0, 0.0, 70.0, 2.0, START))
+    rows.append((1, 5, 2060.0, 0.0, 0.0, 70.0, 2.0, START + timedelta(seconds=1)))
     ddl = "id_record long, id_vehicle long, x double, y double, yaw double, length double, width double, event_time timestamp"
     spark.createDataFrame(rows, ddl).repartition(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(ddl).parquet(str(tmp_path / "in"))
     q = encounters.stream_encounters(stream).writeStream.format("memory").queryName("met").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination(120)
     found = spark.table("met").collect()
-    assert {(r["later"], r["earlier"]) for r in found} == {(2, 1)}
+    assert {(r["later"], r["earlier"]) for r in found} == {(2, 1), (5, 4)}
+    assert all(sum((r["event_time"], r["later"], r["earlier"]) == (o["event_time"], o["later"], o["earlier"]) and r["pet"] == o["pet"] for o in found) == 1 for r in found[:50])
     assert 0 < min(r["pet"] for r in found) < 1
 
 
@@ -94,6 +98,77 @@ def test_tracks_on_a_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = pd.DataFrame([r.asDict() for r in spark.table("tracks").collect()])
     assert got["id_vehicle"].nunique() == 2
+    assert set(got[got["frame_id"] < 9]["state"]) == {"candidate"} and got[got["frame_id"] == 39]["state"].tolist() == ["active"] * 2
     car = got[got["class_name"] == "car"].sort_values("frame_id")
     assert len(car) == 40 and not car[car["frame_id"].isin([20, 21])]["detected"].any()
     assert car["x"].iloc[-1] == pytest.approx(0.3 * 39, abs=1.0)
+
+
+def test_streaming_filter_is_the_nine_state_filter():
+    import numpy as np
+
+    dt, f, h = 1 / 30, np.eye(9), np.eye(6, 9)
+    f[0, 6] = f[1, 7] = f[2, 8] = dt
+    q, r = np.diag([1.0] * 6 + [0.01] * 3), np.eye(6)
+    rng = np.random.default_rng(3)
+    place = np.cumsum(rng.normal(size=(40, 2)), axis=0)
+    state, p = np.array([*place[0], 0, 4, 2, 1, 0, 0, 0.0]), np.eye(9) * 10
+    t = dict(zip(tracking.TRACK, (1, *place[0], 0.0, 0.0, 0.0, "car", 0, 1, 1, 10.0, 0.0, 10.0)))
+    for k in range(1, 40):
+        state, p = f @ state, f @ p @ f.T + q
+        tracking.predict(t, 1, dt)
+        if k % 4:
+            gain = p @ h.T @ np.linalg.inv(h @ p @ h.T + r)
+            z = np.array([*place[k], 0, 4, 2, 1])
+            state, p = state + gain @ (z - h @ state), (np.eye(9) - gain @ h) @ p
+            tracking.correct(t, *place[k], 0.0)
+        assert [t[c] for c in ("x", "y", "vx", "vy")] == pytest.approx([state[0], state[1], state[6], state[7]])
+
+
+def test_tracks_end_on_a_stream():
+    frame = lambda rows: pd.DataFrame(rows, columns=["x", "y", "yaw", "class_name", "score"])
+    live, number, last = [], 1, {}
+    for k in range(40):
+        seen = [(0.1 * k, 0.0, 0.0, "car", 0.9)] if k < 15 else []
+        seen += [(50.0, 50.0, 0.0, "car", 0.9)] if k == 0 else []
+        live, number, rows = tracking.step(live, frame(seen), number, 1, limit=8.0, lost_after=10)
+        last |= {r[0]: (k, r[-1]) for r in rows}
+    assert last == {1: (24, "finished"), 2: (9, "dropped")} and not live
+
+
+def test_files_of_conflicts_curves_and_labels(spark, tmp_path):
+    for name in ("a_Conflicts.csv", "b_conflicts.csv", "c_other.csv"):
+        (tmp_path / name).write_text("x\n1\n")
+    assert [p.rsplit("/", 1)[1] for p in tables.conflict_files(spark, str(tmp_path))] == ["a_Conflicts.csv", "b_conflicts.csv"]
+    assert tables.cluster_means(spark, str(tmp_path / "none")) is None
+    spark.createDataFrame([(0, [1.0, 2.0, 3.0], [0.0] * 3, [0.0] * 3)], "cluster_id int, cx array<double>, cy array<double>, cz array<double>").write.parquet(str(tmp_path / "means"))
+    assert tables.cluster_means(spark, str(tmp_path / "means")).count() == 1
+    row = tables.label_paths(spark.createDataFrame([("/d/images/a.b/x.jpg",)], "path string"), {"labels": ".txt", "maps": ".npy"}).first()
+    assert (row["labels"], row["maps"]) == ("/d/labels/a.b/x.txt", "/d/maps/a.b/x.npy")
+
+
+def test_raw_csv_round_trip_index_and_group_scores(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 2, 7, 11, 1.5, -2.0), (1, 2, 8, 12, 2.5, 3.0)], "idMeasurementSeries int, idSensor int, idRecord long, idVehicle long, posX double, posXFit double")
+    tables.write_raw_csv(rows, str(tmp_path / "raw"))
+    tables.write_raw_csv(rows.filter("idRecord = 8"), str(tmp_path / "raw"))
+    back = tables.raw_csv(spark, str(tmp_path / "raw"))
+    assert len(back.columns) == 34 and sorted((r["idRecord"], r["posX"], r["posXFit"], r["posY"]) for r in back.collect()) == [(7, 1.5, -2.0, None), (8, 2.5, 3.0, None)]
+    spark.createDataFrame([(5,), (5,), (6,)], "idVehicle long").selectExpr("1 as idMeasurementSeries", "2 as idSensor", "3 as idRecord", "cast(null as string) as FrameTimeStamp", "0 as FrameTimeStamp_MicroSec", "idVehicle").coalesce(1).write.option("header", True).csv(str(tmp_path / "t"))
+    assert sorted(r["id_vehicle"] for r in tables.trajectory_index(spark, str(tmp_path / "t")).collect()) == [5, 6]
+    scores = spark.createDataFrame([(1, 2, 9, 1.7), (3, 4, 8, 0.9)], "c_a int, c_b int, id_vehicle long, lof double")
+    tables.write_group_scores(scores, str(tmp_path / "g"))
+    assert sorted(p.name for p in (tmp_path / "g").iterdir() if p.is_dir()) == ["c_a=1", "c_a=3"]
+
+
+def test_zones_are_added_to_a_configuration(tmp_path):
+    import numpy as np
+
+    path = str(tmp_path / "c.yaml")
+    calibration.write_zones(path, [{"name": "a", "vertices": [(0, 0), (1, 0), (1, 1)]}])
+    assert [z["id"] for z in calibration.write_zones(path, [{"name": "b", "vertices": [(2, 2), (3, 2), (3, 3)]}])] == [1, 2]
+    assert [z["name"] for z in calibration.write_zones(path, [{"name": "c", "vertices": [(2, 2), (3, 2), (3, 3)]}], replace=True)] == ["c"]
+    assert calibration.read_config(path)["zones"][0]["vertices"] == [[2.0, 2.0], [3.0, 2.0], [3.0, 3.0]]
+    assert np.allclose(calibration.axis_rotation(np.array([0, 0, 2.0]), np.pi / 2) @ [1, 0, 0], [0, 1, 0])
+    camera = calibration.Calibration(np.array([[100.0, 0, 50], [0, 100, 50], [0, 0, 1]]), (0.0,) * 5, np.eye(4))
+    low, high = calibration.frustum_box(camera, (100, 100), 10.0)
+    assert np.allclose(low, [-5, -5, 0]) and np.allclose(high, [5, 5, 10])

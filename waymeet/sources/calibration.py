@@ -126,3 +126,29 @@ def to_ground(rays: DataFrame, normal: tuple[float, float, float], through: tupl
     """Rays (ox, oy, oz, rx, ry, rz) met with one plane: gx, gy, gz, null where they run along it."""
     hit = ray_on_plane([F.col(f"o{c}") for c in "xyz"], [F.col(f"r{c}") for c in "xyz"], [F.lit(float(v)) for v in normal], [F.lit(float(v)) for v in through])
     return rays.withColumns(dict(zip(("gx", "gy", "gz"), hit, strict=True)))
+
+
+def write_zones(path: str, zones: list[dict], *, replace: bool = False) -> list[dict]:
+    """Zones (name, vertices) into a YAML configuration: in place of those there, or after them with the next ids. Returns all."""
+    given = read_config(path) if Path(path).exists() else {}
+    kept = [] if replace else list(given.get("zones") or [])
+    first = max((z["id"] for z in kept), default=0) + 1
+    kept += [{"id": first + i, "name": z["name"], "vertices": [[float(x), float(y)] for x, y in z["vertices"]]} for i, z in enumerate(zones)]
+    Path(path).write_text(yaml.safe_dump(given | {"zones": kept}, sort_keys=False))
+    return kept
+
+
+def axis_rotation(axis: np.ndarray, angle: float) -> np.ndarray:
+    """The matrix that turns by angle about an axis."""
+    x, y, z = axis / np.linalg.norm(axis)
+    k = np.array([[0, -z, y], [z, 0, -x], [-y, x, 0]])
+    return np.eye(3) + np.sin(angle) * k + (1 - np.cos(angle)) * (k @ k)
+
+
+def frustum_box(calibration: Calibration, size: tuple[int, int], far: float) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest world coordinates of what a camera sees down to a depth of `far`, itself included."""
+    corners = np.array([[0, 0], [size[0], 0], [0, size[1]], [size[0], size[1]]], float)
+    rays = np.concatenate([calibration.undistort(corners), np.ones((4, 1))], axis=1) * far
+    world = (rays - calibration.extrinsic[:3, 3]) @ calibration.extrinsic[:3, :3]
+    every = np.concatenate([world, calibration.position[None]])
+    return every.min(axis=0), every.max(axis=0)

@@ -18,9 +18,13 @@ def records(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
 
 
 def matching_files(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
-    """(RecordID, path): for each record the first file of a folder, by name, that holds its pattern; null without one."""
+    """(RecordID, path): for each record the first file of a folder, by name, that holds its pattern; null without one.
+
+    Patterns are all alike (yyyyMMdd'T'HHmmss), so they are cut out of the names and joined on equality.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
-    return wanted.join(files, F.contains(F.element_at(F.split("path", "/"), -1), F.col("pattern")), "left").groupBy("RecordID").agg(F.min("path").alias("path"))
+    held = files.select("path", F.explode(F.regexp_extract_all(F.element_at(F.split("path", "/"), -1), F.lit(r"(?=(\d{8}T\d{6}))"))).alias("f_pattern"))
+    return wanted.join(held, F.col("pattern") == F.col("f_pattern"), "left").groupBy("RecordID").agg(F.min("path").alias("path"))
 
 
 def folder_records(spark: SparkSession, names: DataFrame, first_folder: str, first_record: int) -> DataFrame:
@@ -129,3 +133,55 @@ def write_clusters(points: DataFrame, clusters: DataFrame) -> DataFrame:
 def timing_report(times: DataFrame) -> DataFrame:
     """Rows (id_record, items, seconds) with a last one of totals."""
     return times.rollup("id_record").agg(F.sum("items").alias("items"), F.sum("seconds").alias("seconds"))
+
+
+def database_records(spark: SparkSession, url: str, table: str, key: DataFrame, **options: str) -> DataFrame:
+    """Rows of a database table of records (idMeasurementSeries, idSensor, idRecord, path, start_ts) for the keys asked for.
+
+    options are those of Spark's JDBC source: driver, user, partitionColumn and bounds for a parallel read.
+    """
+    rows = spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+    return rows.join(key, ["idMeasurementSeries", "idSensor", "idRecord"], "left_semi")
+
+
+def conflict_files(spark: SparkSession, folder: str) -> list[str]:
+    """Paths of a folder's conflict tables, *_conflicts.csv in any case of the c, in order."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*_[Cc]onflicts.csv").load(folder)
+    return sorted(r[0] for r in found.select("path").collect())  # a file a record of conflicts
+
+
+def cluster_means(spark: SparkSession, path: str) -> DataFrame | None:
+    """Stored cluster curves, or None where there are none yet and clusters have to be found first."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+        return None
+    rows = spark.read.schema(schemas.CLUSTER_MEANS).parquet(path)
+    return None if rows.isEmpty() else rows
+
+
+def trajectory_index(spark: SparkSession, *paths: str) -> DataFrame:
+    """(path, id_vehicle) of every track in trajectory csv files."""
+    raw = spark.read.schema(schemas.TRAJ_POINTS).csv(list(paths), header=True)
+    return raw.select(F.input_file_name().alias("path"), F.col("idVehicle").alias("id_vehicle")).distinct()
+
+
+def write_raw_csv(points: DataFrame, path: str) -> None:
+    """Points in the layout of 34 columns, measured and fitted, as csv by record; a column that points lack is empty."""
+    fields = [f.split() for f in schemas.TRAJ_POINTS_RAW.split(", ")]
+    out = points.select(*((F.col(n) if n in points.columns else F.lit(None)).cast(t).alias(n) for n, t in fields), F.col("idRecord").alias("record"))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", True).partitionBy("record").csv(path)
+
+
+def raw_csv(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("recursiveFileLookup", "true").schema(schemas.TRAJ_POINTS_RAW).csv(path, header=True)
+
+
+def write_group_scores(scores: DataFrame, path: str) -> None:
+    """Scored trajectories as csv, a folder for each pair of clusters (c_a, c_b); groups written again replace themselves."""
+    scores.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", True).partitionBy("c_a", "c_b").csv(path)
+
+
+def label_paths(images: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """images (path) with a column for each kind: the path of its file, in the folder that stands for "images" and with that ending."""
+    to = lambda kind, ending: F.regexp_replace(F.regexp_replace("path", "/images/", f"/{kind}/"), r"\.[^./]+$", ending)
+    return images.withColumns({kind: to(kind, ending) for kind, ending in kinds.items()})

@@ -10,19 +10,47 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-OUT_DDL = "id_record long, frame_id long, id_vehicle long, x double, y double, yaw double, detected boolean, class_name string"
-STATE_DDL = "next_id long, last_frame long, tracks array<struct<id: long, x: double, y: double, vx: double, vy: double, yaw: double, cls: string, missed: int>>"
+OUT_DDL = "id_record long, frame_id long, id_vehicle long, x double, y double, yaw double, detected boolean, class_name string, state string"
+TRACK = ("id", "x", "y", "vx", "vy", "yaw", "cls", "missed", "frames", "seen", "a", "b", "c")
+STATE_DDL = (
+    "next_id long, last_frame long, tracks array<struct<id: long, x: double, y: double, vx: double, vy: double, yaw: double, cls: string, "
+    "missed: int, frames: int, seen: int, a: double, b: double, c: double>>"
+)
+#: Frames until a track is judged, the share of them it must be detected in, and frames that it needs to count at a record's end.
+EARLY, EARLY_SHARE, LEAST = 10, 0.5, 3
 
 
-def step(tracks: list[list], frame: pd.DataFrame, next_id: int, gap: int, *, limit: float, lost_after: int) -> tuple[list[list], int, list[tuple]]:
-    """One frame: predict, match cheapest pairs first, correct, start and drop tracks. Returns tracks, next id and rows."""
+def predict(t: dict, gap: int, dt: float) -> None:
+    """`gap` frames of the constant-velocity Kalman filter; place and speed of an axis have the covariances a, b, c."""
+    for _ in range(gap):
+        t["x"], t["y"] = t["x"] + dt * t["vx"], t["y"] + dt * t["vy"]
+        t["a"], t["b"], t["c"] = t["a"] + 2 * dt * t["b"] + dt * dt * t["c"] + 1, t["b"] + dt * t["c"], t["c"] + 0.01
+    t["missed"], t["frames"] = t["missed"] + gap, t["frames"] + gap
+
+
+def correct(t: dict, x: float, y: float, yaw: float) -> None:
+    g, h = t["a"] / (t["a"] + 1), t["b"] / (t["a"] + 1)
+    dx, dy = x - t["x"], y - t["y"]
+    t["x"], t["y"], t["vx"], t["vy"] = t["x"] + g * dx, t["y"] + g * dy, t["vx"] + h * dx, t["vy"] + h * dy
+    t["a"], t["b"], t["c"] = (1 - g) * t["a"], (1 - g) * t["b"], t["c"] - h * t["b"]
+    t["yaw"], t["missed"], t["seen"] = yaw, 0, t["seen"] + 1
+
+
+def stage(t: dict, lost_after: int) -> str:
+    if t["frames"] < EARLY:
+        return "candidate"
+    if t["frames"] == EARLY and t["seen"] < EARLY_SHARE * EARLY:
+        return "dropped"
+    return "finished" if t["missed"] >= lost_after else "active"
+
+
+def step(tracks: list[dict], frame: pd.DataFrame, next_id: int, gap: int, *, limit: float, lost_after: int, dt: float = 1 / 30) -> tuple[list[dict], int, list[tuple]]:
+    """One frame: predict, match cheapest pairs first, correct, start and end tracks. Returns tracks, next id and rows."""
     for t in tracks:
-        t[1] += t[3] * gap
-        t[2] += t[4] * gap
-        t[7] += gap
+        predict(t, gap, dt)
     dets = list(frame[["x", "y", "yaw", "class_name", "score"]].itertuples(index=False, name=None))
     costs = sorted(
-        (2 * math.hypot(d[0] - t[1], d[1] - t[2]) * (2 - math.cos(d[2] - t[5])) * (1 + 0.5 * ((1 - d[4]) if d[3] == t[6] else d[4])), i, j)
+        (2 * math.hypot(d[0] - t["x"], d[1] - t["y"]) * (2 - math.cos(d[2] - t["yaw"])) * (1 + 0.5 * ((1 - d[4]) if d[3] == t["cls"] else d[4])), i, j)
         for i, d in enumerate(dets)
         for j, t in enumerate(tracks)
     )
@@ -35,42 +63,40 @@ def step(tracks: list[list], frame: pd.DataFrame, next_id: int, gap: int, *, lim
             continue
         used_d.add(i)
         used_t.add(j)
-        d, t = dets[i], tracks[j]
-        dx, dy = d[0] - t[1], d[1] - t[2]
-        t[1], t[2] = t[1] + 0.7 * dx, t[2] + 0.7 * dy
-        t[3], t[4] = t[3] + 0.3 * dx / gap, t[4] + 0.3 * dy / gap
-        t[5], t[7] = d[2], 0
+        correct(tracks[j], *dets[i][:3])
     for i, d in enumerate(dets):
         if i not in used_d:
-            tracks.append([next_id, d[0], d[1], 0.0, 0.0, d[2], d[3], 0])
+            tracks.append(dict(zip(TRACK, (next_id, d[0], d[1], 0.0, 0.0, d[2], d[3], 0, 1, 1, 10.0, 0.0, 10.0), strict=True)))
             next_id += 1
-    tracks = [t for t in tracks if t[7] < lost_after]
-    return tracks, next_id, [(t[0], t[1], t[2], t[5], t[7] == 0, t[6]) for t in tracks]
+    told = [(t, stage(t, lost_after)) for t in tracks]
+    rows = [(t["id"], t["x"], t["y"], t["yaw"], t["missed"] == 0, t["cls"], s) for t, s in told]
+    return [t for t, s in told if s in ("candidate", "active")], next_id, rows
 
 
 def stream_tracks(detections: DataFrame, *, limit: float = 8.0, lost_after: int = 10, idle_ms: int = 600_000) -> DataFrame:
-    """Rows of tracks for each frame.
+    """Rows of tracks for each frame, with the state each track is in; its last row says finished or dropped.
 
     detections: a stream of (id_record, frame_id, x, y, yaw, class_name, score). A record is one camera's ten minutes,
     so its state is a handful of tracks; frames of a micro-batch are taken in order and frames that come after later
-    ones have been handled are dropped, as their moment is past.
+    ones have been handled are dropped, as their moment is past. When a record has been idle for idle_ms its tracks end:
+    those of LEAST frames or more as finished.
     """
 
     def run(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        next_id, last, packed = state.get if state.exists else (1, -1, [])
+        tracks, out = [dict(zip(TRACK, t, strict=True)) for t in packed], []
         if state.hasTimedOut:
+            out = [(key[0], last, t["id"], t["x"], t["y"], t["yaw"], False, t["cls"], "finished" if t["frames"] >= LEAST else "dropped") for t in tracks]
             state.remove()
-            return
-        next_id, last, packed = state.get if state.exists else (1, -1, [])
-        tracks = [list(t) for t in packed]
-        rows = pd.concat(list(batches), ignore_index=True)
-        out = []
-        for frame_id, frame in rows[rows["frame_id"] > last].sort_values(["frame_id", "x", "y"]).groupby("frame_id", sort=True):
-            gap = int(frame_id) - last if last >= 0 else 1
-            tracks, next_id, seen = step(tracks, frame, next_id, gap, limit=limit, lost_after=lost_after)
-            last = int(frame_id)
-            out += [(key[0], last, *s) for s in seen]
-        state.update((next_id, last, [tuple(t) for t in tracks]))
-        state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=["id_record", "frame_id", "id_vehicle", "x", "y", "yaw", "detected", "class_name"])
+        else:
+            rows = pd.concat(list(batches), ignore_index=True)
+            for frame_id, frame in rows[rows["frame_id"] > last].sort_values(["frame_id", "x", "y"]).groupby("frame_id", sort=True):
+                gap = int(frame_id) - last if last >= 0 else 1
+                tracks, next_id, seen = step(tracks, frame, next_id, gap, limit=limit, lost_after=lost_after)
+                last = int(frame_id)
+                out += [(key[0], last, *s) for s in seen]
+            state.update((next_id, last, [tuple(t[c] for c in TRACK) for t in tracks]))
+            state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT_DDL.split(", ")])
 
     return detections.groupBy("id_record").applyInPandasWithState(run, OUT_DDL, STATE_DDL, "append", GroupStateTimeout.ProcessingTimeTimeout)
