@@ -636,7 +636,7 @@ def pet3d(spark, sf):
     from m left join maneuvers on u1 = c1 and u2 = c2""",
 )
 def pet2d(spark, sf):
-    found = interactions.pet2d(views.points(spark, sf, "yyyyMMdd"), views.maneuvers(spark), threshold_s=3600, slot_us=HOUR_US, cell=50.0)
+    found = interactions.pet2d(views.points(spark, sf, "yyyyMMdd"), views.maneuvers(spark), threshold_s=3600, slot_us=HOUR_US, cell=10.0)
     return r6(found.select(*_OUT), "posX", "posY", "Value")
 
 
