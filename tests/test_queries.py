@@ -16,6 +16,10 @@ def con(sf):
     return c
 
 
+#: Queries without SQL that these tables may leave without rows, and the test that holds each against a scene.
+SCENES = {"maneuver_classify": "test_whole.py::test_manoeuvres_come_from_all_tracks"}
+
+
 def plain(v):
     if v is None or v is pd.NA or v is pd.NaT or (not isinstance(v, (list, np.ndarray)) and v != v):
         return ""
@@ -28,7 +32,7 @@ def plain(v):
 def test_query(spark, sf, con, name):
     got = QUERIES[name](spark, sf).toPandas()
     if name not in SQL:
-        assert len(got)
+        assert len(got.columns) and (len(got) or name in SCENES)
         return
     want = con.sql(SQL[name]).df()
     cols = sorted(want.columns)
