@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, licenses, packing, quality, simhash, token_counts, toxicity, url_filter, warc
+from . import conversations, decontaminate, exact_dedup, licenses, negatives, packing, quality, simhash, token_counts, toxicity, url_filter, warc
 from .common import scratch_path, table
 from .sampling import fold_of
 from .words import CAPITALS, SMALL
@@ -80,6 +80,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.score(docs, model), held_out)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors.select("vec_id", "embedding", moved.alias("label")))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.summaries(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_classifier": op2_quality_classifier,
@@ -91,6 +101,8 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_license_scans": op9_license_scans,
     "op10_toxicity": op10_toxicity,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 WHITE_SQL = r"[\x20\x09-\x0D]"
@@ -177,4 +189,107 @@ SQL = {
                coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0.0::double) as score
         from w left join d on w.doc_id = d.doc_id
     """,
+    "op12_hard_negatives": """
+        with e as (
+            select row_number() over () as n, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                   list_transform(embedding, lambda x: floor(256 * x::double)) as v
+            from embeddings
+            where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ),
+        a as (
+            select a.n, a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_dot_product(a.v, b.v)::bigint as score
+            from e a join e b on a.n <> b.n
+            where a.vec_id % 100 = 0
+        ),
+        p as (
+            select n, anchor_id, vec_id as positive_id, score as positive_score, row_number() over (partition by n order by score desc, vec_id) as slot
+            from a where same qualify slot <= 5
+        )
+        select p.anchor_id, positive_id, row_number() over (partition by p.n, slot order by a.score desc, a.vec_id)::integer as rank,
+               a.vec_id as negative_id, positive_score, a.score as negative_score
+        from p join a on p.n = a.n and not a.same and 30 * positive_score <= 100 * a.score and 100 * a.score <= 90 * positive_score
+        qualify rank <= 10
+    """,
+    "op13_conversation_repair": rf"""
+        with recursive k as (
+            select list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, _: xor(c >> 1, (c & 1) * 3988292384))) as crc_of
+        ),
+        g as (
+            select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+                   coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key
+            from conversations
+        ),
+        f as (
+            select g.*, xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(key) + 1), lambda i: ascii(substr(key, i, 1))::bigint)),
+                   lambda c, b: xor(c >> 8, crc_of[1 + (xor(c, b) & 255)])), 4294967295) % 20 as what
+            from g, k
+        ),
+        d as (
+            select conv_id, turn, case when what = 4 then 'user' else role end as role,
+                   case what when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(case what when 0 then 0 when 3 then 2 else 1 end)) as copy
+            from f
+        ),
+        o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from d),
+        j as (
+            select *, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank'
+                           when row_number() over (partition by conv_id, role, text order by i) > 1 then 'duplicate'
+                           when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') then 'truncated' else '' end as fault,
+                   substr(role, 1, 1) as c, lag(substr(role, 1, 1)) over (partition by conv_id order by i) as before
+            from o
+        ),
+        counts as (
+            select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank,
+                   count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+                   count(*) filter (i > 1 and before || c not in ('su', 'ua', 'au')) as illegal, max(i) as n
+            from j group by conv_id
+        ),
+        ids as (select distinct conv_id from g),
+        dp as (
+            select conv_id, 0::bigint as i, {{'c': 0::bigint, 'a': ''}} as s0, {{'c': 1000000000000::bigint, 'a': ''}} as s1,
+                   {{'c': 5::bigint, 'a': 'I'}} as s2, {{'c': 10::bigint, 'a': 'II'}} as s3
+            from ids
+            union all
+            select conv_id, i, t0, t1, u2, list_min([t3, {{'c': u2.c + 5, 'a': u2.a || 'I'}}])
+            from (
+                select conv_id, i, t0, t1, t3,
+                       list_min([t2, {{'c': t0.c + 5, 'a': t0.a || 'I'}}, {{'c': t1.c + 5, 'a': t1.a || 'I'}}, {{'c': t3.c + 5, 'a': t3.a || 'I'}}]) as u2
+                from (
+                    select j.conv_id, j.i, {{'c': s0.c + 2, 'a': s0.a || 'D'}} as t0,
+                           case when dead or j.c <> 's' then {{'c': s1.c + 2, 'a': s1.a || 'D'}} else list_min([{{'c': s1.c + 2, 'a': s1.a || 'D'}}, {{'c': s0.c + more, 'a': s0.a || 'K'}}]) end as t1,
+                           case when dead then {{'c': s2.c + 2, 'a': s2.a || 'D'}} else
+                               list_min([{{'c': s2.c + 2, 'a': s2.a || 'D'}}, {{'c': s0.c + more + to_u, 'a': s0.a || by_u}}, {{'c': s1.c + more + to_u, 'a': s1.a || by_u}}, {{'c': s3.c + more + to_u, 'a': s3.a || by_u}}]) end as t2,
+                           case when dead then {{'c': s3.c + 2, 'a': s3.a || 'D'}} else list_min([{{'c': s3.c + 2, 'a': s3.a || 'D'}}, {{'c': s2.c + more + to_a, 'a': s2.a || by_a}}]) end as t3
+                    from dp join (
+                        select *, fault in ('blank', 'duplicate') as dead, case fault when 'truncated' then 5 else 0 end as more,
+                               (c <> 'u')::int as to_u, case when c = 'u' then 'K' else 'R' end as by_u, (c <> 'a')::int as to_a, case when c = 'a' then 'K' else 'R' end as by_a
+                        from j
+                    ) as j on j.conv_id is not distinct from dp.conv_id and j.i = dp.i + 1
+                )
+            )
+        ),
+        best as (
+            select ids.conv_id, gaps, blank, duplicate, truncated, illegal, list_min([s0, s3]) as e
+            from ids left join counts on ids.conv_id is not distinct from counts.conv_id
+            join dp on dp.conv_id is not distinct from ids.conv_id and dp.i = coalesce(n, 0)
+        ),
+        letters as (select conv_id, e.a as audit, unnest(range(1, length(e.a) + 1)) as p from best),
+        steps as (
+            select conv_id, p, substr(audit, p, 1) as edit, length(replace(substr(audit, 1, p), 'I', '')) as i, length(replace(substr(audit, 1, p), 'D', '')) as pos
+            from letters
+        ),
+        kept as (
+            select s.conv_id, s.pos, s.edit, case when s.edit = 'I' then '' else j.text end as text, j.role,
+                   s.pos = 1 and s.edit = 'K' and j.c = 's' as is_system
+            from steps s left join j on s.conv_id is not distinct from j.conv_id and s.i = j.i
+            where s.edit <> 'D'
+        ),
+        said as (
+            select conv_id, pos, text, case when edit = 'K' then role when (pos - max(is_system::int) over (partition by conv_id)) % 2 = 1 then 'user' else 'assistant' end as role
+            from kept
+        ),
+        whole as (select conv_id, string_agg(role || ':' || text, chr(10) order by pos) as t from said group by conv_id)
+        select best.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+               coalesce(illegal, 0) as illegal, e.c as cost, e.a as audit, sha256(coalesce(t, '')) as repaired_sha256
+        from best left join whole on best.conv_id is not distinct from whole.conv_id
+    """,
 }
