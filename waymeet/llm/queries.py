@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontaminate, exact_dedup, licenses, negatives, packing, quality, simhash, token_counts, toxicity, url_filter, warc
+from . import conversations, decontaminate, exact_dedup, licenses, main_text, negatives, packing, quality, simhash, token_counts, toxicity, url_filter, warc
 from .common import scratch_path, table
 from .sampling import fold_of
 from .words import CAPITALS, SMALL
@@ -80,6 +80,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.score(docs, model), held_out)
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -101,6 +105,7 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_license_scans": op9_license_scans,
     "op10_toxicity": op10_toxicity,
+    "op11_html_extraction": op11_html_extraction,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_conversation_repair": op13_conversation_repair,
 }
@@ -189,6 +194,24 @@ SQL = {
                coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0.0::double) as score
         from w left join d on w.doc_id = d.doc_id
     """,
+    # what the article of a page is where its markup says so, as in these tables
+    "op11_html_extraction": r"""
+        with a as (
+            select page_id, url, regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<(script|style|nav|footer|header|aside|form)\b.*?</(script|style|nav|footer|header|aside|form)>', '', 'g') as h
+            from pages
+        ),
+        b as (
+            select page_id, url, list_transform(
+                regexp_split_to_array(regexp_extract(h, '(?is)<article\b[^>]*>(.*)</article>', 1), '(?i)</?(p|h[1-6]|div|li|ul|ol|section|blockquote)\b[^>]*>'),
+                lambda x: trim(regexp_replace(
+                    replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '(?i)<br[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g'),
+                        '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&(#39|#x27|apos);', chr(39), 'g'), '&amp;', '&amp').replace('&amp', '&'),
+                    '\s+', ' ', 'g'))) as parts
+            from a
+        ),
+        t as (select page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10) || chr(10)) as text from b)
+        select page_id, url, text, length(text) as n_chars from t
+    """,
     "op12_hard_negatives": """
         with e as (
             select row_number() over () as n, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
