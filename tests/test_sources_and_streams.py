@@ -89,53 +89,6 @@ def test_encounters_on_a_stream(spark, tmp_path):
     assert 0 < min(r["pet"] for r in found) < 1
 
 
-def test_tracks_on_a_stream(spark, tmp_path):
-    ddl = "id_record long, frame_id long, x double, y double, yaw double, class_name string, score double"
-    rows = [(1, k, 0.3 * k, 0.0, 0.0, "car", 0.9) for k in range(40) if k not in (20, 21)] + [(1, k, 50.0, 0.3 * k, 1.5, "bus", 0.8) for k in range(10, 40)]
-    spark.createDataFrame(rows, ddl).repartition(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(ddl).parquet(str(tmp_path / "in"))
-    q = tracking.stream_tracks(stream).writeStream.format("memory").queryName("tracks").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
-    q.awaitTermination(120)
-    got = pd.DataFrame([r.asDict() for r in spark.table("tracks").collect()])
-    assert got["id_vehicle"].nunique() == 2
-    assert set(got[got["frame_id"] < 9]["state"]) == {"candidate"} and got[got["frame_id"] == 39]["state"].tolist() == ["active"] * 2
-    car = got[got["class_name"] == "car"].sort_values("frame_id")
-    assert len(car) == 40 and not car[car["frame_id"].isin([20, 21])]["detected"].any()
-    assert car["x"].iloc[-1] == pytest.approx(0.3 * 39, abs=1.0)
-
-
-def test_streaming_filter_is_the_nine_state_filter():
-    import numpy as np
-
-    dt, f, h = 1 / 30, np.eye(9), np.eye(6, 9)
-    f[0, 6] = f[1, 7] = f[2, 8] = dt
-    q, r = np.diag([1.0] * 6 + [0.01] * 3), np.eye(6)
-    rng = np.random.default_rng(3)
-    place = np.cumsum(rng.normal(size=(40, 2)), axis=0)
-    state, p = np.array([*place[0], 0, 4, 2, 1, 0, 0, 0.0]), np.eye(9) * 10
-    t = dict(zip(tracking.TRACK, (1, *place[0], 0.0, 0.0, 0.0, "car", 0, 1, 1, 10.0, 0.0, 10.0)))
-    for k in range(1, 40):
-        state, p = f @ state, f @ p @ f.T + q
-        tracking.predict(t, 1, dt)
-        if k % 4:
-            gain = p @ h.T @ np.linalg.inv(h @ p @ h.T + r)
-            z = np.array([*place[k], 0, 4, 2, 1])
-            state, p = state + gain @ (z - h @ state), (np.eye(9) - gain @ h) @ p
-            tracking.correct(t, *place[k], 0.0)
-        assert [t[c] for c in ("x", "y", "vx", "vy")] == pytest.approx([state[0], state[1], state[6], state[7]])
-
-
-def test_tracks_end_on_a_stream():
-    frame = lambda rows: pd.DataFrame(rows, columns=["x", "y", "yaw", "class_name", "score"])
-    live, number, last = [], 1, {}
-    for k in range(40):
-        seen = [(0.1 * k, 0.0, 0.0, "car", 0.9)] if k < 15 else []
-        seen += [(50.0, 50.0, 0.0, "car", 0.9)] if k == 0 else []
-        live, number, rows = tracking.step(live, frame(seen), number, 1, limit=8.0, lost_after=10)
-        last |= {r[0]: (k, r[-1]) for r in rows}
-    assert last == {1: (24, "finished"), 2: (9, "dropped")} and not live
-
-
 def test_files_of_conflicts_curves_and_labels(spark, tmp_path):
     for name in ("a_Conflicts.csv", "b_conflicts.csv", "c_other.csv"):
         (tmp_path / name).write_text("x\n1\n")

@@ -153,16 +153,29 @@ def undetected_runs(points: DataFrame) -> DataFrame:
     return points.withColumn("undetected", kinematics.since_last(F.col("detected"), F.col("ord"), along()))
 
 
-def lifecycle(points: DataFrame, *, lost_after: int = 10, early: int = 10, early_share: float = 0.5) -> DataFrame:
-    """Per row the state of its track: candidate, dropped, finished or active."""
+def lifecycle(
+    points: DataFrame, *, lost_after: int = 10, early: int = 10, early_share: float = 0.5, judged: tuple[int, int] = (110, 300), most_banned: int = 100
+) -> DataFrame:
+    """Per row the state of its track: candidate, dropped, finished or active.
+
+    A track is a candidate before its row `early`, and dropped there if too few of its rows are detected; it is finished
+    when lost_after rows in a row are not detected, or not valid (points may have a column valid), and dropped when it
+    has been banned (points may have a column banned) for most_banned rows while its length lies between `judged`.
+    """
     w = along()
+    has = set(points.columns)
+    valid = F.col("valid") if "valid" in has else F.lit(True)
+    since_valid = kinematics.since_last(valid, F.col("ord"), w)
+    so_banned = F.sum((F.col("banned") if "banned" in has else F.lit(False)).cast("int")).over(kinematics.so_far(w))
     runs = undetected_runs(points).withColumn("frames", F.row_number().over(w)).withColumn("share", F.avg(F.col("detected").cast("double")).over(kinematics.so_far(w)))
-    lost = F.coalesce("undetected", F.col("frames")) >= lost_after
-    now = F.when(F.col("frames") < early, 0).when((F.col("frames") == early) & (F.col("share") < early_share), 3).when(lost, 2).otherwise(1)
+    runs = runs.withColumns({"invalid_run": since_valid, "so_banned": so_banned})
+    lost = (F.coalesce("undetected", F.col("frames")) >= lost_after) | (F.coalesce("invalid_run", F.col("frames")) >= lost_after)
+    out = (F.col("frames") > judged[0]) & (F.col("frames") < judged[1]) & (F.col("so_banned") >= most_banned)
+    now = F.when(F.col("frames") < early, 0).when((F.col("frames") == early) & (F.col("share") < early_share), 3).when(lost, 2).when(out, 3).otherwise(1)
     runs = runs.withColumn("now", now)
     ended = F.first(F.when(F.col("now") >= 2, F.col("now")), ignorenulls=True).over(kinematics.so_far(w))
     state = F.coalesce(ended, F.col("now"))
-    return runs.withColumn("state", F.element_at(F.array(*map(F.lit, ("candidate", "active", "finished", "dropped"))), state + 1)).drop("now", "share", "frames")
+    return runs.withColumn("state", F.element_at(F.array(*map(F.lit, ("candidate", "active", "finished", "dropped"))), state + 1)).drop("now", "share", "frames", "invalid_run", "so_banned")
 
 
 def fill_gaps(points: DataFrame, fps: int = 30, longest_s: float = 1.5) -> DataFrame:

@@ -7,7 +7,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..schemas import START_KMH
+from .tracker import DRIFTS, MOVES, SEES_PLACE, SEES_SIZE, START
 from .tracks import KEY
 
 
@@ -123,26 +126,36 @@ def adaptive_segments(points: DataFrame, *, bent: float = 10.0, rows: int = 4) -
     return each_track(points, ["x", "y"], walk, "segment double")
 
 
+#: What the filter adds: place and speed of the axes, and the sizes.
+FILTERED = ("kx", "ky", "kz", "kvx", "kvy", "kvz", "klength", "kwidth", "kheight")
+
+
 def kalman(points: DataFrame, dt: float = 1 / 30) -> DataFrame:
-    """Constant-velocity Kalman filter over the position of every track; rows not detected are predicted only.
+    """Constant-velocity Kalman filter over place and size of every track; rows not detected are predicted only.
 
-    The nine-state filter over position, size and velocity falls apart into one filter of place and speed an axis, as
-    none of its matrices ties axes together; all axes and tracks share the course of the gains.
+    The first speed is that of the row's class along its yaw. The nine-state filter falls apart into one filter of place
+    and speed an axis and one of each size, as none of its matrices ties them together; all axes and all sizes share the
+    course of their gains.
     """
+    columns = ["x", "y", "z", "length", "width", "height", "yaw", "detected"]
 
     def walk(at: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        z, seen = np.stack([at[c] for c in "xyz"], axis=1), at["detected"]
-        place, speed, a, b, c = z[0].copy(), np.zeros(3), 10.0, 0.0, 10.0
-        out = np.empty((len(z), 6))
-        out[0] = *place, *speed
+        z, seen = np.stack([at[c] for c in columns[:6]], axis=1), at["detected"]
+        pace, yaw = at["start_speed"][0], at["yaw"][0]
+        place, speed, size = z[0, :3].copy(), np.array([pace * np.cos(yaw), pace * np.sin(yaw), 0.0]), z[0, 3:].copy()
+        a, b, c, d = START, 0.0, START, START
+        out = np.empty((len(z), 9))
+        out[0] = *place, *speed, *size
         for k in range(1, len(z)):
             place = place + dt * speed
-            a, b, c = a + 2 * dt * b + dt * dt * c + 1, b + dt * c, c + 0.01
+            a, b, c, d = a + 2 * dt * b + dt * dt * c + MOVES, b + dt * c, c + DRIFTS, d + MOVES
             if seen[k]:
-                g, h, off = a / (a + 1), b / (a + 1), z[k] - place
-                place, speed = place + g * off, speed + h * off
-                a, b, c = (1 - g) * a, (1 - g) * b, c - h * b
-            out[k] = *place, *speed
-        return {n: out[:, i] for i, n in enumerate(("kx", "ky", "kz", "kvx", "kvy", "kvz"))}
-
-    return each_track(points, ["x", "y", "z", "detected"], walk, ", ".join(f"{n} double" for n in ("kx", "ky", "kz", "kvx", "kvy", "kvz"))).drop("x", "y", "z", "detected")
+                g, h, j, off = a / (a + SEES_PLACE), b / (a + SEES_PLACE), d / (d + SEES_SIZE), z[k, :3] - place
+                place, speed, size = place + g * off, speed + h * off, size + j * (z[k, 3:] - size)
+                a, b, c, d = (1 - g) * a, (1 - g) * b, c - h * b, (1 - j) * d
+            out[k] = *place, *speed, *size
+        return {n: out[:, i] for i, n in enumerate(FILTERED)}
+
+    pace = F.coalesce(*(F.when(F.col("class_name") == k, F.lit(v / 3.6)) for k, v in START_KMH.items()), F.lit(0.0))
+    paced = points.withColumn("start_speed", pace)
+    return each_track(paced, [*columns, "start_speed"], walk, ", ".join(f"{n} double" for n in FILTERED)).drop(*columns, "start_speed")

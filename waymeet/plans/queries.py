@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes as box_functions
 from ..functions import camera, geometry
-from ..operators import anomaly, clustering, conflicts, detections, interactions, matching, shapes, tracks
+from ..operators import anomaly, clustering, conflicts, detections, interactions, matching, shapes, tracker, tracks
 from ..operators.conflicts import ConflictFilter
 from ..schemas import FRAME_US, OBJECT_CLASSES
 from ..storage import store
@@ -342,14 +342,27 @@ def gap_runs(spark, sf):
 
 @query(
     "track_lifecycle",
-    f"""with {P}, a as (select *, row_number() {W} as f, avg(detected::int) over (partition by id_record, id_vehicle order by ord) as share,
-        ord - max(case when detected then ord end) over (partition by id_record, id_vehicle order by ord) as u from points),
-    b as (select *, case when f < 10 then 0 when f = 10 and share < 0.8 then 3 when coalesce(u, f) >= 2 then 2 else 1 end as now from a),
-    c as (select *, coalesce(first_value(case when now >= 2 then now end ignore nulls) over (partition by id_record, id_vehicle order by ord rows unbounded preceding), now) as s from b)
-    select id_vehicle, ord, ['candidate', 'active', 'finished', 'dropped'][s + 1] as state from c""",
+    # duration below 10: candidate; at 10 with less than the share detected: removed; 2 frames not detected or not valid:
+    # finished; between 12 and 40 frames with 4 banned ones or more up to now: removed; else active
+    f"""with {P}, z as (select *, y >= 30 and detected as valid from points),
+    b0 as (select *, bool_or(y > 90) over (partition by id_record, id_vehicle order by ord) as banned from z),
+    a as (
+        select *, count(*) over t as f, sum(detected::int) over t as n_detected, max(case when detected then ord end) over t as last_seen,
+               max(case when valid then ord end) over t as last_valid, sum(banned::int) over t as n_banned
+        from b0 window t as (partition by id_record, id_vehicle order by ord)
+    ),
+    now as (
+        select *, case when f < 10 then 'candidate' when f = 10 and n_detected / f < 0.8 then 'dropped'
+                       when f - 1 - coalesce(last_seen, -1) >= 2 then 'finished' when f - 1 - coalesce(last_valid, -1) >= 2 then 'finished'
+                       when f > 12 and f < 40 and n_banned >= 4 then 'dropped' else 'active' end as one
+        from a
+    )
+    select id_vehicle, ord, coalesce(arg_min(one, ord) filter (one in ('finished', 'dropped')) over (partition by id_record, id_vehicle order by ord), one) as state from now""",
 )
 def track_lifecycle(spark, sf):
-    return tracks.lifecycle(views.points(spark, sf), lost_after=2, early_share=0.8).select("id_vehicle", "ord", "state")
+    pts = views.points(spark, sf).withColumn("valid", (F.col("y") >= 30) & F.col("detected"))
+    pts = pts.withColumn("banned", F.max(F.col("y") > 90).over(tracks.along().rowsBetween(Window.unboundedPreceding, 0)))
+    return tracks.lifecycle(pts, lost_after=2, early_share=0.8, judged=(12, 40), most_banned=4).select("id_vehicle", "ord", "state")
 
 
 @query("prior_mean_yaw", f"with {P} select id_vehicle, ord, round(avg(yaw) over (partition by id_record, id_vehicle order by ord rows between 30 preceding and 1 preceding), 6) as yaw_before from points")
@@ -501,23 +514,49 @@ def chain_resolution(spark, sf):
     return matching.chains(greedy_match(spark, sf), ["id_record"]).select("id_record", "i", "root")
 
 
-_STEP = """a.*, p.ord as o, p.x as zx, p.y as zy, p.z as zz, p.detected as seen, kx + kvx / 30 as qx, ky + kvy / 30 as qy, kz + kvz / 30 as qz,
-        pa + 2 * pb / 30 + pc / 900 + 1 as na, pb + pc / 30 as nb, pc + 0.01 as nc"""
+_AXES6 = ("x", "y", "z", "length", "width", "height")
+_PACE = "case class_name when 'motorcycle' then 30 when 'car' then 50 when 'truck' then 25 when 'bus' then 25 when 'person' then 7 when 'bicycle' then 15 when 'e-scooter' then 20 end / 3.6::double"
 
 
-@query(
-    "kalman_track",
-    f"""with recursive {P}, s as (
-        select id_record, id_vehicle, ord, x as kx, y as ky, z as kz, 0.0::double as kvx, 0.0::double as kvy, 0.0::double as kvz, 10.0::double as pa, 0.0::double as pb, 10.0::double as pc from points where ord = 0
+def _filter_sql() -> str:
+    """Predict with x + v dt, P = F P F' + Q, then gain K = P H' (H P H' + R)^-1; p11, p12, p22 are of an axis, s of a size."""
+    ahead = ", ".join(f"s{c} + v{c} / 30 as f{c}" for c in "xyz") + ", " + ", ".join(f"s{c} as f{c}" for c in _AXES6[3:])
+    place = ", ".join(f"f{c} + gain * (m{c} - f{c}) as s{c}" for c in "xyz") + ", " + ", ".join(f"f{c} + size_gain * (m{c} - f{c}) as s{c}" for c in _AXES6[3:])
+    return f"""with recursive {P},
+    first as (
+        select id_record, id_vehicle, ord, {', '.join(f'{c} as s{c}' for c in _AXES6)}, {_PACE} * cos(yaw) as vx, {_PACE} * sin(yaw) as vy, 0.0::double as vz,
+               10.0::double as p11, 0.0::double as p12, 10.0::double as p22, 10.0::double as s
+        from points where ord = 0
+    ),
+    steps as (
+        select * from first
         union all
-        select id_record, id_vehicle, o, {', '.join(f'q{c} + case when seen then na / (na + 1) * (z{c} - q{c}) else 0 end' for c in 'xyz')},
-               {', '.join(f'kv{c} + case when seen then nb / (na + 1) * (z{c} - q{c}) else 0 end' for c in 'xyz')},
-               case when seen then (1 - na / (na + 1)) * na else na end, case when seen then (1 - na / (na + 1)) * nb else nb end, case when seen then nc - nb / (na + 1) * nb else nc end
-        from (select {_STEP} from s a join points p on p.id_record = a.id_record and p.id_vehicle = a.id_vehicle and p.ord = a.ord + 1))
-    select id_vehicle, ord, {', '.join(f'round({c}, 6) as {c}' for c in ('kx', 'ky', 'kz', 'kvx', 'kvy', 'kvz'))} from s""",
-)
+        select id_record, id_vehicle, o as ord, {place}, {', '.join(f'v{c} + speed_gain * (m{c} - f{c}) as v{c}' for c in 'xyz')},
+               q11 - gain * q11, q12 - gain * q12, q22 - speed_gain * q12, q - size_gain * q
+        from (
+            select *, case when seen then q11 / (q11 + 1) else 0 end as gain, case when seen then q12 / (q11 + 1) else 0 end as speed_gain, case when seen then q / (q + 10) else 0 end as size_gain
+            from (
+                select t.*, p.ord as o, p.detected as seen, {', '.join(f'p.{c} as m{c}' for c in _AXES6)}, {ahead},
+                       (p11 + p12 / 30) + (p12 + p22 / 30) / 30 + 1 as q11, p12 + p22 / 30 as q12, p22 + 0.01 as q22, s + 1 as q
+                from steps t join points p on p.id_record = t.id_record and p.id_vehicle = t.id_vehicle and p.ord = t.ord + 1
+            )
+        )
+    )
+    select id_vehicle, ord, {', '.join(f'round(s{c}, 6) as k{c}' for c in _AXES6)}, {', '.join(f'round(v{c}, 6) as kv{c}' for c in 'xyz')} from steps"""
+
+
+@query("kalman_track", _filter_sql())
 def kalman_track(spark, sf):
-    return r6(matching.kalman(views.points(spark, sf)).drop("id_record"), "kx", "ky", "kz", "kvx", "kvy", "kvz")
+    from ..operators.walks import FILTERED
+
+    return r6(matching.kalman(views.points(spark, sf)).drop("id_record"), *FILTERED)
+
+
+# the state machine of tests/test_tracker.py says the same in full matrices and histories
+@query("tracked_objects")
+def tracked_objects(spark, sf):
+    found = tracker.track(views.detections(spark, sf))
+    return r6(found, *(c for c, kind in found.dtypes if kind == "double"))
 
 
 # ---- geometry --------------------------------------------------------------------------------------------------

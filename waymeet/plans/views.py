@@ -60,6 +60,32 @@ def points_sql(record: str = "%Y%m") -> str:
         )"""
 
 
+def detections(spark: SparkSession, sf_dir: str, lanes: int = 4) -> DataFrame:
+    """Detections in frames, from events: the events of a record are sightings of the objects of four lanes.
+
+    A day is a record and 4 events a frame; a lane's object moves on with its frames, and errors are not detected.
+    """
+    from pyspark.sql import Window
+
+    ev = read(spark, sf_dir, "events").withColumn("id_record", F.date_format(F.col("ts").cast("timestamp"), "yyyyMMdd").cast("long"))
+    nth = F.row_number().over(Window.partitionBy("id_record").orderBy("ts", "event_id")) - 1
+    rows = ev.withColumns({"at": nth, "nth": (F.col("user_id") % lanes).cast("int")}).withColumn("frame_id", F.floor(F.col("at") / lanes))
+    rows = rows.join(F.broadcast(object_sizes(spark)), "nth").filter("event_type <> 'error'")
+    return rows.select(
+        "id_record",
+        "frame_id",
+        (F.col("frame_id") * 0.4 + F.col("value") / 1000).alias("x"),
+        (F.col("nth") * 6.0 + F.col("event_id") % 7 * 0.05).alias("y"),
+        F.lit(0.0).alias("z"),
+        (F.col("length") + F.col("event_id") % 3 * 0.1).alias("length"),
+        "width",
+        "height",
+        (F.col("event_id") % 5 * 0.02).alias("yaw"),
+        "class_name",
+        (0.5 + F.col("event_id") % 5 * 0.1).alias("score"),
+    )
+
+
 def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conflicts from line items: customers meet suppliers."""
     li, o = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")

@@ -12,6 +12,9 @@ OBJECT_CLASSES = [
     ("bicycle", 910, 1.65, 0.74, 1.58),
     ("e-scooter", 920, 1.27, 0.57, 1.65),
 ]
+#: Speeds in km/h that tracks of a class start with, and the highest cost at which a detection continues one (fixed values).
+START_KMH = {"motorcycle": 30, "car": 50, "truck": 25, "bus": 25, "person": 7, "bicycle": 15, "e-scooter": 20}
+COST_LIMITS = {"motorcycle": 7.5, "car": 9.0, "truck": 9.0, "bus": 9.0, "person": 2.5, "bicycle": 5.0, "e-scooter": 5.0}
 VULNERABLE = ("person", "bicycle", "e-scooter")
 MANEUVERS = (
     "Following", "Head-on", "Crossing", "Merging", "Diverging",

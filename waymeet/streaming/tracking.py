@@ -1,102 +1,97 @@
-"""Tracks from a stream of detections: a state for each record, frames in order inside it."""
+"""Tracks from a stream of detections: state and event-time timers for each record, frames strictly in order.
+
+Detections wait in the record's state until the watermark has passed their frame, so rows of one frame may come in
+several micro-batches and frames in any order within the allowed lateness; what is worked off does not depend on how the
+stream was cut into batches. A timer at the newest frame works off the waiting ones, and one more, `idle` after it, ends
+the record's tracks.
+"""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-OUT_DDL = "id_record long, frame_id long, id_vehicle long, x double, y double, yaw double, detected boolean, class_name string, state string"
-TRACK = ("id", "x", "y", "vx", "vy", "yaw", "cls", "missed", "frames", "seen", "a", "b", "c")
-STATE_DDL = (
-    "next_id long, last_frame long, tracks array<struct<id: long, x: double, y: double, vx: double, vy: double, yaw: double, cls: string, "
-    "missed: int, frames: int, seen: int, a: double, b: double, c: double>>"
-)
-#: Frames until a track is judged, the share of them it must be detected in, and frames that it needs to count at a record's end.
-EARLY, EARLY_SHARE, LEAST = 10, 0.5, 3
-
-
-def predict(t: dict, gap: int, dt: float) -> None:
-    """`gap` frames of the constant-velocity Kalman filter; place and speed of an axis have the covariances a, b, c."""
-    for _ in range(gap):
-        t["x"], t["y"] = t["x"] + dt * t["vx"], t["y"] + dt * t["vy"]
-        t["a"], t["b"], t["c"] = t["a"] + 2 * dt * t["b"] + dt * dt * t["c"] + 1, t["b"] + dt * t["c"], t["c"] + 0.01
-    t["missed"], t["frames"] = t["missed"] + gap, t["frames"] + gap
-
-
-def correct(t: dict, x: float, y: float, yaw: float) -> None:
-    g, h = t["a"] / (t["a"] + 1), t["b"] / (t["a"] + 1)
-    dx, dy = x - t["x"], y - t["y"]
-    t["x"], t["y"], t["vx"], t["vy"] = t["x"] + g * dx, t["y"] + g * dy, t["vx"] + h * dx, t["vy"] + h * dy
-    t["a"], t["b"], t["c"] = (1 - g) * t["a"], (1 - g) * t["b"], t["c"] - h * t["b"]
-    t["yaw"], t["missed"], t["seen"] = yaw, 0, t["seen"] + 1
-
-
-def stage(t: dict, lost_after: int) -> str:
-    if t["frames"] < EARLY:
-        return "candidate"
-    if t["frames"] == EARLY and t["seen"] < EARLY_SHARE * EARLY:
-        return "dropped"
-    return "finished" if t["missed"] >= lost_after else "active"
-
-
-def step(tracks: list[dict], frame: pd.DataFrame, next_id: int, gap: int, *, limit: float, lost_after: int, dt: float = 1 / 30) -> tuple[list[dict], int, list[tuple]]:
-    """One frame: predict, match cheapest pairs first, correct, start and end tracks. Returns tracks, next id and rows."""
-    for t in tracks:
-        predict(t, gap, dt)
-    dets = list(frame[["x", "y", "yaw", "class_name", "score"]].itertuples(index=False, name=None))
-    costs = sorted(
-        (2 * math.hypot(d[0] - t["x"], d[1] - t["y"]) * (2 - math.cos(d[2] - t["yaw"])) * (1 + 0.5 * ((1 - d[4]) if d[3] == t["cls"] else d[4])), i, j)
-        for i, d in enumerate(dets)
-        for j, t in enumerate(tracks)
-    )
-    used_d: set[int] = set()
-    used_t: set[int] = set()
-    for cost, i, j in costs:
-        if cost > limit:
-            break
-        if i in used_d or j in used_t:
-            continue
-        used_d.add(i)
-        used_t.add(j)
-        correct(tracks[j], *dets[i][:3])
-    for i, d in enumerate(dets):
-        if i not in used_d:
-            tracks.append(dict(zip(TRACK, (next_id, d[0], d[1], 0.0, 0.0, d[2], d[3], 0, 1, 1, 10.0, 0.0, 10.0), strict=True)))
-            next_id += 1
-    told = [(t, stage(t, lost_after)) for t in tracks]
-    rows = [(t["id"], t["x"], t["y"], t["yaw"], t["missed"] == 0, t["cls"], s) for t, s in told]
-    return [t for t, s in told if s in ("candidate", "active")], next_id, rows
-
-
-def stream_tracks(detections: DataFrame, *, limit: float = 8.0, lost_after: int = 10, idle_ms: int = 600_000) -> DataFrame:
-    """Rows of tracks for each frame, with the state each track is in; its last row says finished or dropped.
-
-    detections: a stream of (id_record, frame_id, x, y, yaw, class_name, score). A record is one camera's ten minutes,
-    so its state is a handful of tracks; frames of a micro-batch are taken in order and frames that come after later
-    ones have been handled are dropped, as their moment is past. When a record has been idle for idle_ms its tracks end:
-    those of LEAST frames or more as finished.
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from ..operators.tracker import DETECTION, OUT_DDL, TRACK_DDL, Rules, Tracker, packed, unpacked
+
+CLOCK_DDL = "next_id long, last long, seen_ms long"
+WAITING_DDL = "ms long, rows array<struct<x: double, y: double, z: double, length: double, width: double, height: double, yaw: double, class_name: string, score: double>>"
+COLUMNS = [c.split()[0] for c in OUT_DDL.split(", ")]
+
+
+class RecordTracks(StatefulProcessor):
+    """State of a record: its clock, its tracks by number, and the detections that wait, by frame."""
+
+    def __init__(self, rules: Rules, idle_ms: int) -> None:
+        self.rules, self.idle_ms = rules, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.clock = handle.getValueState("clock", CLOCK_DDL)
+        self.tracks = handle.getMapState("tracks", "id long", TRACK_DDL)
+        self.waiting = handle.getMapState("waiting", "frame_id long", WAITING_DDL)
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        next_id, last, newest = self.clock.get() if self.clock.exists() else (1, None, 0)
+        got = pd.concat(list(rows), ignore_index=True)
+        got["ms"] = got["frame_ts"].astype("datetime64[us]").astype("int64") // 1000
+        before = newest
+        for frame, part in got.groupby("frame_id", sort=True):
+            if last is not None and frame <= last:
+                continue  # its moment is past
+            _, held = self.waiting.getValue((int(frame),)) if self.waiting.containsKey((int(frame),)) else (0, [])
+            more = [tuple(None if pd.isna(v) else v for v in r) for r in part[list(DETECTION)].itertuples(index=False, name=None)]
+            ms = int(part["ms"].max())
+            self.waiting.updateValue((int(frame),), (ms, [*map(tuple, held), *more]))
+            newest = max(newest, ms)
+        if newest > before:
+            self.handle.deleteTimer(before + self.idle_ms)
+            self.handle.registerTimer(newest)
+            self.handle.registerTimer(newest + self.idle_ms)
+        self.clock.update((next_id, last, newest))
+        yield pd.DataFrame(columns=COLUMNS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.clock.exists():
+            return
+        next_id, last, newest = self.clock.get()
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        alive = sorted((unpacked(v) for _, v in self.tracks.iterator()), key=lambda t: t.id)
+        machine = Tracker(int(key[0]), self.rules, int(next_id), None if last is None else int(last), alive)
+        was, out = {t.id for t in alive}, []
+        for (frame,), (ms, rows) in sorted(((tuple(k), tuple(v)) for k, v in self.waiting.iterator()), key=lambda w: w[0]):
+            if ms > now:
+                break  # frames after one that still waits wait too
+            out += machine.frame(int(frame), [tuple(r) for r in rows])
+            self.waiting.removeKey((frame,))
+        if now >= newest + self.idle_ms:
+            out += machine.stop()
+        for gone in was - {t.id for t in machine.tracks}:
+            self.tracks.removeKey((gone,))
+        for t in machine.tracks:
+            self.tracks.updateValue((t.id,), packed(t))
+        self.clock.update((machine.next_id, machine.last, newest))
+        yield pd.DataFrame(out, columns=COLUMNS)
+
+
+def stream_tracks(detections: DataFrame, rules: Rules = Rules(), *, late: str = "10 seconds", idle_ms: int = 600_000) -> DataFrame:
+    """Rows of tracks for each frame, as `track` gives them for whole records.
+
+    detections: a stream of id_record, frame_id, frame_ts (timestamp) and what `track` asks for. Rows that come more than
+    `late` behind the newest are left out; idle_ms after a record's newest frame its tracks end. Needs Spark's RocksDB
+    state store.
     """
-
-    def run(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        next_id, last, packed = state.get if state.exists else (1, -1, [])
-        tracks, out = [dict(zip(TRACK, t, strict=True)) for t in packed], []
-        if state.hasTimedOut:
-            out = [(key[0], last, t["id"], t["x"], t["y"], t["yaw"], False, t["cls"], "finished" if t["frames"] >= LEAST else "dropped") for t in tracks]
-            state.remove()
-        else:
-            rows = pd.concat(list(batches), ignore_index=True)
-            for frame_id, frame in rows[rows["frame_id"] > last].sort_values(["frame_id", "x", "y"]).groupby("frame_id", sort=True):
-                gap = int(frame_id) - last if last >= 0 else 1
-                tracks, next_id, seen = step(tracks, frame, next_id, gap, limit=limit, lost_after=lost_after)
-                last = int(frame_id)
-                out += [(key[0], last, *s) for s in seen]
-            state.update((next_id, last, [tuple(t[c] for c in TRACK) for t in tracks]))
-            state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT_DDL.split(", ")])
-
-    return detections.groupBy("id_record").applyInPandasWithState(run, OUT_DDL, STATE_DDL, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    spark = detections.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    kept = detections.select(
+        F.col("id_record").cast("long").alias("id_record"), F.col("frame_id").cast("long").alias("frame_id"), F.col("frame_ts").cast("timestamp").alias("frame_ts"),
+        *(F.col(c).cast("string" if c == "class_name" else "double").alias(c) for c in DETECTION),
+    )
+    timed = kept.filter("id_record is not null and frame_id is not null and frame_ts is not null").withWatermark("frame_ts", late)
+    return timed.groupBy("id_record").transformWithStateInPandas(RecordTracks(rules, idle_ms), OUT_DDL, "Append", "EventTime")
