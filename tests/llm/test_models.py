@@ -11,22 +11,15 @@ from waymeet.llm import quality, toxicity
 TEXTS = ["", "one", "A b, c!! a", "wort " * 9 + "Das ist ein wort", "x1 y2\n| z |", "Ünï çødé ### ###"]
 
 
-def naive_streams(text):
-    """The bucket numbers of words, shapes and shape pairs, by plain loops."""
-    words, shapes = [], []
-    for split, out in ((lambda c: chr(c) if chr(c).isdigit() or "a" <= chr(c) <= "z" or c >= 128 else chr(c + 32) if "A" <= chr(c) <= "Z" else " ", words),):
-        out += "".join(split(c) for c in text).split()
-    kind = lambda c: "A" if 65 <= c <= 90 else "a" if 97 <= c <= 122 or c >= 128 else "0" if 48 <= c <= 57 else " " if c in b"\x20\x09\x0a\x0b\x0c\x0d" else chr(c)
-    shapes += "".join(kind(c) for c in text).split()
-    a = [crc32(w.encode("latin-1")) for w in words]
-    b = [crc32(w.encode("latin-1")) for w in shapes]
-    c = [(p * 31 + q) % 1_000_003 for p, q in zip(b, b[1:])]
-    return [[h % size + base for h in hashed] for hashed, size, base in zip((a, b, c), quality.VOCABULARIES, quality.BASES)]
-
-
-def test_streams_are_words_shapes_and_pairs():
-    for text in TEXTS:
-        assert [s.tolist() for s in quality.bucket_streams(text.encode())] == naive_streams(text.encode())
+def naive_buckets(text):
+    """The bucket numbers of words, by plain loops; a punctuation mark is a word."""
+    spaced = "".join(f" {chr(c)} " if 33 <= c < 127 and not chr(c).isalnum() else chr(c) if c > 32 or c in (0, 1) else " " for c in text)
+    return [crc32(w.encode("latin-1")) % quality.BUCKETS for w in spaced.split(" ") if w]
+
+
+def test_buckets_are_words_and_marks():
+    for text in [*TEXTS, "a.b,c!!d", "### x|y\t\r\n z"]:
+        assert quality.buckets(text.encode()).tolist() == naive_buckets(text.encode())
 
 
 @pytest.mark.parametrize("chunk", [3, 7, 50_000])
@@ -35,16 +28,15 @@ def test_context_sums_match_plain_loops_whatever_the_pieces(monkeypatch, chunk):
     pos, sign = quality.index_vectors()
     sums, want, seen = quality.Contexts(), {}, {}
     for text in TEXTS:
-        for stream in quality.bucket_streams(text.encode()):
-            sums.add(stream)
-            ids = stream.tolist()
-            for i, x in enumerate(ids):
-                seen[x] = seen.get(x, 0) + 1
-                for j in range(max(0, i - quality.WINDOW), min(len(ids), i + quality.WINDOW + 1)):
-                    if i != j:
-                        row = want.setdefault(x, [0] * quality.DIM)
-                        for k in range(quality.NONZERO):
-                            row[pos[ids[j], k]] += sign[ids[j], k]
+        sums.add(quality.buckets(text.encode()))
+        ids = naive_buckets(text.encode())
+        for i, x in enumerate(ids):
+            seen[x] = seen.get(x, 0) + 1
+            for j in range(max(0, i - quality.WINDOW), min(len(ids), i + quality.WINDOW + 1)):
+                if i != j:
+                    row = want.setdefault(x, [0] * quality.DIM)
+                    for k in range(quality.NONZERO):
+                        row[pos[ids[j], k]] += sign[ids[j], k]
     sums.sum_up()
     assert {int(b): int(sums.seen[b]) for b in np.flatnonzero(sums.seen)} == seen
     for b in seen:
@@ -56,20 +48,29 @@ def test_word_vectors_come_from_all_documents(spark):
     got = quality.word_vectors(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
     sums = quality.Contexts()
     for _, t in rows:
-        for stream in quality.bucket_streams((t or "").encode()):
-            sums.add(stream)
+        sums.add(quality.buckets((t or "").encode()))
     sums.sum_up()
     assert np.allclose(got, quality.weighted(sums.total, sums.seen), atol=1e-6)
 
 
+def test_pooling_is_the_same_in_chunks(monkeypatch):
+    vectors = np.random.default_rng(2).normal(size=(quality.BUCKETS, quality.DIM)).astype(np.float32)
+    texts = [t.encode() for t in TEXTS]
+    whole = quality.pool(texts, vectors)
+    monkeypatch.setattr(quality, "CHUNK", 3)
+    assert np.allclose(quality.pool(texts, vectors), whole, atol=1e-5)
+
+
 def test_pooling_network_and_temperature_match_plain_loops():
     rng = np.random.default_rng(1)
     vectors = rng.normal(size=(quality.BUCKETS, quality.DIM)).astype(np.float32)
     x = quality.pool([t.encode() for t in TEXTS], vectors)
     for row, text in zip(x, TEXTS):
-        for k, ids in enumerate(naive_streams(text.encode())):
-            mean = [sum(float(vectors[i][d]) for i in ids) / max(1, len(ids)) for d in range(quality.DIM)]
-            assert np.allclose(row[k * quality.DIM : (k + 1) * quality.DIM], mean, atol=1e-4)
+        ids = naive_buckets(text.encode())
+        mean = [sum(float(vectors[i][d]) for i in ids) / max(1, len(ids)) for d in range(quality.DIM)]
+        square = [math.sqrt(sum(float(vectors[i][d]) ** 2 for i in ids) / max(1, len(ids))) for d in range(quality.DIM)]
+        pairs = [sum(float(vectors[i][d] * vectors[j][d]) for i, j in zip(ids, ids[1:])) / max(1, len(ids) - 1) for d in range(quality.DIM)]
+        assert np.allclose(row, [*mean, *square, *pairs], atol=1e-4)
     n, hidden = quality.WIDTH, 5
     layers = [rng.normal(size=(n, hidden)), rng.normal(size=hidden), rng.normal(size=hidden), rng.normal(size=1)]
     model = quality.QualityModel(vectors, rng.normal(size=n), rng.random(n) + 1, layers, 1.7, 0.5)
@@ -87,7 +88,7 @@ def test_pooling_network_and_temperature_match_plain_loops():
 
 
 def naive_features(text):
-    words = set(text.translate(quality.WORD_TABLE).split())
+    words = set(text.translate(toxicity.WORD_TABLE).split())
     sets = [words] + [{w[:k] for w in words if len(w) >= k} for k in toxicity.ONCE]
     sets += [{w[:k] for w in words if sum(v[:k] == w[:k] and len(v) > k for v in words) >= 2 and len(w) > k} for k in toxicity.TWICE]
     return sorted(crc32(w) % toxicity.BUCKETS * toxicity.FAMILIES + f for f, found in enumerate(sets) for w in found)

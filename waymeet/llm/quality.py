@@ -1,10 +1,10 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a small network.
 
 Every word of the corpus has a fixed sparse index vector; a word's own vector is the sum of the index vectors of its
-neighbours over all documents, which tasks accumulate in tables of fixed size and Spark sums. There are three
-vocabularies of hashed buckets: the letters of words, their shapes (case, digits, punctuation), and n-grams of two
-shapes, which stand for one word each. A document is the mean of its words' vectors in each of them, and nothing else. A
-two-layer network is trained on a bounded sample of labelled documents and its probabilities are calibrated by a
+neighbours over all documents, which tasks accumulate in a table of fixed size and Spark sums. A word is what stands
+between white space, in its own case, and every ASCII punctuation mark is a word of its own, so that what litters a
+text has vectors like any other word. A document is the mean and the root mean square of its words' vectors, and the mean
+product of those of neighbours (which tells repetition), and nothing else. A two-layer network is trained on a bounded sample of labelled documents and its probabilities are calibrated by a
 temperature that the network was not fitted on.
 
 Defined results: a null or empty text is scored like any other (its vectors are zero); repeated rows get the same score
@@ -27,24 +27,16 @@ from pyspark.sql import functions as F
 from .common import corpus, text_key, tune
 from .sampling import labelled_sample
 
-#: Buckets of each vocabulary: words, their shapes, and pairs of shapes. Words beyond their number share buckets.
-VOCABULARIES = (1 << 16, 1 << 13, 1 << 13)
-BASES = (0, VOCABULARIES[0], VOCABULARIES[0] + VOCABULARIES[1])
-BUCKETS = sum(VOCABULARIES)
+#: Hashed buckets of the vocabulary; words beyond their number share buckets.
+BUCKETS = 1 << 17
 DIM = 64
-WIDTH = DIM * len(VOCABULARIES)  # of a document's vector
+WIDTH = 3 * DIM  # of a document's vector
 NONZERO = 2  # of an index vector
 WINDOW = 2  # neighbours on each side
 CHUNK = 50_000  # words handled at once
-
-_byte = np.arange(256, dtype=np.uint8)
-_upper = (_byte >= 65) & (_byte <= 90)
-_lower = (_byte >= 97) & (_byte <= 122)
-_digit = (_byte >= 48) & (_byte <= 57)
-_high = _byte >= 128
-_white = np.isin(_byte, np.frombuffer(b"\x20\x09\x0a\x0b\x0c\x0d", np.uint8))
-WORD_TABLE = np.where(_upper, _byte + 32, np.where(_lower | _digit | _high, _byte, 32)).astype(np.uint8).tobytes()
-SHAPE_TABLE = np.where(_upper, 65, np.where(_lower | _high, 97, np.where(_digit, 48, np.where(_white, 32, _byte)))).astype(np.uint8).tobytes()
+#: A word of this share of all words weighs half as much as a rare one.
+HALF_SHARE = 1e-3
+MARKS = [bytes([c]) for c in range(33, 127) if not chr(c).isalnum()]
 
 
 def index_vectors(seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -53,12 +45,13 @@ def index_vectors(seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, DIM, (BUCKETS, NONZERO)), rng.choice([-1, 1], (BUCKETS, NONZERO))
 
 
-def bucket_streams(text: bytes) -> list[np.ndarray]:
-    """Bucket numbers of a text's words, of their shapes, and of every two shapes in a row."""
-    words, shapes = text.translate(WORD_TABLE).split(), text.translate(SHAPE_TABLE).split()
-    hashed = [np.fromiter(map(crc32, found), np.int64, len(found)) for found in (words, shapes)]
-    pairs = (hashed[1][:-1] * 31 + hashed[1][1:]) % 1_000_003
-    return [h % size + base for h, size, base in zip([*hashed, pairs], VOCABULARIES, BASES, strict=True)]
+def buckets(text: bytes) -> np.ndarray:
+    """The bucket numbers of a text's words, in order."""
+    for mark in MARKS:
+        if mark in text:
+            text = text.replace(mark, b" " + mark + b" ")
+    words = text.split()
+    return np.fromiter(map(crc32, words), np.int64, len(words)) % BUCKETS
 
 
 def pieces(ids: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
@@ -110,8 +103,7 @@ def _count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     sums = Contexts()
     for batch in batches:
         for text in batch.column("text").cast(pa.binary()):
-            for stream in bucket_streams(text.as_py()):
-                sums.add(stream)
+            sums.add(buckets(text.as_py()))
     sums.sum_up()
     used = np.flatnonzero(sums.seen)
     for lo in range(0, len(used), 20_000):
@@ -120,13 +112,20 @@ def _count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums.seen[at]), *columns], names=["bucket", "n", *(f"v{i}" for i in range(DIM))])
 
 
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """The vectors of all buckets (BUCKETS x DIM), from all documents; this table's size does not depend on them."""
-    tune(docs.sparkSession)
+def word_vectors(docs: DataFrame, splits_a_task: int = 8) -> np.ndarray:
+    """The vectors of all buckets (BUCKETS x DIM), from all documents; this table's size does not depend on them.
+
+    A task takes several splits, if there are enough for all cores, as each sends a row for every bucket it has met.
+    """
+    spark = docs.sparkSession
+    tune(spark)
     ddl = "bucket int, n long, " + ", ".join(f"v{i} int" for i in range(DIM))
-    sums = corpus(docs).select("text").mapInArrow(_count_contexts, ddl).groupBy("bucket").agg(F.sum("n").alias("n"), *(F.sum(f"v{i}").alias(f"v{i}") for i in range(DIM)))
+    text = corpus(docs).select("text")
+    splits = text.rdd.getNumPartitions()
+    text = text.coalesce(max(1, min(splits, max(spark.sparkContext.defaultParallelism, -(-splits // splits_a_task)))))
+    sums = text.mapInArrow(_count_contexts, ddl).groupBy("bucket").agg(F.sum("n").alias("n"), *(F.sum(f"v{i}").alias(f"v{i}") for i in range(DIM)))
     got = sums.toArrow()
-    vectors, n = np.zeros((BUCKETS, DIM)), np.zeros(BUCKETS)
+    vectors, n = np.zeros((BUCKETS, DIM), np.float32), np.zeros(BUCKETS)
     at = got.column("bucket").to_numpy()
     n[at] = got.column("n").to_numpy()
     for i in range(DIM):
@@ -135,26 +134,27 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
 
 def weighted(vectors: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Context sums as vectors of length one, less what all words of a vocabulary have in common, frequent words weighing less."""
-    out = np.zeros(vectors.shape, np.float32)
-    for base, size in zip(BASES, VOCABULARIES, strict=True):
-        part = slice(base, base + size)
-        share = n[part] / max(1, n[part].sum())
-        v = vectors[part] / np.maximum(1e-9, np.linalg.norm(vectors[part], axis=1, keepdims=True))
-        out[part] = (v - share @ v) * (1e-3 / (1e-3 + share))[:, None]
-    return out
+    """Context sums as vectors of length one, less what all words have in common, frequent words weighing less."""
+    share = n / max(1, n.sum())
+    v = vectors / np.maximum(1e-9, np.linalg.norm(vectors, axis=1, keepdims=True))
+    return ((v - share @ v) * (HALF_SHARE / (HALF_SHARE + share))[:, None]).astype(np.float32)
 
 
 def pool(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
-    """A row for each text: the means of its words' vectors in each vocabulary."""
-    out = np.zeros((len(texts), WIDTH), np.float32)
+    """A row for each text: its words' vectors' mean, their root mean square, and the mean product of each and the next."""
+    out = np.zeros((len(texts), 3, DIM))
     for i, text in enumerate(texts):
-        for k, ids in enumerate(bucket_streams(text)):
-            at = slice(k * DIM, (k + 1) * DIM)
-            for lo in range(0, len(ids), CHUNK):
-                out[i, at] += vectors[ids[lo : lo + CHUNK]].sum(axis=0)
-            out[i, at] /= max(1, len(ids))
-    return out
+        ids = buckets(text)
+        for lo in range(0, len(ids), CHUNK):
+            part = vectors[ids[lo : lo + CHUNK + 1]]
+            one = part[:CHUNK]
+            out[i, 0] += one.sum(axis=0)
+            out[i, 1] += np.einsum("ij,ij->j", one, one)
+            out[i, 2] += np.einsum("ij,ij->j", part[1:], part[:-1])
+        out[i, :2] /= max(1, len(ids))
+        out[i, 2] /= max(1, len(ids) - 1)
+    out[:, 1] = np.sqrt(out[:, 1])
+    return out.reshape(-1, WIDTH).astype(np.float32)
 
 
 @dataclass

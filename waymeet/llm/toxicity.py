@@ -29,9 +29,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import corpus, discard, store, text_key, tune
-from .quality import SHAPE_TABLE, WORD_TABLE
 from .sampling import DEVELOP, READ, Split, seeds_and_pool
 
+_byte = np.arange(256, dtype=np.uint8)
+_upper = (_byte >= 65) & (_byte <= 90)
+_lower = (_byte >= 97) & (_byte <= 122)
+_digit = (_byte >= 48) & (_byte <= 57)
+_high = _byte >= 128
+_white = np.isin(_byte, np.frombuffer(b"\x20\x09\x0a\x0b\x0c\x0d", np.uint8))
+#: Bytes as they count in words (lower case, else a space), and their kinds.
+WORD_TABLE = np.where(_upper, _byte + 32, np.where(_lower | _digit | _high, _byte, 32)).astype(np.uint8).tobytes()
+SHAPE_TABLE = np.where(_upper, 65, np.where(_lower | _high, 97, np.where(_digit, 48, np.where(_white, 32, _byte)))).astype(np.uint8).tobytes()
+
 BUCKETS = 1 << 20
 ONCE = (4, 5)  # bytes of a word's beginning
 TWICE = (4, 5, 6, 7)  # of beginnings that at least two different words share
