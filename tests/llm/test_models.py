@@ -5,8 +5,9 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from waymeet.llm import quality, toxicity
+from waymeet.llm import quality, sampling, toxicity
 
 TEXTS = ["", "one", "A b, c!! a", "wort " * 9 + "Das ist ein wort", "x1 y2\n| z |", "Ünï çødé ### ###"]
 
@@ -187,3 +188,76 @@ def test_classifier_learns_posteriors():
     model = toxicity.ToxicModel(np.arange(20) * 3, w, b)
     scores = model.score([cols[rows == i] * 3 for i in range(400)])
     assert np.allclose(scores, 1 / (1 + np.exp(-(has @ w + b))))
+
+
+# ---- what is read off labelled rows
+
+
+def labelled(spark, n=400):
+    rng = np.random.default_rng(6)
+    rows, labels = [], []
+    for i in range(n):
+        toxic = int(rng.random() < 0.3)
+        words = [f"word{rng.integers(60)}" for _ in range(8)] + ([f"vile{rng.integers(4)}"] if toxic and rng.random() < 0.8 else [])
+        rows.append((i, " ".join(words)))
+        labels.append((i, toxic if rng.random() < 0.95 else None))
+    rows += [(n, None), (None, "no id"), (7, "another text of 7")]
+    labels += [(8, 0), (8, 1), (None, 1), (n, 0), (n + 5, 1)]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int"), rows, labels
+
+
+def test_samples_are_bounded_and_weighted(spark):
+    docs, labels, rows, given = labelled(spark)
+    usable = sampling.fold_of(F.col("doc_id"), 4) != 2
+    want = {}
+    for i, v in given:
+        if i is not None and v is not None and crc32(str(i).encode()) % 4 != 2:
+            want[i] = max(v, want.get(i, 0))
+    texts = {}
+    for i, t in rows:
+        texts[i] = min(t or "", texts.get(i, t or ""))
+    everything, weights = sampling.labelled_sample(docs, labels, "toxic", usable, 10_000)
+    assert {r["doc_id"]: (r["label"], r["text"]) for r in everything.collect()} == {i: (v, texts[i]) for i, v in want.items() if i in texts}
+    assert weights == {0: 1.0, 1: 1.0}
+    few, weights = sampling.labelled_sample(docs, labels, "toxic", usable, 30)
+    got = [r["label"] for r in few.collect()]
+    assert all(10 < got.count(k) < 60 and weights[k] == pytest.approx(sum(v == k for v in want.values()) / 30) for k in (0, 1))
+    split = sampling.seeds_and_pool(docs, labels, "toxic", usable, seed_share=0.5, seeds=40, pool=50)
+    parts = [(r["doc_id"], r["part"], r["label"]) for r in split.rows.collect()]
+    assert len({i for i, _, _ in parts}) == len(parts) and all(want[i] == v if p != sampling.POOL else v is None for i, p, v in parts)
+    assert 20 < sum(p == sampling.POOL for _, p, _ in parts) < 90 and 40 < sum(p != sampling.POOL for _, p, _ in parts) < 120
+    assert split.counts == {k: sum(v == k for v in want.values()) for k in (0, 1)}
+
+
+def test_lexicons_and_counts_match_plain_loops(spark):
+    docs, labels, _, _ = labelled(spark)
+    split = sampling.seeds_and_pool(docs, labels, "toxic", F.lit(True), seed_share=0.6, seeds=10_000, pool=10_000)
+    rows = split.rows.mapInArrow(toxicity._extract, "doc_id long, part int, label int, feats array<int>, patterns binary")
+    given = [(r["part"], r["label"], naive_features(r["text"].encode())) for r in split.rows.collect()]
+    counted = {r["feature"]: (r["one"], r["all"], r["n"]) for r in toxicity._counted(rows, lambda label, feats, patterns: (0.25 * (label or 0), 0.5)).collect()}
+    want = {}
+    for _, label, feats in given:
+        for f in feats:
+            one, every, n = want.get(f, (0.0, 0.0, 0))
+            want[f] = (one + 0.25 * (label or 0), every + 0.5, n + 1)
+    assert counted == {f: (pytest.approx(a), pytest.approx(b), n) for f, (a, b, n) in want.items()}
+    read = [(label, feats) for part, label, feats in given if part == sampling.READ]
+    n_pos, n_neg = sum(v for v, _ in read), sum(1 - v for v, _ in read)
+    best = [[] for _ in range(toxicity.FAMILIES)]
+    for f in {f for _, feats in read for f in feats}:
+        pos, neg = sum(v for v, feats in read if f in feats), sum(1 - v for v, feats in read if f in feats)
+        a, b = (pos + 0.05) / (n_pos + 1), (neg + 0.5) / (n_neg + 1)
+        if pos >= 2 and a > 4 * b:
+            best[f % toxicity.FAMILIES].append((-round(math.log(a / b) * math.sqrt(pos), 9), f))
+    lexicons = toxicity.tiers([[f for _, f in sorted(found)[: sum(toxicity.TIERS)]] for found in best])
+    got = toxicity.read_lexicons(rows)
+    assert got.feats.tolist() == lexicons.feats.tolist() and got.voters.tolist() == lexicons.voters.tolist() and len(got.feats) > 3
+
+
+def test_held_out_rows_are_scored_well(spark):
+    from waymeet.llm.queries import QUERIES
+
+    labels = {r["doc_id"]: r for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
+    for name, column, least in (("op2_quality_classifier", "quality", 0.97), ("op10_toxicity", "toxic", 0.95)):
+        got = [(labels[r["doc_id"]][column], r["predicted"]) for r in QUERIES[name](spark, "/root/testdata/sf0.1").collect() if r["held_out"] and r["doc_id"] in labels]
+        assert len(got) > 500 and sum(a == b for a, b in got) / len(got) >= least
