@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from waymeet.operators import enhance, interactions, walks
+from waymeet.operators import enhance, interactions, shapes, walks
 
 POINT = "id_record long, id_vehicle long, ord long, us long, x double, y double, z double, yaw double, length double, width double, height double, class_name string, detected boolean"
 FRAME = 33_333
@@ -78,7 +78,7 @@ def test_walks_match_plain_versions(spark):
         rows += [(1, v, k, float(a), float(b), float(c)) for k, (a, b, c) in enumerate(zip(x, y, yaw))]
         want[v] = (naive_jump_smooth(yaw), naive_adaptive(x, y, 1.5))
     pts = spark.createDataFrame(rows, "id_record long, id_vehicle long, ord long, x double, y double, yaw double").repartition(5)
-    smooth = {(r["id_vehicle"], r["ord"]): r["yaw_even"] for r in walks.smooth_between_jumps(pts).collect()}
+    smooth = {(r["id_vehicle"], r["ord"]): r["yaw_even"] for r in shapes.smooth_between_jumps(pts).collect()}
     cut = {(r["id_vehicle"], r["ord"]): r["segment"] for r in walks.adaptive_segments(pts, bent=1.5).collect()}
     assert len(smooth) == len(rows)
     for v, (even, segments) in want.items():

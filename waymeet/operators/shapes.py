@@ -106,6 +106,49 @@ def _long_enough(cut: DataFrame, rows: int, more: Column | None = None) -> DataF
     return cut.withColumn("n", n if more is None else n + more).filter(F.col("n") >= rows).drop("n")
 
 
+def smooth_between_jumps(points: DataFrame, *, jump: float = 3.0, longest: int = 60) -> DataFrame:
+    """(key, ord, yaw, yaw_even): yaw as its centred mean inside the stretches between jumps of more than `jump`.
+
+    A jump cuts behind its first row, which ends one stretch and, with the mean it has there, begins the next; that
+    stretch says what it is in the end. The mean runs over as many rows as the stretch has, without its last one unless
+    the track ends there, `longest` at most, and one more if that is even; beyond a stretch's ends the end row counts
+    again. A stretch's last mean never reaches back to its first row, so stretches do not wait for one another: each is
+    an array of its rows with running sums, and each mean a difference of two of these.
+    """
+    w = along()
+    here = points.select(*KEY, "ord", "yaw", (F.abs(F.lead("yaw").over(w) - F.col("yaw")) > jump).alias("jumps"))
+    stretch = F.coalesce(F.sum(F.col("jumps").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    here = here.select(*KEY, "ord", "yaw", stretch.alias("stretch"), F.sum("yaw").over(kinematics.so_far(w)).alias("sum"))
+    rows = here.groupBy(*KEY, "stretch").agg(F.array_sort(F.collect_list(F.struct("ord", "yaw", "sum"))).alias("rows"))
+    order = Window.partitionBy(*KEY).orderBy("stretch")
+    n, own = F.size("rows"), F.col("rows")
+    span = n + F.when(F.col("stretch") > 0, 1).otherwise(0)  # with the row that the stretch before has handed on
+    rows = rows.withColumn("ends", F.lead("stretch").over(order).isNull())
+    length = F.least(F.when(F.col("ends"), span).otherwise(span - 1), F.lit(longest))
+    rows = rows.withColumns({"n": n, "lead": span - n, "half": F.floor(length / 2).cast("int")})
+    rows = rows.withColumn("half", F.when(length < 2, 0).otherwise(F.col("half")))
+    row = lambda k: F.get("rows", k - 1)
+    between = lambda lo, hi: row(hi).sum - row(lo).sum + row(lo).yaw
+    last_mean = (between(F.col("n") - F.least("half", F.col("n") - 1), F.col("n")) + F.col("half") * row(F.col("n")).yaw) / (2 * F.col("half") + 1)
+    rows = rows.withColumn("tail", F.struct(row(F.col("n")).ord.alias("ord"), row(F.col("n")).yaw.alias("yaw"), last_mean.alias("mean")))
+    rows = rows.withColumn("head", F.lag("tail").over(order))
+
+    def mean(k: Column) -> Column:
+        """Of the k-th row of the stretch, the handed row being row 0 where there is one."""
+        first, lo, hi = 1 - F.col("lead"), k - F.col("half"), k + F.col("half")
+        inner = between(F.greatest(lo, F.lit(1)), F.least(hi, F.col("n")))
+        of_first = F.when(F.col("lead") == 1, F.col("head.mean")).otherwise(row(F.lit(1)).yaw)
+        before = F.greatest(first - lo, F.lit(0)) + F.when((F.col("lead") == 1) & (lo <= 0), 1).otherwise(0)
+        after = F.greatest(hi - F.col("n"), F.lit(0)) * row(F.col("n")).yaw
+        return (F.when(hi >= 1, inner).otherwise(0.0) + F.when(before > 0, before * of_first).otherwise(0.0) + after) / (2 * F.col("half") + 1)
+
+    at = F.sequence(1 - F.col("lead"), F.col("n") - F.when(F.col("ends"), 0).otherwise(1))
+    old = lambda k: F.when(k == 0, F.struct(F.col("head.ord"), F.col("head.yaw"))).otherwise(F.struct(row(k).ord.alias("ord"), row(k).yaw.alias("yaw")))
+    at = F.when(1 - F.col("lead") <= F.col("n") - F.when(F.col("ends"), 0).otherwise(1), at).otherwise(F.array().cast("array<int>"))
+    out = rows.select(*KEY, F.explode(F.transform(at, lambda k: F.struct(old(k).alias("row"), mean(k).alias("yaw_even")))).alias("r"))
+    return out.select(*KEY, "r.row.ord", "r.row.yaw", "r.yaw_even")
+
+
 def trim_borders(points: DataFrame, metres: float = 1.0) -> DataFrame:
     """Rows more than `metres` of path from the start up to the last one more than that from the end."""
     each = Window.partitionBy(*KEY)

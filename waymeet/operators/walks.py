@@ -74,31 +74,6 @@ def metre_yaw(points: DataFrame, distance: float = 1.0) -> DataFrame:
     return each_track(points, ["x", "y", "yaw"], walk, "yaw_way double")
 
 
-def centred_mean(v: np.ndarray, window: int) -> np.ndarray:
-    """Mean over an odd window (an even one is made one larger), ends repeated; as it is for fewer than two."""
-    if window < 2:
-        return v
-    half = (window + 1) // 2 if window % 2 == 0 else window // 2
-    return np.convolve(np.pad(v, half, mode="edge"), np.ones(2 * half + 1) / (2 * half + 1), mode="valid")
-
-
-def smooth_between_jumps(points: DataFrame, *, jump: float = 3.0, longest: int = 60) -> DataFrame:
-    """Adds yaw_even: yaw averaged inside the stretches between jumps of more than `jump`, over their length or `longest` rows.
-
-    The row before a jump ends one stretch and, as averaged there, begins the next.
-    """
-
-    def walk(at: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        out, start = at["yaw"].copy(), 0
-        for i in np.flatnonzero(np.abs(np.diff(out)) > jump):
-            out[start : i + 1] = centred_mean(out[start : i + 1], min(i - start, longest))
-            start = i
-        out[start:] = centred_mean(out[start:], min(len(out) - start, longest))
-        return {"yaw_even": out}
-
-    return each_track(points, ["yaw"], walk, "yaw_even double")
-
-
 def bend(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Curvature by gradients of gradients; not a number where a path stands still."""
     gx, gy = np.gradient(x), np.gradient(y)

@@ -167,9 +167,31 @@ def metre_yaw(spark, sf):
     return r6(walks.metre_yaw(views.points(spark, sf), 200.0).select("id_vehicle", "ord", "yaw_way"), "yaw_way")
 
 
-@query("jump_smoothed_yaw")
+@query(
+    "jump_smoothed_yaw",
+    # every stretch as a list, led by the last mean of the one before it, and means over indices that stop at its ends
+    f"""with recursive {P}, j as (select *, abs(lead(yaw) {W} - yaw) > 3 as jumps from points),
+    k as (select *, coalesce(sum(jumps::int) over (partition by id_record, id_vehicle order by ord rows between unbounded preceding and 1 preceding), 0)::int as stretch from j),
+    parts as (select id_record, id_vehicle, stretch, list(yaw order by ord) as v, list(ord order by ord) as o from k group by all),
+    own as (select *, stretch = max(stretch) over (partition by id_record, id_vehicle) as ends from parts),
+    run as (
+        select id_record, id_vehicle, stretch, o, v, ends from own where stretch = 0
+        union all
+        select n.id_record, n.id_vehicle, n.stretch, [e.o[-1]] || n.o, [e.means[-1]] || n.v, n.ends
+        from (
+            select r.*, list_transform(range(1, len(v) + 1), lambda i: list_sum(list_transform(range(i - half, i + half + 1), lambda m: v[greatest(1, least(len(v), m))])) / (2 * half + 1)) as means
+            from (select *, (case when least(len(v) - (not ends)::int, 60) < 2 then 0 else least(len(v) - (not ends)::int, 60) // 2 end)::bigint as half from run) r
+        ) e join own n on n.id_record = e.id_record and n.id_vehicle = e.id_vehicle and n.stretch = e.stretch + 1
+    ),
+    m as (
+        select *, list_transform(range(1, len(v) + 1), lambda i: list_sum(list_transform(range(i - half, i + half + 1), lambda m: v[greatest(1, least(len(v), m))])) / (2 * half + 1)) as means
+        from (select *, (case when least(len(v) - (not ends)::int, 60) < 2 then 0 else least(len(v) - (not ends)::int, 60) // 2 end)::bigint as half from run)
+    ),
+    u as (select id_vehicle, unnest(o) as ord, unnest(means) as yaw_even, ends, generate_subscripts(o, 1) = len(o) as tail from m)
+    select id_vehicle, ord, round(yaw_even, 6) + 0.0 as yaw_even from u where ends or not tail""",
+)
 def jump_smoothed_yaw(spark, sf):
-    return r6(walks.smooth_between_jumps(views.points(spark, sf)).select("id_vehicle", "ord", "yaw_even"), "yaw_even")
+    return r6(shapes.smooth_between_jumps(views.points(spark, sf)).select("id_vehicle", "ord", "yaw_even"), "yaw_even")
 
 
 @query("adaptive_segments")
