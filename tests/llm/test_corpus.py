@@ -605,3 +605,47 @@ def test_pipeline_matches_its_stages_by_brute_force(spark, sf):
     assert {r["doc_id"]: r["n"] for r in packed} == lengths
     scored = quality.score(docs, quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
     assert set(texts[1]) == {r["doc_id"] for r in scored.filter("score >= 0.3").collect()}
+
+
+# ---- many copies and sizes
+
+
+def test_tasks_are_bounded_until_they_would_be_too_large():
+    from waymeet.llm.common import LARGE_TASK, MANY_TASKS, tasks_for
+
+    assert tasks_for(0, 10) == 1 and tasks_for(101, 10) == 11
+    assert tasks_for(10**15, 16 << 20) == -(-(10**15) // LARGE_TASK) > MANY_TASKS
+    assert tasks_for(2 * 10**12, 16 << 20) == MANY_TASKS
+
+
+def test_many_equal_rows_come_back_each(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "SLICE", 7)
+    rows = [(None, "")] * 100 + [(1, "this is cc by licensed")] * 15 + [(2, "x")] * 7 + [(2, "x y")] * 8
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    count = lambda i: sum(r["doc_id"] == i for r in got)
+    assert (count(None), count(1), count(2)) == (100, 15, 15) and all(r["n_base"] == (r["doc_id"] == 1) for r in got)
+
+
+def test_which_equal_row_stays_does_not_depend_on_the_deal(spark):
+    rows = [(i % 5, "same words " * 3, "x" * (i % 7), i) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n int")
+    one, many = (sorted(map(tuple, exact_dedup.drop_exact_copies(df.repartition(n, "n")).collect())) for n in (1, 6))
+    assert one == many and len(one) == 1
+
+
+def test_folding_counts_what_texts_take(spark):
+    rows = [(i, f"t{i % 300}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    few, many = (exact_dedup.exact_groups(df, window_bytes=w) for w in (1 << 30, 40_000))
+    pick = lambda d: sorted(map(tuple, d.select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()))
+    assert pick(few) == pick(many)
+
+
+def test_pages_without_ids_are_dealt_to_several_tasks(spark, tmp_path):
+    rows = [(None, f"u{i}", f"body {i % 40}") for i in range(400)] + [(i, "u", "body 3") for i in range(5)]
+    folder = f"file://{tmp_path}/w"
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), folder, shards=6)
+    got = warc.read(spark, folder).collect()
+    assert sorted((r["page_id"] is not None, r["url"], bytes(r["payload"]).decode()) for r in got if r["record_type"] == "response" and r["page_id"] is None) == sorted((False, u, h) for i, u, h in rows if i is None)
+    assert {(r["page_id"], r["refers_to"]) for r in got if r["page_id"] is not None} == {(0, 4), (1, 4), (2, 4), (3, 4), (4, None)}
+    assert warc.manifest(spark, folder).count() >= 3

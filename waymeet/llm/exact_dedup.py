@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import corpus, discard, keep_rows, store, text_key, tune
+from .common import MANY_TASKS, corpus, discard, keep_rows, store, tasks_for, text_key, tune
 
 WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 NO_ID = (1 << 63) - 1
@@ -60,6 +60,10 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+#: What Python keeps for each different text of a window beside its bytes, and for each copy of one.
+TEXT_BYTES, COPY_BYTES = 460, 80
+
+
 def _fold(window_bytes: int):
     """Per task: one row for each distinct stripped text of a window of rows, with its rows' ids."""
 
@@ -110,12 +114,12 @@ def _fold(window_bytes: int):
                 old = seen.get(body)
                 if old is None:
                     seen[body] = [[doc_id], [key], (*rank, 0)]
-                    held += len(body)
+                    held += len(body) + TEXT_BYTES
                 else:
                     old[2] = min(old[2], (*rank, len(old[0])))
                     old[0].append(doc_id)
                     old[1].append(key)
-                    held += 16
+                    held += COPY_BYTES
             if held >= window_bytes:
                 yield from flush()
         yield from flush()
@@ -271,7 +275,7 @@ def _own(trie_bytes: int):
 def exact_groups(docs: DataFrame, *, window_bytes: int = 32 << 20, trie_bytes: int = 96 << 20, partition_bytes: int = 24 << 20) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, text_key.
 
-    window_bytes: stripped text that a task folds before it shuffles. partition_bytes: text dealt to one trie;
+    window_bytes: memory of what a task folds before it shuffles. partition_bytes: text dealt to one trie (tasks_for);
     trie_bytes: where a trie gives up a subtree.
     """
     spark = docs.sparkSession
@@ -279,7 +283,7 @@ def exact_groups(docs: DataFrame, *, window_bytes: int = 32 << 20, trie_bytes: i
     folded = store(corpus(docs).withColumn("text_key", text_key()).mapInArrow(_fold(window_bytes), FOLDED_DDL), "folded")
     members = store(folded.select("rep", "text_sha256", "ids", "keys"), "members")
     total = folded.agg(F.sum("norm_len")).first()[0] or 0
-    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // partition_bytes))
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tasks_for(total, partition_bytes))
     todo = folded.withColumn("best_rep", F.col("rep")).select("rep", "norm_len", "content_hash", "body", "n_rows", "best_chars", "best_id", "best_rep", "best_at")
     owners, links, turn = None, [], 0
     while True:
@@ -291,7 +295,7 @@ def exact_groups(docs: DataFrame, *, window_bytes: int = 32 << 20, trie_bytes: i
         todo = made.filter("body is not null").select(*todo.columns)
         if todo.isEmpty():
             break
-        n_parts, turn = n_parts * 8, turn + 1
+        n_parts, turn = max(n_parts, min(n_parts * 8, MANY_TASKS)), turn + 1
     discard(folded)
     # a string dealt again goes on under the row that came first, so each turn's links lead to rows of the next
     named = members

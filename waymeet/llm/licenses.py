@@ -41,6 +41,8 @@ NOTICES = [
 SLACK = 3
 COVERAGE = 0.7
 DOCUMENT = -1
+#: Copies of a row are given out again in slices of this many.
+SLICE = 10_000
 
 
 def template_grams(phrases: list[tuple[str, str]], notices: list[tuple[str, str]]) -> list[tuple]:
@@ -112,5 +114,6 @@ def scan(docs: DataFrame, *, phrases: list[tuple[str, str]] = PHRASES, notices:
         joined("base_labels").alias("base_labels"),
         joined("labels").alias("labels"),
         F.coalesce("score", F.lit(0.0)).alias("score"),
-        F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy"),
-    ).drop("copy")
+        "times",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / SLICE))).alias("slice"),
+    ).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(SLICE), F.col("times") - F.col("slice") * SLICE)))).drop("times", "slice", "copy")

@@ -27,7 +27,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, store, tune
+from .common import bounded, store, tasks_for, tune
 
 MANIFEST_DDL = "name string, records long, bytes long, sha256 string"
 RECORD_DDL = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -115,7 +115,7 @@ def _write(folder: str, prefix: str, roll_bytes: int, level: int, date: str):
 def write(pages: DataFrame, folder: str, *, prefix: str = "pages", min_revisit_bytes: int = 0, shards: int | None = None, shard_bytes: int = 16 << 20, roll_bytes: int = 16 << 20, level: int = 6, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
     """Write pages (page_id, url, html) under folder; returns the committed manifest.
 
-    shards: ranges of page_id, each written by one task; by default one for every shard_bytes of payload. roll_bytes:
+    shards: ranges of page_id, each written by one task; by default one for every shard_bytes of payload (tasks_for). roll_bytes:
     compressed size at which a task goes on to its next file.
     """
     spark = pages.sparkSession
@@ -136,8 +136,9 @@ def write(pages: DataFrame, folder: str, *, prefix: str = "pages", min_revisit_b
     full = rows.select("page_id", F.lit(True).alias("is_page"), "check", "url", "html", F.lit(None).cast("long").alias("refers_to"))
     if shards is None:
         size = digests.agg(F.sum(F.col("n_bytes") + 500)).first()[0] or 0
-        shards = max(1, -(-size // shard_bytes))
-    dealt = full.unionByName(told).repartitionByRange(shards, "page_id").sortWithinPartitions("page_id", "is_page", "url", "check")
+        shards = tasks_for(size, shard_bytes)
+    # rows of one page_id, or of none, may go to several tasks, but those of one payload stay with what is told of it
+    dealt = full.unionByName(told).repartitionByRange(shards, "page_id", "check").sortWithinPartitions("page_id", "is_page", "url", "check")
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(f"{root}/{TEMPORARY}", recursive=True)
     dealt.mapInArrow(_write(folder, prefix, roll_bytes, level, date), MANIFEST_DDL).write.parquet(f"{folder}/_manifest")
