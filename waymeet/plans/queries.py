@@ -749,6 +749,69 @@ def curve_distance_assign(spark, sf):
     return r6(clustering.assign(keyed, _curves(spark, sf, keyed), total=200.0, most=60.0).drop("most"), "total")
 
 
+# ---- the same on tracks that cluster: vehicles on lanes
+
+LANE_EPS = 12.0
+_LANES = f"""{views.LANE_SQL}, {_SHARE}, near as (select a.id_vehicle as i, b.id_vehicle as j from keyed a join keyed b on a.id_vehicle <> b.id_vehicle where {_CHEB} <= {LANE_EPS}),
+    deg as (select id_vehicle as id, 1 + (select count(*) from near where i = id_vehicle) as degree from keyed)"""
+_LABELS = f"""{_LANES}, core as (select id from deg where degree >= 5), e as (select i, j from near where i in (from core) and j in (from core)),
+    r as (select id as node, id as seen from core union select r.node, e.j from r join e on r.seen = e.i),
+    root as (select node, min(seen) as root from r group by 1), lab as (select node, dense_rank() over (order by root) - 1 as label from root),
+    border as (select i as node, min(label) as label from near join lab on j = node where i not in (from core) group by 1),
+    labels as (select id, coalesce(lab.label, border.label, -1)::int as label from deg left join lab on id = lab.node left join border on id = border.node)"""
+
+
+def _lanes(spark, sf):
+    """Key points of the tracks on lanes, and their clusters."""
+    keyed = store(tracks.key_points(views.lane_points(spark, sf)).select(F.col("id_vehicle").alias("id"), "points"), "keyed")
+    return keyed, store(clustering.dbscan(keyed.select("id"), clustering.neighbours(keyed, LANE_EPS), 5), "labels")
+
+
+def _lane_curves(spark, sf):
+    keyed, labels = _lanes(spark, sf)
+    return keyed, store(clustering.fitted_curves(clustering.cluster_means(keyed, labels)), "curves")
+
+
+@query("lane_clusters", f"with recursive {_LABELS} select id, label from labels")
+def lane_clusters(spark, sf):
+    return _lanes(spark, sf)[1]
+
+
+def _lane_curves_sql() -> str:
+    """The normal equations of a quadratic through five means, by their sums over t = 0 .. 4."""
+    fit = "{c}2 := (7 * s2 - 28 * s1 + 14 * s0) / 98, {c}1 := (-140 * s2 + 609 * s1 - 378 * s0) / 490, {c}0 := (70 * s2 - 378 * s1 + 434 * s0) / 490"
+    one = lambda c: f"(select struct_pack({fit.format(c=c)}) from (select sum(v) as s0, sum(k * v) as s1, sum(k * k * v) as s2 from (select unnest([m0{c}, m1{c}, m2{c}, m3{c}, m4{c}]) as v, unnest([0, 1, 2, 3, 4]) as k))) as f{c}"
+    means = ", ".join(f"avg(p{i}.{c}) as m{i}{c}" for i in range(5) for c in "xy")
+    return f"means as (select label, {means} from keyed join labels on id = id_vehicle where label >= 0 group by 1), curves as (select label, {one('x')}, {one('y')} from means)"
+
+
+@query(
+    "lane_assign",
+    # the least distance by a grid of t and golden sections around its best place
+    f"""with recursive {_LABELS}, {_lane_curves_sql()},
+    pairs as (select id_vehicle as id, label, fx, fy, unnest([p0, p1, p2, p3, p4]) as p, unnest([0, 1, 2, 3, 4]) as k from keyed, curves),
+    grid as (select *, list_min(list_transform(range(0, 161), lambda i: {{'d': (fx.x0 + fx.x1 * (i / 20 - 2) + fx.x2 * (i / 20 - 2) ** 2 - p.x) ** 2 + (fy.y0 + fy.y1 * (i / 20 - 2) + fy.y2 * (i / 20 - 2) ** 2 - p.y) ** 2, 't': i / 20 - 2}})).t as t from pairs),
+    fine as (select *, 0 as turn, greatest(t - 0.05, -2) as lo, least(t + 0.05, 6) as hi from grid union all
+             select id, label, fx, fy, p, k, t, turn + 1, case when dl < dh then lo else a end, case when dl < dh then b else hi end
+             from (select *, (fx.x0 + fx.x1 * a + fx.x2 * a * a - p.x) ** 2 + (fy.y0 + fy.y1 * a + fy.y2 * a * a - p.y) ** 2 as dl, (fx.x0 + fx.x1 * b + fx.x2 * b * b - p.x) ** 2 + (fy.y0 + fy.y1 * b + fy.y2 * b * b - p.y) ** 2 as dh
+                   from (select *, lo + (hi - lo) / 3 as a, hi - (hi - lo) / 3 as b from fine where turn < 40))),
+    d as (select id, label, k, fx, fy, p, sqrt((fx.x0 + fx.x1 * lo + fx.x2 * lo * lo - p.x) ** 2 + (fy.y0 + fy.y1 * lo + fy.y2 * lo * lo - p.y) ** 2) as d from fine where turn = 40),
+    s as (select id, label, sum(d) as total, max(d) as most,
+                 sqrt(max((p.x - fx.x0) ** 2 + (p.y - fy.y0) ** 2) filter (k = 4)) < sqrt(max((p.x - fx.x0) ** 2 + (p.y - fy.y0) ** 2) filter (k = 0)) as back from d group by 1, 2),
+    best as (select * from s qualify row_number() over (partition by id order by total, label) = 1)
+    select id, (case when total < 10 or most <= 3 then label + case when back then (select count(*) from curves) else 0 end else -1 end)::int as cluster, round(total, 3) as total from best""",
+)
+def lane_assign(spark, sf):
+    keyed, curves = _lane_curves(spark, sf)
+    found = clustering.assign(keyed, curves).select("id", "cluster", F.round("total", 3).alias("total"))
+    return found.withColumn("cluster", F.col("cluster").cast("int"))
+
+
+@query("lane_maneuvers")
+def lane_maneuvers(spark, sf):
+    return clustering.classify_maneuvers(_lane_curves(spark, sf)[1])
+
+
 @query("maneuver_classify")
 def maneuver_classify(spark, sf):
     return clustering.classify_maneuvers(_curves(spark, sf))

@@ -86,6 +86,35 @@ def detections(spark: SparkSession, sf_dir: str, lanes: int = 4) -> DataFrame:
     )
 
 
+#: Lanes of the tracks below: where each begins, its direction and its bend (fixed values).
+LANES = [(0.0, 0.0, 1.0, 0.0, 0.0), (0.0, 40.0, 1.0, 0.0, 0.002), (90.0, 100.0, -1.0, 0.0, 0.0), (50.0, -30.0, 0.0, 1.0, 0.0), (20.0, 90.0, 0.0, -1.0, 0.004), (0.0, -60.0, 0.8, 0.6, 0.0), (150.0, 0.0, 0.0, 1.0, -0.003)]
+
+
+def lane_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of vehicles on lanes, from orders: a customer with four orders or more drives along the lane of its number."""
+    from pyspark.sql import Window
+
+    each, by = Window.partitionBy("o_custkey"), Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    o = read(spark, sf_dir, "orders").withColumns({"n": F.count("*").over(each), "k": F.row_number().over(by) - 1}).filter("n >= 4")
+    lane = F.element_at(F.array(*(F.struct(*(F.lit(v).alias(c) for v, c in zip(row, ("ox", "oy", "dx", "dy", "bend")))) for row in LANES)), (F.col("o_custkey") % len(LANES) + 1).cast("int"))
+    o = o.select(F.lit(1).cast("long").alias("id_record"), F.col("o_custkey").alias("id_vehicle"), F.col("k").cast("long").alias("ord"), lane.alias("l"), (F.col("k") * 100.0 / (F.col("n") - 1)).alias("s"), (F.col("o_orderkey") % 11 * 0.2 - 1).alias("off"))
+    side = F.col("off") + F.col("l.bend") * F.col("s") * F.col("s")
+    return o.select("id_record", "id_vehicle", "ord", (F.col("l.ox") + F.col("l.dx") * F.col("s") - F.col("l.dy") * side).alias("x"), (F.col("l.oy") + F.col("l.dy") * F.col("s") + F.col("l.dx") * side).alias("y"), F.lit(0.0).alias("z"))
+
+
+LANE_SQL = f"""
+        lanes(lane, ox, oy, dx, dy, bend) as (values {', '.join(f"({i}, {', '.join(f'{v}::double' for v in row)})" for i, row in enumerate(LANES))}),
+        driven as (
+            select o_custkey as id_vehicle, row_number() over (partition by o_custkey order by o_orderkey) - 1 as ord, count(*) over (partition by o_custkey) as n,
+                   o_orderkey % 11 * 0.2::double - 1 as off_lane
+            from orders
+        ),
+        points as (
+            select 1::bigint as id_record, id_vehicle, ord, ox + dx * s - dy * side as x, oy + dy * s + dx * side as y, 0.0::double as z
+            from (select *, off_lane + bend * s * s as side from (select *, ord * 100.0::double / (n - 1) as s from driven where n >= 4) join lanes on lane = id_vehicle % {len(LANES)})
+        )"""
+
+
 def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conflicts from line items: customers meet suppliers."""
     li, o = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
