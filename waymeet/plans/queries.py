@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes as box_functions
 from ..functions import camera, geometry
-from ..operators import anomaly, clustering, conflicts, detections, interactions, matching, shapes, tracker, tracks
+from ..operators import anomaly, barycentre, clustering, conflicts, detections, interactions, matching, shapes, tracker, tracks
 from ..operators.conflicts import ConflictFilter
 from ..schemas import FRAME_US, OBJECT_CLASSES
 from ..storage import store
@@ -807,6 +807,14 @@ def lane_assign(spark, sf):
     return found.withColumn("cluster", F.col("cluster").cast("int"))
 
 
+# held against plain loops on the whole table by tests/test_barycentre.py
+@query("lane_barycentres")
+def lane_barycentres(spark, sf):
+    labels = _lanes(spark, sf)[1]
+    found = barycentre.barycentres(views.lane_points(spark, sf), labels.select(F.col("id").alias("id_vehicle"), "label"))
+    return found.select("label", "place", *(F.round(c, 4).alias(c) for c in ("x", "y", "cost")))
+
+
 @query("lane_maneuvers")
 def lane_maneuvers(spark, sf):
     return clustering.classify_maneuvers(_lane_curves(spark, sf)[1])
