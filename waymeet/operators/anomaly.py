@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from ..storage import store
 from .tracks import KEY, ego
 
 
@@ -17,21 +23,170 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 def _unit(v: Column) -> Column:
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.transform(v, lambda x: x.cast("double") / norm)
+    return F.transform(v, lambda x: x.cast("double") / F.nullif(norm, F.lit(0.0)))
+
+
+#: Vectors of a block, groups up to which size are one cell, and bytes of all pivots, which are broadcast.
+BLOCK_ROWS, ONE_CELL, PIVOT_BYTES = 1024, 64, 16 << 20
+
+
+@dataclass
+class Cells:
+    """Per group: its pivots, and the radius of each one's cell; groups without pivots are one cell, number 0."""
+
+    pivots: dict[object, np.ndarray]
+    radius: dict[object, np.ndarray]
+
+    def home(self, grp: object, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cell of each vector and its distance to the cell's pivot."""
+        if grp not in self.pivots:
+            return np.zeros(len(u), np.int64), np.zeros(len(u))
+        far = _far(u, self.pivots[grp])
+        return far.argmin(axis=1), far.min(axis=1)
+
+    def may_hold(self, grp: object, u: np.ndarray, within: np.ndarray) -> np.ndarray:
+        """(vector, cell): whether a cell may hold something within a vector's bound.
+
+        By the triangle inequality a cell's members are at least its pivot's distance less its radius away, and at
+        least half of what its pivot is farther away than the nearest one.
+        """
+        far = _far(u, self.pivots[grp])
+        least = np.maximum(far - self.radius[grp][None, :], (far - far.min(axis=1, keepdims=True)) / 2)
+        return least <= within[:, None] + 1e-9
+
+
+def _far(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Euclidean distances of vectors of length one."""
+    return np.sqrt(np.maximum(0.0, 2 - 2 * (u @ v.T)))
+
+
+def _matrix(flat: list, n: int) -> np.ndarray:
+    return np.array(flat, np.float64).reshape(n, -1)
+
+
+def _pivots(unit: DataFrame) -> dict[object, np.ndarray]:
+    """About the root of a group's size of its vectors, by a hash of the id; fewer where all groups' do not fit PIVOT_BYTES."""
+    sizes = unit.groupBy("grp").agg(F.count("*").alias("n"), F.max(F.size("u")).alias("dims")).filter(F.col("n") > ONE_CELL)
+    total = sizes.agg(F.sum(F.sqrt("n") * F.col("dims") * 8)).first()[0] or 0.0
+    if not total:
+        return {}
+    share = F.sqrt("n") / F.col("n") * min(1.0, PIVOT_BYTES / total)
+    drawn = unit.join(sizes.select(F.col("grp").alias("s_grp"), share.alias("share")), F.col("grp") == F.col("s_grp"))
+    drawn = drawn.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("grp", "u").distinct()
+    got: dict[object, list] = {}
+    for r in drawn.orderBy("grp", "u").toLocalIterator():
+        got.setdefault(r["grp"], []).append(r["u"])
+    return {g: np.array(v) for g, v in got.items() if len(v) > 1}
+
+
+def _nearest(a: np.ndarray, b: np.ndarray, same: bool, order: np.ndarray, k: int, may: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, distance) of each a's first k of b by distance, then b's order; same: a is b, rows do not meet themselves."""
+    d = np.round(1 - a @ b.T, 12)
+    if same:
+        np.fill_diagonal(d, np.inf)
+    d[~may] = np.inf
+    bound = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+    i, j = np.nonzero((d <= bound[:, None]) & np.isfinite(d))
+    at = np.lexsort((order[j], d[i, j], i))
+    i, j = i[at], j[at]
+    first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, int)
+    rank = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)]))
+    return i[rank < k], j[rank < k], d[i[rank < k], j[rank < k]]
 
 
 def knn(vectors: DataFrame, k: int = 20) -> DataFrame:
     """(grp, id, other, d, rank): the k nearest by cosine distance within each group (grp, id, embedding); ties by id.
 
-    Vectors are scaled to length one beforehand, so a pair costs one product.
+    Vectors are scaled to length one, where distance and cosine distance have one order, and dealt to the cells of
+    pivots. Blocks of a cell meet one another first, which bounds how far a vector's k-th neighbour can be; then they
+    meet the blocks of other cells that may hold something nearer. Blocks are compared by one matrix product and only
+    the k nearest leave it. Vectors of length zero, or with components that are no numbers, take no part.
     """
+    return _merged(_compared(vectors, k), k)
+
+
+def _compared(vectors: DataFrame, k: int) -> DataFrame:
+    """(grp, id, other, d) of the k nearest in each pair of blocks that met, and n_pairs, how many vectors met in it, once a pair."""
+    spark = vectors.sparkSession
     unit = vectors.select("grp", "id", _unit(F.col("embedding")).alias("u"))
-    other = unit.select(F.col("grp").alias("o_grp"), F.col("id").alias("other"), F.col("u").alias("v"))
-    both = unit.join(other, (F.col("grp") == F.col("o_grp")) & (F.col("id") != F.col("other")))
-    d = 1 - F.aggregate(F.zip_with("u", "v", lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x)
+    unit = store(unit.filter(F.forall("u", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 2)) & (F.size("u") > 0)), "unit")
+    cells = Cells(_pivots(unit), {})
+    told = spark.sparkContext.broadcast(cells)
+    g, i = (to_arrow_type(unit.schema[c].dataType) for c in ("grp", "id"))
+    names = [f"{f.name} {f.dataType.simpleString()}" for f in unit.schema[:2]]
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grp, u = batch.column("grp").to_pylist(), batch.column("u").to_pylist()
+            home, r = np.zeros(len(grp), np.int64), np.zeros(len(grp))
+            for one in set(grp):
+                at = [n for n, x in enumerate(grp) if x == one]
+                if one in told.value.pivots:
+                    home[at], r[at] = told.value.home(one, np.array([u[n] for n in at]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home), pa.array(r)], names=["grp", "id", "u", "cell", "r"])
+
+    homes = store(unit.mapInArrow(dealt, f"{names[0]}, {names[1]}, u array<double>, cell long, r double"), "homes")
+    sizes = homes.groupBy("grp", "cell").agg(F.count("*").alias("n"), F.max("r").alias("radius"))
+    if cells.pivots:
+        for row in sizes.collect():  # a row for each pivot
+            if row["grp"] in cells.pivots:
+                cells.radius.setdefault(row["grp"], np.full(len(cells.pivots[row["grp"]]), -np.inf))[row["cell"]] = row["radius"]
+    shared = spark.sparkContext.broadcast(cells)
+    n_blocks = F.ceil(F.col("n") / BLOCK_ROWS)
+    blocked = homes.join(sizes.select(F.col("grp").alias("b_grp"), F.col("cell").alias("b_cell"), "n"), (F.col("grp") == F.col("b_grp")) & (F.col("cell") == F.col("b_cell")))
+    blocked = blocked.groupBy("grp", "cell", F.pmod(F.xxhash64("id"), n_blocks).alias("block")).agg(F.array_sort(F.collect_list(F.struct("id", "u"))).alias("m"))
+    blocks = store(blocked.select("grp", "cell", "block", F.col("m.id").alias("ids"), F.flatten("m.u").alias("u")), "blocks")
+    b = blocks.select(*(F.col(c).alias(f"b_{c}") for c in blocks.columns))
+    out = f"{names[0]}, {names[1]}, {names[1].replace('id ', 'other ', 1)}, d double, cell long, block long, n_pairs long"
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                a, c = _matrix(row["u"], len(row["ids"])), _matrix(row["b_u"], len(row["b_ids"]))
+                order = np.empty(len(row["b_ids"]), np.int64)
+                order[sorted(range(len(order)), key=row["b_ids"].__getitem__)] = np.arange(len(order))
+                may = np.ones((len(a), len(c)), bool)
+                if row["within"] is not None:
+                    may &= shared.value.may_hold(row["grp"], a, np.array(row["within"]))[:, row["b_cell"], None]
+                met = int(may.sum())
+                p, q, d = _nearest(a, c, row["same"], order, k, may)
+                if row["within"] is not None:  # nothing farther than the bound is needed
+                    near = np.sqrt(2 * np.maximum(d, 0)) <= np.array(row["within"])[p] + 1e-6
+                    p, q, d = p[near], q[near], d[near]
+                rest = [pa.array([row[c]] * len(p), pa.int64()) for c in ("cell", "block")]
+                count = pa.array([met if n == 0 else 0 for n in range(len(p))], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([row["grp"]] * len(p), g), pa.array([row["ids"][n] for n in p], i), pa.array([row["b_ids"][n] for n in q], i), pa.array(d, pa.float64()), *rest, count], names=["grp", "id", "other", "d", "cell", "block", "n_pairs"])
+
+    inside = blocks.join(b, (F.col("grp") == F.col("b_grp")) & (F.col("cell") == F.col("b_cell")))
+    first = inside.withColumns({"same": F.col("block") == F.col("b_block"), "within": F.lit(None).cast("array<double>")})
+    first = store(first.mapInArrow(meet, out), "first")
+    if not cells.pivots:
+        return first
+    bound = _merged(first.select("grp", "id", "other", "d"), k).groupBy("grp", "id").agg(F.max("d").alias("last"), F.count("*").alias("n"))
+    bound = bound.select(F.col("grp").alias("t_grp"), F.col("id").alias("t_id"), F.when(F.col("n") == k, F.sqrt(2 * F.greatest("last", F.lit(0.0)))).otherwise(2.0).alias("within"))
+    ids = blocks.select("grp", "cell", "block", F.posexplode("ids").alias("at", "id"))
+    within = ids.join(bound, (F.col("grp") == F.col("t_grp")) & (F.col("id") == F.col("t_id")), "left")
+    within = within.groupBy("grp", "cell", "block").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("within", F.lit(2.0)).alias("within")))).alias("w"))
+    within = within.select(F.col("grp").alias("w_grp"), F.col("cell").alias("w_cell"), F.col("block").alias("w_block"), F.col("w.within").alias("within"))
+    asking = store(blocks.join(within, (F.col("grp") == F.col("w_grp")) & (F.col("cell") == F.col("w_cell")) & (F.col("block") == F.col("w_block"))).select(*blocks.columns, "within"), "asking")
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["grp"] in shared.value.pivots:
+                    hit = np.flatnonzero(shared.value.may_hold(row["grp"], _matrix(row["u"], len(row["ids"])), np.array(row["within"])).any(axis=0))
+                    to = pa.array(hit[hit != row["cell"]], pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array([row["grp"]] * len(to), g), *(pa.array([row[c]] * len(to), pa.int64()) for c in ("cell", "block")), to], names=["q_grp", "q_cell", "q_block", "to"])
+
+    asked = asking.mapInArrow(wanted, f"q_{names[0]}, q_cell long, q_block long, to long")
+    pairs = asking.join(asked, (F.col("grp") == F.col("q_grp")) & (F.col("cell") == F.col("q_cell")) & (F.col("block") == F.col("q_block")))
+    pairs = pairs.join(b, (F.col("grp") == F.col("b_grp")) & (F.col("to") == F.col("b_cell"))).withColumn("same", F.lit(False)).drop("q_grp", "q_cell", "q_block", "to")
+    return first.unionByName(pairs.mapInArrow(meet, out))
+
+
+def _merged(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("grp", "id").orderBy("d", "other")
-    # rounded so that equal distances stay equal whatever the order of summation
-    return both.select("grp", "id", "other", F.round(d, 12).alias("d")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return found.select("grp", "id", "other", "d").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def local_outlier_factor(vectors: DataFrame, k: int = 20, threshold: float = 1.5) -> DataFrame:
