@@ -89,3 +89,24 @@ def test_embedding_is_the_mean_motion_of_each_stretch(spark):
     pts = track(spark, [(0, 2 * i) for i in range(40)]).withColumns({"yaw": F.lit(math.pi / 2), "us": F.col("ord") * 33_333})
     row = anomaly.motion_features(pts, 20).first()["embedding"]
     assert row[:2] == pytest.approx([1.0, 0.0]) and row[2::2] == pytest.approx([2.0] * 19)
+
+
+def test_bernstein_paths_go_through_all_rows_smoothly(spark):
+    rng = np.random.default_rng(8)
+    rows = [(1, v, k, *map(float, rng.normal(size=3))) for v, n in ((1, 12), (2, 2), (3, 1)) for k in range(n)]
+    pts = spark.createDataFrame(rows, "id_record long, id_vehicle long, ord long, x double, y double, z double")
+    got = {(r["id_vehicle"], r["ord"], r["share"]): r for r in shapes.bernstein_paths(pts, (0.0, 1e-6, 0.5, 1 - 1e-6)).collect()}
+    assert {v for v, _, _ in got} == {1, 2}
+    x = np.array([r[3] for r in rows if r[1] == 1])
+    v = np.gradient(x, 1 / 11)
+    a = np.gradient(v, 1 / 11)
+    for k in range(12):
+        r = got[1, k, 0.0]
+        assert (r["x"], r["vx"], r["ax"]) == (pytest.approx(x[k]), pytest.approx(v[k]), pytest.approx(a[k]))
+        if k < 11:
+            for share, m in ((1e-6, k), (1 - 1e-6, k + 1)):
+                r = got[1, k, share]
+                assert (r["x"], r["vx"], r["ax"]) == (pytest.approx(x[m], abs=1e-4), pytest.approx(v[m], abs=1e-2), pytest.approx(a[m], abs=1e-1))
+    yaw = [got[1, k, 0.0]["yaw"] for k in range(12)]
+    alone = {r["ord"]: r["yaw_rate"] for r in shapes.bernstein_paths(pts.filter("id_vehicle = 1")).collect()}
+    assert [alone[k] for k in range(12)] == pytest.approx(np.gradient(yaw).tolist())

@@ -244,3 +244,40 @@ def consistent(*, error: Column, frames: Column, seen: Column, expected: Column,
     speeds = (seen <= factor * expected) & (seen >= expected / factor)
     straight = F.when((seen > 0) & (expected > 0), F.pmod(F.abs(turn), F.lit(2 * math.pi)) < most_turn).otherwise(True)
     return F.when(frames < settled, early).otherwise((error < distance) & speeds & straight)
+
+
+def _bernstein(b: list[Column], t: Column) -> Column:
+    """The polynomial with Bernstein coefficients b at t."""
+    n = len(b) - 1
+    return sum((math.comb(n, i) * F.pow(t, F.lit(i)) * F.pow(1 - t, F.lit(n - i)) * c for i, c in enumerate(b)), F.lit(0.0))
+
+
+def bernstein_paths(points: DataFrame, shares: tuple[float, ...] = (0.0,)) -> DataFrame:
+    """(key, ord, share, place, velocity, acceleration, yaw, yaw_rate) on a smooth path through every row, at shares of the way to the next.
+
+    A track runs from 0 to 1 over its rows. Between two rows the path is the polynomial of degree five, in Bernstein form,
+    that has at both the place, the central difference of places and the central difference of those. Rows on the path
+    are taken at share 0, the last row only so. The yaw rate is the change of yaw from sample to sample. Tracks of one
+    row have none.
+    """
+    w, each = along(), Window.partitionBy(*KEY)
+    axes = [c for c in "xyz" if c in points.columns]
+    rows = points.select(*KEY, "ord", *axes, (1 / F.nullif(F.count(F.lit(1)).over(each) - 1, F.lit(0))).alias("h")).filter("h is not null")
+    rows = rows.withColumns({f"v{c}": kinematics.gradient(F.col(c), w) / F.col("h") for c in axes})
+    rows = rows.withColumns({f"a{c}": kinematics.gradient(F.col(f"v{c}"), w) / F.col("h") for c in axes})
+    rows = rows.withColumns({f"{d}{c}2": F.lead(f"{d}{c}").over(w) for c in axes for d in ("", "v", "a")})
+    rows = rows.withColumn("share", F.explode(F.array(*map(F.lit, shares)))).filter((F.col("share") == 0) | F.col(f"{axes[0]}2").isNotNull())
+    h, t = F.col("h"), F.col("share")
+
+    def fitted(c: str) -> list[Column]:
+        p, v, a, p2, v2, a2 = (F.col(f"{d}{c}{k}") for k in ("", "2") for d in ("", "v", "a"))
+        b = [p, p + h * v / 5, p + 2 * h * v / 5 + h * h * a / 20, p2 - 2 * h * v2 / 5 + h * h * a2 / 20, p2 - h * v2 / 5, p2]
+        slope = [5 * (y - x) / h for x, y in zip(b[:-1], b[1:], strict=True)]
+        bend_ = [4 * (y - x) / h for x, y in zip(slope[:-1], slope[1:], strict=True)]
+        own = lambda at_row, between: F.when(t == 0, at_row).otherwise(between)
+        return [own(p, _bernstein(b, t)).alias(f"f{c}"), own(v, _bernstein(slope, t)).alias(f"fv{c}"), own(a, _bernstein(bend_, t)).alias(f"fa{c}")]
+
+    out = rows.select(*KEY, "ord", "share", *(e for c in axes for e in fitted(c)))
+    out = out.select(*KEY, "ord", "share", *(F.col(f"f{d}{c}").alias(f"{d}{c}") for d in ("", "v", "a") for c in axes))
+    out = out.withColumn("yaw", F.atan2("vy", "vx"))
+    return out.withColumn("yaw_rate", kinematics.gradient(F.col("yaw"), Window.partitionBy(*KEY).orderBy("ord", "share")))

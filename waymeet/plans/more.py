@@ -194,6 +194,36 @@ def jump_smoothed_yaw(spark, sf):
     return r6(shapes.smooth_between_jumps(views.points(spark, sf)).select("id_vehicle", "ord", "yaw_even"), "yaw_even")
 
 
+def _quintic(c: str, d: int) -> str:
+    """The d-th derivative of the Hermite form of degree five: weights of place, slope and bend at both ends, by powers of s."""
+    weights = {f"{c}": (1, 0, 0, -10, 15, -6), f"h * v{c}": (0, 1, 0, -6, 8, -3), f"h * h * a{c}": (0, 0, 0.5, -1.5, 1.5, -0.5),
+               f"{c}2": (0, 0, 0, 10, -15, 6), f"h * v{c}2": (0, 0, 0, -4, 7, -3), f"h * h * a{c}2": (0, 0, 0, 0.5, -1, 0.5)}
+    for _ in range(d):
+        weights = {k: tuple(i * v for i, v in enumerate(w))[1:] for k, w in weights.items()}
+    return "(" + " + ".join(f"{k} * ({' + '.join(f'({v}) * s ** {i}' for i, v in enumerate(w))})" for k, w in weights.items()) + f") / h ** {d}"
+
+
+def _central(c: str) -> str:
+    return f"case when lag({c}) {W} is null then lead({c}) {W} - {c} when lead({c}) {W} is null then {c} - lag({c}) {W} else (lead({c}) {W} - lag({c}) {W}) / 2 end / h"
+
+
+@query(
+    "bernstein_paths",
+    f"""with {P}, n as (select *, 1.0::double / nullif(count(*) over (partition by id_record, id_vehicle) - 1, 0) as h from points),
+    v as (select *, {_central('x')} as vx, {_central('y')} as vy from n where h is not null), a as (select *, {_central('vx')} as ax, {_central('vy')} as ay from v),
+    b as (select *, {', '.join(f'lead({c}) {W} as {c}2' for c in ('x', 'y', 'vx', 'vy', 'ax', 'ay'))} from a),
+    q as (select *, unnest([0.0::double, 0.25::double, 0.5::double]) as s from b),
+    f as (select id_record, id_vehicle, ord, s, {', '.join(f"case when s = 0 then {o}{c} else {_quintic(c, d)} end as f{o}{c}" for c in 'xy' for d, o in enumerate(('', 'v', 'a')))} from q where s = 0 or x2 is not null),
+    y as (select *, atan2(fvy, fvx) as yaw from f)
+    select id_vehicle, ord, s as share, round(fx + 1e-8, 6) as x, round(fy + 1e-8, 6) as y, round(fvx + 1e-6, 4) as vx, round(fvy + 1e-6, 4) as vy, round(yaw + 1e-7, 5) + 0.0 as yaw from y""",
+)
+def bernstein_paths(spark, sf):
+    found = shapes.bernstein_paths(views.points(spark, sf), (0.0, 0.25, 0.5))
+    # many values lie just between two roundings, so both sides are moved off that
+    near = lambda c, n: (F.round(F.col(c) + 10.0 ** (-n - 2), n) + F.lit(0.0)).alias(c)
+    return found.select("id_vehicle", "ord", "share", near("x", 6), near("y", 6), near("vx", 4), near("vy", 4), near("yaw", 5))
+
+
 @query("adaptive_segments")
 def adaptive_segments(spark, sf):
     cut = walks.adaptive_segments(views.points(spark, sf), bent=0.2).filter("segment is not null")
