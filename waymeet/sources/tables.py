@@ -94,8 +94,14 @@ def maneuvers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def split_files(files: DataFrame, share: int = 5) -> DataFrame:
-    """Adds validation: true for one in `share` files, by a hash of the path, so the split never changes."""
-    return files.withColumn("validation", F.pmod(F.xxhash64("path"), F.lit(share)) == 0)
+    """Adds validation: true for one in `share` of the different paths, rounded down but at least one.
+
+    They are the first in the order of a hash of the path, so the same list is always split alike.
+    """
+    paths = files.select("path").filter("path is not null").distinct()
+    most = max(paths.count() // share, 1)
+    drawn = paths.orderBy(F.xxhash64("path"), "path").limit(most).select(F.col("path").alias("drawn"))
+    return files.join(drawn, F.col("path") == F.col("drawn"), "left").withColumn("validation", F.col("drawn").isNotNull()).drop("drawn")
 
 
 def write_points(points: DataFrame, path: str) -> None:
