@@ -565,7 +565,7 @@ def test_queries_agree_with_sql(spark, sf, name):
     import pandas as pd
 
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings", "conversations"):
         con.sql(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
     want, got = con.sql(SQL[name]).df(), QUERIES[name](spark, sf).toPandas()
     cols = sorted(want.columns)
