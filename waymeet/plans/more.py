@@ -224,7 +224,37 @@ def bernstein_paths(spark, sf):
     return found.select("id_vehicle", "ord", "share", near("x", 6), near("y", 6), near("vx", 4), near("vy", 4), near("yaw", 5))
 
 
-@query("adaptive_segments")
+def _slope(v: str) -> str:
+    """Central differences of a list, one-sided at its ends."""
+    return f"list_transform(range(1, len({v}) + 1), lambda m: case when m = 1 then {v}[2] - {v}[1] when m = len({v}) then {v}[m] - {v}[m - 1] else ({v}[m + 1] - {v}[m - 1]) / 2 end)"
+
+
+@query(
+    "adaptive_segments",
+    # row by row: the whole segment so far with this row, its slopes and their slopes; 0 / 0 is no curvature, other / 0 any
+    f"""with recursive {P}, whole as (select id_record, id_vehicle, list(x order by ord) as xs, list(y order by ord) as ys from points group by all),
+    walk as (
+        select id_record, id_vehicle, 0::bigint as i, 0::bigint as start, 0 as segment from whole
+        union all
+        select id_record, id_vehicle, i, case when bent then i else start end, segment + bent::int
+        from (
+            select *, i - start >= 3 and len(list_filter(range(1, len(gx) + 1), lambda m: case when gx[m] ** 2 + gy[m] ** 2 = 0 then gx[m] * ggy[m] - gy[m] * ggx[m] <> 0
+                          else abs(gx[m] * ggy[m] - gy[m] * ggx[m]) / (gx[m] ** 2 + gy[m] ** 2) ** 1.5 > 0.2 end)) > 0 as bent
+            from (
+                select *, {_slope('gx')} as ggx, {_slope('gy')} as ggy
+                from (
+                    select *, {_slope('px')} as gx, {_slope('py')} as gy
+                    from (
+                        select w.id_record, w.id_vehicle, w.i + 1 as i, start, segment, xs[start + 1 : w.i + 2] as px, ys[start + 1 : w.i + 2] as py
+                        from walk w join whole on whole.id_record = w.id_record and whole.id_vehicle = w.id_vehicle where w.i + 1 < len(xs)
+                    )
+                )
+            )
+        )
+    ),
+    counted as (select id_vehicle, segment, count(*) as frames, min(i) as first_ord, segment = max(segment) over (partition by id_record, id_vehicle) as is_last from walk group by id_record, id_vehicle, segment)
+    select id_vehicle, segment, frames, first_ord from counted where not (is_last and frames < 4)""",
+)
 def adaptive_segments(spark, sf):
     cut = walks.adaptive_segments(views.points(spark, sf), bent=0.2).filter("segment is not null")
     return cut.groupBy("id_record", "id_vehicle", F.col("segment").cast("int").alias("segment")).agg(F.count(F.lit(1)).alias("frames"), F.min("ord").alias("first_ord")).drop("id_record")
