@@ -30,6 +30,7 @@ def all_pairs(rows, k):
 @pytest.mark.parametrize("block", [1024, 40])
 def test_neighbours_equal_all_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(anomaly, "BLOCK_ROWS", block)
+    monkeypatch.setattr(anomaly, "ONE_CELL", 64)
     rows = rows_of([("a", 500, 10), ("b", 40, 3), ("c", 90, 90), ("d", 1, 1)]) + [("same", i, [1.0] * 8) for i in range(100)]
     df = spark.createDataFrame(rows, "grp string, id int, embedding array<double>").repartition(3)
     got = {(r["grp"], r["id"], r["other"], r["rank"]) for r in anomaly.knn(df, 7).collect()}
@@ -38,6 +39,7 @@ def test_neighbours_equal_all_pairs(spark, monkeypatch, block):
 
 def test_few_pairs_are_compared_where_vectors_cluster(spark, monkeypatch):
     monkeypatch.setattr(anomaly, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(anomaly, "ONE_CELL", 64)
     rows = rows_of([("a", 3000, 50)])
     df = spark.createDataFrame(rows, "grp string, id int, embedding array<double>")
     pairs = anomaly._compared(df, 10).agg(F.sum("n_pairs")).first()[0]

@@ -27,7 +27,7 @@ def _unit(v: Column) -> Column:
 
 
 #: Vectors of a block, groups up to which size are one cell, and bytes of all pivots, which are broadcast.
-BLOCK_ROWS, ONE_CELL, PIVOT_BYTES = 1024, 64, 16 << 20
+BLOCK_ROWS, ONE_CELL, PIVOT_BYTES = 1024, 1024, 16 << 20
 
 
 @dataclass
