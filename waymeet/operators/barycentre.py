@@ -52,20 +52,66 @@ def warp(track: np.ndarray, mean: np.ndarray) -> tuple[float, np.ndarray, np.nda
     return float(last[n]), rows[:, 0], rows[:, 1]
 
 
+def warp_all(tracks: np.ndarray, mean: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """`warp` for tracks of one length at once: their costs, and the paths backwards as steps (which tracks, their row, the mean's)."""
+    b, n = tracks.shape[:2]
+    m = len(mean)
+    way = np.zeros((n, m, b), np.uint8)
+    before, last = np.full((n + 1, b), np.inf), np.full((n + 1, b), np.inf)
+    before[0] = 0.0
+    rows = tracks.transpose(1, 0, 2)
+    for d in range(n + m - 1):
+        i = np.arange(max(0, d - m + 1), min(n, d + 1))
+        off = rows[i] - mean[d - i][:, None, :]
+        moves = np.stack([before[i], last[i], last[i + 1]])
+        best = moves.argmin(axis=0)
+        way[i, d - i] = best
+        now = np.full((n + 1, b), np.inf)
+        now[i + 1] = np.take_along_axis(moves, best[None], axis=0)[0] + (off * off).sum(axis=2)
+        before, last = last, now
+    who, i, j = np.arange(b), np.full(b, n - 1), np.full(b, m - 1)
+    steps = [(who, i, j)]
+    while True:
+        go = (i > 0) | (j > 0)
+        who, i, j = who[go], i[go], j[go]
+        if not len(who):
+            return last[n], steps
+        step = way[i, j, who]
+        i, j = i - (step != 2), j - (step != 1)
+        steps.append((who, i, j))
+
+
+#: Cells of paths that are worked out at once, a byte each.
+WARP_CELLS = 1 << 24
+
+
 def _round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of what a batch's tracks lay on each place of their barycentres; a row without place has the distances."""
+    """Sums of what a batch's tracks lay on each place of their barycentres; a row without place has the distances.
+
+    Tracks of one cluster and length are laid together.
+    """
     for batch in batches:
-        sums: dict[int, np.ndarray] = {}
-        told: dict[int, list[float]] = {}
-        columns = [batch.column(c).to_pylist() for c in ("label", "points", "mean")]
-        for label, points, mean in zip(*columns, strict=True):
-            track, centre = (np.array([(p["x"], p["y"], p["z"]) for p in part]) for part in (points, mean))
-            cost, i, j = warp(track, centre)
-            at = sums.setdefault(label, np.zeros((len(centre), 4)))
-            np.add.at(at, j, np.column_stack([np.ones(len(i)), track[i]]))
-            told.setdefault(label, []).append(cost)
-        rows = [(label, k, *at[k].tolist(), 0.0, 0) for label, at in sums.items() for k in np.flatnonzero(at[:, 0]).tolist()]
-        rows += [(label, None, 0.0, 0.0, 0.0, 0.0, sum(costs), len(costs)) for label, costs in told.items()]
+        flat = lambda c: np.column_stack([batch.column(c).flatten().field(k).to_numpy(zero_copy_only=False) for k in "xyz"])  # noqa: B023, E731
+        sizes = lambda c: batch.column(c).value_lengths().to_numpy(zero_copy_only=False)  # noqa: B023, E731
+        label, (points, long), (means, wide) = batch.column("label").to_numpy(zero_copy_only=False), *((flat(c), sizes(c)) for c in ("points", "mean"))
+        start, mean_start = np.cumsum(long) - long, np.cumsum(wide) - wide
+        rows: list[tuple] = []
+        for k in np.unique(label).tolist():
+            of = np.flatnonzero(label == k)
+            centre = means[mean_start[of[0]] : mean_start[of[0]] + wide[of[0]]]
+            at, costs = np.zeros((len(centre), 4)), 0.0
+            for n in np.unique(long[of]).tolist():
+                same = of[long[of] == n]
+                for part in np.array_split(same, -(-len(same) * n * len(centre) // WARP_CELLS)):
+                    tracks = points[start[part][:, None] + np.arange(n)]
+                    cost, steps = warp_all(tracks, centre)
+                    costs += float(cost.sum())
+                    who, i, j = (np.concatenate(x) for x in zip(*steps, strict=True))
+                    laid = tracks[who, i]
+                    for c, v in enumerate((None, *laid.T)):
+                        at[:, c] += np.bincount(j, v, len(centre))
+            rows += [(k, p, *at[p].tolist(), 0.0, 0) for p in np.flatnonzero(at[:, 0]).tolist()]
+            rows.append((k, None, 0.0, 0.0, 0.0, 0.0, costs, len(of)))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SUMS, strict=True)] if rows else [pa.array([], f.type) for f in _SUMS], schema=_SUMS)
 
 
