@@ -110,3 +110,11 @@ def test_bernstein_paths_go_through_all_rows_smoothly(spark):
     yaw = [got[1, k, 0.0]["yaw"] for k in range(12)]
     alone = {r["ord"]: r["yaw_rate"] for r in shapes.bernstein_paths(pts.filter("id_vehicle = 1")).collect()}
     assert [alone[k] for k in range(12)] == pytest.approx(np.gradient(yaw).tolist())
+
+
+def test_bernstein_paths_that_stand_still_across_turn_by_half_a_circle_not_by_minus_half(spark):
+    from waymeet.plans import views
+
+    track = views.points(spark, "/root/testdata/sf0.1").filter("id_vehicle = 1332")
+    row = shapes.bernstein_paths(track, (0.0, 0.25, 0.5)).filter("ord = 44 and share = 0.25").first()
+    assert abs(row["vy"]) < 1e-9 and row["yaw"] > 3.14

@@ -246,10 +246,15 @@ def consistent(*, error: Column, frames: Column, seen: Column, expected: Column,
     return F.when(frames < settled, early).otherwise((error < distance) & speeds & straight)
 
 
-def _bernstein(b: list[Column], t: Column) -> Column:
-    """The polynomial with Bernstein coefficients b at t."""
-    n = len(b) - 1
-    return sum((math.comb(n, i) * F.pow(t, F.lit(i)) * F.pow(1 - t, F.lit(n - i)) * c for i, c in enumerate(b)), F.lit(0.0))
+#: What place, slope and bend at a row and at the next weigh on the way between, by powers of the share.
+_ENDS = ((1, 0, 0, -10, 15, -6), (0, 1, 0, -6, 8, -3), (0, 0, 0.5, -1.5, 1.5, -0.5), (0, 0, 0, 10, -15, 6), (0, 0, 0, -4, 7, -3), (0, 0, 0, 0.5, -1, 0.5))
+
+
+def _by_powers(t: Column, weights: tuple[float, ...], d: int) -> Column:
+    """The d-th derivative of a polynomial."""
+    for _ in range(d):
+        weights = tuple(i * w for i, w in enumerate(weights))[1:]
+    return sum((F.lit(float(w)) * F.pow(t, F.lit(float(i))) for i, w in enumerate(weights) if i), F.lit(float(weights[0])))
 
 
 def bernstein_paths(points: DataFrame, shares: tuple[float, ...] = (0.0,)) -> DataFrame:
@@ -271,11 +276,10 @@ def bernstein_paths(points: DataFrame, shares: tuple[float, ...] = (0.0,)) -> Da
 
     def fitted(c: str) -> list[Column]:
         p, v, a, p2, v2, a2 = (F.col(f"{d}{c}{k}") for k in ("", "2") for d in ("", "v", "a"))
-        b = [p, p + h * v / 5, p + 2 * h * v / 5 + h * h * a / 20, p2 - 2 * h * v2 / 5 + h * h * a2 / 20, p2 - h * v2 / 5, p2]
-        slope = [5 * (y - x) / h for x, y in zip(b[:-1], b[1:], strict=True)]
-        bend_ = [4 * (y - x) / h for x, y in zip(slope[:-1], slope[1:], strict=True)]
+        # the Bernstein form by its weights at both ends, so that a coordinate that stands still has slopes of one sign on all engines
+        hermite = lambda d: sum((x * _by_powers(t, w, d) for x, w in zip((h * v, h * h * a, p2, h * v2, h * h * a2), _ENDS[1:], strict=True)), p * _by_powers(t, _ENDS[0], d)) / F.pow(h, F.lit(float(d)))
         own = lambda at_row, between: F.when(t == 0, at_row).otherwise(between)
-        return [own(p, _bernstein(b, t)).alias(f"f{c}"), own(v, _bernstein(slope, t)).alias(f"fv{c}"), own(a, _bernstein(bend_, t)).alias(f"fa{c}")]
+        return [own(p, hermite(0)).alias(f"f{c}"), own(v, hermite(1)).alias(f"fv{c}"), own(a, hermite(2)).alias(f"fa{c}")]
 
     out = rows.select(*KEY, "ord", "share", *(e for c in axes for e in fitted(c)))
     out = out.select(*KEY, "ord", "share", *(F.col(f"f{d}{c}").alias(f"{d}{c}") for d in ("", "v", "a") for c in axes))
