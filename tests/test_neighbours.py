@@ -51,3 +51,14 @@ def test_vectors_that_are_none_take_no_part(spark):
     got = anomaly.knn(spark.createDataFrame(rows, "grp string, id int, embedding array<double>"), 3).collect()
     assert {(r["id"], r["other"], r["d"]) for r in got} == {(6, 7, 1.0), (7, 6, 1.0)}
     assert anomaly.knn(spark.createDataFrame([], "grp string, id int, embedding array<double>"), 3).collect() == []
+
+
+def test_chunks_equal_all_pairs_and_leave_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(anomaly, "ONE_CELL", 64)
+    monkeypatch.setattr(anomaly, "CHUNK_ROWS", 150)
+    rows = rows_of([("a", 500, 500), ("b", 400, 2)])
+    df = spark.createDataFrame(rows, "grp string, id int, embedding array<double>")
+    got = {(r["grp"], r["id"], r["other"], r["rank"]) for r in anomaly.knn(df, 7).collect()}
+    assert got == all_pairs(rows, 7)
+    met = anomaly._compared(df, 7).groupBy("grp", "id").count().groupBy("grp").agg(F.max("count")).collect()
+    assert all(n <= 7 * (1 + 4) for _, n in met)  # its own cell, then at most four chunks

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..storage import store
+from .near_frames import groups
 from .tracks import KEY, ego
 
 
@@ -29,6 +30,9 @@ def _unit(v: Column) -> Column:
 #: Vectors of a block, groups up to which size are one cell, and bytes of all pivots, which are broadcast.
 BLOCK_ROWS, ONE_CELL, PIVOT_BYTES = 1024, 1024, 16 << 20
 
+#: Vectors of a chunk of cells, about; two chunks are what a task holds.
+CHUNK_ROWS = 16_384
+
 
 @dataclass
 class Cells:
@@ -99,8 +103,8 @@ def knn(vectors: DataFrame, k: int = 20) -> DataFrame:
 
     Vectors are scaled to length one, where distance and cosine distance have one order, and dealt to the cells of
     pivots. Blocks of a cell meet one another first, which bounds how far a vector's k-th neighbour can be; then they
-    meet the blocks of other cells that may hold something nearer. Blocks are compared by one matrix product and only
-    the k nearest leave it. Vectors of length zero, or with components that are no numbers, take no part.
+    meet the blocks of other cells that may hold something nearer, chunk of cells by chunk of cells. Blocks are compared
+    by one matrix product and only the k nearest leave a chunk. Vectors of length zero, or with components that are no numbers, take no part.
     """
     return _merged(_compared(vectors, k), k)
 
@@ -146,19 +150,14 @@ def _compared(vectors: DataFrame, k: int) -> DataFrame:
                 order = np.empty(len(row["b_ids"]), np.int64)
                 order[sorted(range(len(order)), key=row["b_ids"].__getitem__)] = np.arange(len(order))
                 may = np.ones((len(a), len(c)), bool)
-                if row["within"] is not None:
-                    may &= shared.value.may_hold(row["grp"], a, np.array(row["within"]))[:, row["b_cell"], None]
                 met = int(may.sum())
                 p, q, d = _nearest(a, c, row["same"], order, k, may)
-                if row["within"] is not None:  # nothing farther than the bound is needed
-                    near = np.sqrt(2 * np.maximum(d, 0)) <= np.array(row["within"])[p] + 1e-6
-                    p, q, d = p[near], q[near], d[near]
                 rest = [pa.array([row[c]] * len(p), pa.int64()) for c in ("cell", "block")]
                 count = pa.array([met if n == 0 else 0 for n in range(len(p))], pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([row["grp"]] * len(p), g), pa.array([row["ids"][n] for n in p], i), pa.array([row["b_ids"][n] for n in q], i), pa.array(d, pa.float64()), *rest, count], names=["grp", "id", "other", "d", "cell", "block", "n_pairs"])
 
     inside = blocks.join(b, (F.col("grp") == F.col("b_grp")) & (F.col("cell") == F.col("b_cell")))
-    first = inside.withColumns({"same": F.col("block") == F.col("b_block"), "within": F.lit(None).cast("array<double>")})
+    first = inside.withColumn("same", F.col("block") == F.col("b_block"))
     first = store(first.mapInArrow(meet, out), "first")
     if not cells.pivots:
         return first
@@ -170,18 +169,54 @@ def _compared(vectors: DataFrame, k: int) -> DataFrame:
     within = within.select(F.col("grp").alias("w_grp"), F.col("cell").alias("w_cell"), F.col("block").alias("w_block"), F.col("w.within").alias("within"))
     asking = store(blocks.join(within, (F.col("grp") == F.col("w_grp")) & (F.col("cell") == F.col("w_cell")) & (F.col("block") == F.col("w_block"))).select(*blocks.columns, "within"), "asking")
 
-    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["grp"] in shared.value.pivots:
-                    hit = np.flatnonzero(shared.value.may_hold(row["grp"], _matrix(row["u"], len(row["ids"])), np.array(row["within"])).any(axis=0))
-                    to = pa.array(hit[hit != row["cell"]], pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array([row["grp"]] * len(to), g), *(pa.array([row[c]] * len(to), pa.int64()) for c in ("cell", "block")), to], names=["q_grp", "q_cell", "q_block", "to"])
-
-    asked = asking.mapInArrow(wanted, f"q_{names[0]}, q_cell long, q_block long, to long")
-    pairs = asking.join(asked, (F.col("grp") == F.col("q_grp")) & (F.col("cell") == F.col("q_cell")) & (F.col("block") == F.col("q_block")))
-    pairs = pairs.join(b, (F.col("grp") == F.col("b_grp")) & (F.col("to") == F.col("b_cell"))).withColumn("same", F.lit(False)).drop("q_grp", "q_cell", "q_block", "to")
-    return first.unionByName(pairs.mapInArrow(meet, out))
+    # cells are dealt to chunks, and every two chunks of a group meet in one task: a block goes to each chunk once
+    # and not to each block, and of what a vector meets in a chunk only its k nearest leave the task
+    number = F.ceil(F.sum("n").over(Window.partitionBy("grp")) / CHUNK_ROWS)
+    chunks = sizes.withColumns({"chunks": number, "chunk": F.pmod(F.xxhash64("cell"), number)}).select(F.col("grp").alias("c_grp"), F.col("cell").alias("c_cell"), "chunk", "chunks")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("to")
+
+    def sent(df: DataFrame, asks: bool, within: Column) -> DataFrame:
+        dealt_ = df.join(chunks, (F.col("grp") == F.col("c_grp")) & (F.col("cell") == F.col("c_cell")))
+        dealt_ = dealt_.select("grp", "cell", "block", "ids", "u", within.alias("within"), F.lit(asks).alias("asks"), "chunk", every)
+        own, to = ("chunk_a", "chunk_b") if asks else ("chunk_b", "chunk_a")
+        return dealt_.withColumnsRenamed({"chunk": own, "to": to})
+
+    key = ("grp", "chunk_a", "chunk_b")
+    many = F.col("grp").isin(list(cells.pivots))
+    both = sent(asking.filter(many), True, F.col("within")).unionByName(sent(blocks.filter(many), False, F.lit(None).cast("array<double>")))
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, key):
+            asks, cell, block = (table.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "cell", "block"))
+            ids = table.column("ids").combine_chunks()
+            start, every_id = ids.offsets.to_numpy(), ids.values
+            order = np.unique(every_id.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+            u = lambda r: table.column("u")[int(r)].values.to_numpy().reshape(start[r + 1] - start[r], -1)  # noqa: B023, E731
+            grp, others = table.column("grp")[0].as_py(), [(r, u(r)) for r in np.flatnonzero(~asks)]
+            for r in np.flatnonzero(asks):
+                mine, within_r = u(r), table.column("within")[int(r)].values.to_numpy()
+                hold, met, found = shared.value.may_hold(grp, mine, within_r), 0, []
+                for s, theirs in others:
+                    some = np.flatnonzero(hold[:, cell[s]])
+                    if cell[s] == cell[r] or not len(some):
+                        continue
+                    met += len(some) * len(theirs)
+                    p, q, d = _nearest(mine[some], theirs, False, order[start[s] : start[s + 1]], k, np.ones((len(some), len(theirs)), bool))
+                    near = np.sqrt(2 * np.maximum(d, 0)) <= within_r[some[p]] + 1e-6  # nothing farther than the bound is needed
+                    found.append((some[p][near], start[s] + q[near], d[near]))
+                if not found:
+                    continue
+                p, q, d = (np.concatenate(v) for v in zip(*found, strict=True))
+                at = np.lexsort((order[q], d, p))
+                p, q, d = p[at], q[at], d[at]
+                best = np.arange(len(p)) - np.searchsorted(p, p) < k
+                p, q, d = p[best], q[best], d[best]
+                rest = [pa.array(np.full(len(p), v[r]), pa.int64()) for v in (cell, block)]
+                count = pa.array(np.where(np.arange(len(p)) == 0, met, 0), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([grp] * len(p), g), every_id.take(pa.array(start[r] + p)), every_id.take(pa.array(q)), pa.array(d, pa.float64()), *rest, count], names=["grp", "id", "other", "d", "cell", "block", "n_pairs"])
+
+    both = both.select(*key, "cell", "block", "ids", "u", "within", "asks").repartition(*key).sortWithinPartitions(*key)
+    return first.unionByName(both.mapInArrow(visit, out))
 
 
 def _merged(found: DataFrame, k: int) -> DataFrame:
