@@ -60,3 +60,12 @@ def test_steps_of_all_lengths_cross_as_by_brute_force(spark):
                 if 0 <= f <= 1 and 0 <= g <= 1 and abs(p[3] + round(f * (p2[3] - p[3])) - q[3] - round(g * (q2[3] - q[3]))) <= within:
                     want.add((p[1], q[1], p[2], q[2]))
     assert got == want and len(want) > 30
+
+
+def test_vectors_are_compared_once_for_all_factors(spark):
+    from waymeet.operators import anomaly
+
+    rows = [(g, i, [float(i % 7) + 0.1, float(i % 5), float(i)]) for g in (0, 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "grp int, id long, embedding array<double>")
+    plan = anomaly.local_outlier_factor(df, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and not any(line.count("Window [count") for line in plan.splitlines())

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..storage import store
+from ..storage import bounded, store
 from .near_frames import groups
 from .tracks import KEY, ego
 
@@ -229,8 +229,9 @@ def local_outlier_factor(vectors: DataFrame, k: int = 20, threshold: float = 1.5
 
     Groups of k or fewer vectors score 0 and have no anomalies.
     """
-    sized = vectors.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("grp")))
-    near = knn(sized.filter(F.col("size") > k), k)
+    sizes = bounded(vectors.groupBy(F.col("grp").alias("s_grp")).agg(F.count(F.lit(1)).alias("size")), 64)
+    sized = vectors.join(sizes, F.col("grp").eqNullSafe(F.col("s_grp"))).drop("s_grp")
+    near = store(knn(sized.filter(F.col("size") > k), k), "nearest")  # read four times
     reach = near.groupBy("grp", "id").agg(F.max("d").alias("k_distance"))
     right = reach.select(F.col("grp").alias("g2"), F.col("id").alias("other2"), "k_distance")
     pairs = near.join(right, (F.col("grp") == F.col("g2")) & (F.col("other") == F.col("other2"))).drop("g2", "other2")
