@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..storage import store
 from . import matching, tracks
+from .link_match import match_links
 from .tracks import KEY
 
 
@@ -34,8 +35,7 @@ def link(points: DataFrame, limits: dict[str, float], *, within_us: int = 1_500_
     ends = points.groupBy("id_record", F.col("id_vehicle").alias("id")).agg(
         F.count(F.lit(1)).alias("n"), F.min_by("class_name", "ord").alias("class_name"), *map(first, state), *map(last, state), *(F.avg(c).alias(c) for c in ("length", "width", "height"))
     )
-    costs = matching.link_candidates(ends.filter(F.col("n") >= least).drop("n"), limits, within_us)
-    found = matching.greedy_match(costs, ["id_record"]).select("id_record", "i", "j")
+    found = match_links(ends.filter(F.col("n") >= least).drop("n"), limits, within_us)
     return matching.chains(found, ["id_record"]).select("id_record", F.col("i").alias("id_vehicle"), F.col("root").alias("into"))
 
 
