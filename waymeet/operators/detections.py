@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes
 from ..storage import bounded, store
-from .walks import each_track
+from .near_frames import runs
 
 BOX = ("x1", "y1", "x2", "y2")
 
@@ -18,25 +21,72 @@ def suppress(found: DataFrame, *, iou: float = 0.65, conf: float = 0.25, most_in
 
     Candidates are the most_in best of a frame and results its most_out best; both are the operator's own limits.
     """
-    best = Window.partitionBy("frame_id").orderBy(F.desc("conf"), "det_id", *BOX)
-    rows = found.filter(F.col("conf") > conf).withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= most_in).drop("rn")
-
-    def alive(at: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        b = np.stack([at[c] for c in BOX], axis=1)
-        b = b + at["cls"][:, None] * 2 * (abs(b).max() + 1)  # classes side by side, so they cannot overlap
-        size = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
-        left = np.ones(len(b), bool)
-        for k in range(len(b)):
-            if left[k]:
-                wh = np.minimum(b[k, 2:], b[k + 1 :, 2:]) - np.maximum(b[k, :2], b[k + 1 :, :2])
-                both = np.prod(np.clip(wh, 0, None), axis=1)
-                left[k + 1 :] &= ~(both > iou * (size[k] + size[k + 1 :] - both))
-        return {"alive": left}
-
-    rest = [c for c in rows.columns if c != "frame_id"]
-    judged = each_track(rows, rest, alive, "alive boolean", key=("frame_id",), order=(F.desc("conf"), "det_id", *BOX))
-    kept = judged.filter("alive").select(*rows.columns)
-    return kept.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= most_out).drop("rn")
+    rows = found.filter(F.col("conf") > conf).withColumn("frame_id", F.col("frame_id").cast("long"))
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in _whole_frames(batches):
+            at, ids = {c: whole.column(c).to_numpy() for c in ("cls", *BOX)}, _frame_ids(whole)
+            frame = np.cumsum(np.r_[False, ids[1:] != ids[:-1]])
+            fits = np.flatnonzero(_nth(frame) < most_in)
+            alive = fits[_best(frame[fits], at["cls"][fits], np.stack([at[c][fits] for c in BOX], axis=1), iou)]
+            yield from whole.take(pa.array(alive[_nth(frame[alive]) < most_out])).combine_chunks().to_batches()
+
+    return rows.repartition("frame_id").sortWithinPartitions("frame_id", F.desc("conf"), "det_id", *BOX).mapInArrow(judged, rows.schema)
+
+
+def _frame_ids(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
+    """Rows without a frame are a frame, the first."""
+    return np.asarray(rows.column("frame_id").fill_null(-(1 << 63)))
+
+
+def _whole_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of many frames, none of which is cut."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = _frame_ids(batch)
+        cut = int(np.searchsorted(ids, ids[-1]))  # where the last frame begins, which may go on
+        if held and (cut or _frame_ids(held[-1])[0] != ids[0]):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)] if cut else held)
+            held = []
+        elif cut:
+            yield pa.Table.from_batches([batch.slice(0, cut)])
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _nth(group: np.ndarray) -> np.ndarray:
+    """The place of each row in its group, from 0; groups are runs."""
+    start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]][: len(group)])
+    return np.arange(len(group)) - np.repeat(start, np.diff(np.r_[start, len(group)]))
+
+
+def _best(frame: np.ndarray, cls: np.ndarray, box: np.ndarray, iou: float) -> np.ndarray:
+    """Rows that no better one of their frame and class that stays overlaps by more than iou; better ones come first.
+
+    The first boxes of all frames and classes are laid on those after them at once, then the second ones that are left.
+    """
+    order = np.lexsort((cls, frame))
+    f, c, b = frame[order], cls[order], box[order].T.copy()
+    size = (b[2] - b[0]) * (b[3] - b[1])
+    start = np.flatnonzero(np.r_[True, (f[1:] != f[:-1]) | (c[1:] != c[:-1])][: len(f)])
+    end = np.repeat(np.r_[start[1:], len(f)], np.diff(np.r_[start, len(f)]))
+    alive, first = np.ones(len(f), bool), start
+    ends = end[start]
+    while len(first):
+        n = ends - first - 1
+        p, q = np.repeat(first, n), runs(first + 1, n)
+        some = alive[q]
+        p, q = p[some], q[some]
+        both = np.clip(np.minimum(b[2][p], b[2][q]) - np.maximum(b[0][p], b[0][q]), 0, None) * np.clip(np.minimum(b[3][p], b[3][q]) - np.maximum(b[1][p], b[1][q]), 0, None)
+        alive[q[both > iou * (size[p] + size[q] - both)]] = False
+        # the next of each group that is left
+        left = np.r_[np.flatnonzero(alive), len(f)]
+        after = left[np.searchsorted(left, first + 1)]
+        first, ends = after[after < ends], ends[after < ends]
+    return np.sort(order[alive])
 
 
 def overlaps(found: DataFrame, truth: DataFrame) -> DataFrame:
