@@ -43,3 +43,27 @@ def test_a_box_of_no_place_leaves_its_frame_alone(spark):
     rows = [(None, 4, 0, 0.9, 0.0, 0.0, 10.0, 10.0), (None, 5, 0, 0.8, 0.0, 0.0, 10.0, 10.0), (1, 1, 0, 0.9, 0.0, 0.0, 10.0, 10.0), (1, 2, 0, 0.8, 1.0, 0.0, 10.0, 10.0), (1, 3, 0, 0.7, None, 0.0, 10.0, 10.0)]
     found = spark.createDataFrame(rows, "frame_id long, det_id long, cls int, conf double, x1 double, y1 double, x2 double, y2 double")
     assert sorted(r["det_id"] for r in detections.suppress(found).collect()) == [1, 3, 4]
+
+
+def test_ranges_hold_no_more_of_a_larger_table(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from waymeet import storage
+
+    monkeypatch.setattr(storage.tasks_for, "__defaults__", (100,))
+    rng = np.random.default_rng(3)
+    rows = [(int(k % 2), float(rng.integers(0, 5)) / 5, k, bool(rng.integers(0, 2))) for k in range(2000)]
+    judged = spark.createDataFrame([*rows, *rows[:3]], "cls int, conf double, det_id long, tp boolean")
+    truth = judged.filter("tp").groupBy("cls").agg((F.count(F.lit(1)) + 50).alias("n_truth"))
+    pr = detections.precision_recall(judged, truth)
+    assert pr.groupBy("part").count().agg(F.max("count")).first()[0] < 400
+    got = {r["cls"]: r["ap"] for r in detections.average_precision(judged, truth).collect()}
+    for cls in (0, 1):
+        mine = sorted((r for r in [*rows, *rows[:3]] if r[0] == cls), key=lambda r: (-r[1], r[2]))
+        tp = np.cumsum([r[3] for r in mine])
+        recall, precision = tp / (tp[-1] + 50), tp / np.arange(1, len(mine) + 1)
+        env = np.maximum.accumulate(precision[::-1])[::-1]
+        at, first = np.unique(recall, return_index=True)
+        xs, ys = np.r_[0.0, at] if at[0] > 0 else at, np.r_[1.0, env[first]] if at[0] > 0 else env[first]
+        y = np.where(np.arange(101) / 100 > xs[-1], 0.0, np.interp(np.arange(101) / 100, xs, ys))
+        assert abs(got[cls] - (y.sum() - (y[0] + y[-1]) / 2) / 100) < 1e-9

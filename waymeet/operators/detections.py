@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes
-from ..storage import bounded, store
+from ..storage import bounded, store, tasks_for
 from .near_frames import runs
 
 BOX = ("x1", "y1", "x2", "y2")
@@ -109,10 +109,10 @@ def confusion(found: DataFrame, truth: DataFrame, *, iou: float = 0.45, conf: fl
     return hit.unionByName(missed).unionByName(extra).groupBy("cls", "t_cls").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _ranged(judged: DataFrame) -> DataFrame:
-    """judged by falling confidence in ranges that may cut a class anywhere, with the number of the range as part."""
-    parts = int(judged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return store(judged.repartitionByRange(parts, "cls", F.desc("conf"), "det_id").withColumn("part", F.spark_partition_id()), "judged")
+def _ranged(judged: DataFrame) -> tuple[DataFrame, int]:
+    """judged by falling confidence in ranges that may cut a class anywhere, with the number of the range as part; and how many."""
+    parts = tasks_for(judged.sparkSession, judged.count())
+    return store(judged.repartitionByRange(parts, "cls", F.desc("conf"), "det_id").withColumn("part", F.spark_partition_id()), "judged"), parts
 
 
 def precision_recall(judged: DataFrame, truth_counts: DataFrame) -> DataFrame:
@@ -120,12 +120,12 @@ def precision_recall(judged: DataFrame, truth_counts: DataFrame) -> DataFrame:
 
     Sums run inside ranges of a class and over the ranges' totals, so a class of any size is spread over many tasks.
     """
-    rows = _ranged(judged)
+    rows, parts = _ranged(judged)
     before = Window.partitionBy("cls").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy("part", "cls").agg(F.sum(F.col("tp").cast("long")).alias("tps"), F.count(F.lit(1)).alias("ns"))
     totals = totals.select("part", "cls", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("tps", "ns")))
     w = Window.partitionBy("part", "cls").orderBy(F.desc("conf"), "det_id").rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.join(bounded(totals, 40), ["part", "cls"])
+    out = rows.repartitionById(parts, "part").join(bounded(totals, 40), ["part", "cls"])
     out = out.withColumns({"tp_sum": F.sum(F.col("tp").cast("long")).over(w) + F.col("tps"), "n_sum": F.count(F.lit(1)).over(w) + F.col("ns")}).drop("tps", "ns")
     out = out.join(bounded(truth_counts, 16), "cls")
     return out.withColumns({"precision": F.col("tp_sum") / F.col("n_sum"), "recall": F.col("tp_sum") / F.col("n_truth")})
@@ -134,19 +134,21 @@ def precision_recall(judged: DataFrame, truth_counts: DataFrame) -> DataFrame:
 def average_precision(judged: DataFrame, truth_counts: DataFrame, points: int = 101) -> DataFrame:
     """(cls, ap): area under the falling envelope of precision, read at equal steps of recall and summed by trapezoids.
 
-    Every row of the envelope goes to the one step that it is next to, so a class is read in one row a step.
+    Every row of the envelope goes to the one step that it is next to, so a class is read in one row a step. Recall rises
+    and the envelope falls along a class, so a step needs the ends of both; rows that leave recall as it is are below.
     """
     pr = precision_recall(judged, truth_counts)
     later = Window.partitionBy("cls").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
     tops = pr.groupBy("part", "cls").agg(F.max("precision").alias("top")).select("part", "cls", F.max("top").over(later).alias("top"))
-    after = Window.partitionBy("part", "cls").orderBy(F.asc("conf"), F.desc("det_id")).rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy("part", "cls").orderBy(F.desc("n_sum")).rowsBetween(Window.unboundedPreceding, 0)
     env = pr.join(bounded(tops, 32), ["part", "cls"]).withColumn("env", F.greatest(F.max("precision").over(after), "top"))
-    env = env.groupBy("cls", "recall").agg(F.max("env").alias("env"))
+    env = env.filter("tp or n_sum = 1")
     last = points - 1
     at = F.ceil(F.col("recall") * last).cast("int")
     at = F.when((at - 1) / last >= F.col("recall"), at - 1).when(at / last < F.col("recall"), at + 1).otherwise(at)
-    pair = F.struct("recall", "env")
-    steps = env.groupBy("cls", at.alias("k")).agg(F.max(pair).alias("lo"), F.min(pair).alias("hi"))
+    ends = env.groupBy("cls", at.alias("k")).agg(*(f(c).alias(f"{n}_{c}") for f, n in ((F.min, "least"), (F.max, "most")) for c in ("recall", "env")))
+    pair = lambda r, e: F.struct(F.col(r).alias("recall"), F.col(e).alias("env"))
+    steps = ends.select("cls", "k", pair("most_recall", "least_env").alias("lo"), pair("least_recall", "most_env").alias("hi"))
     # a row is at or below the steps from its own on, and above all before it
     grid = truth_counts.select("cls", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("k"))
     grid = grid.join(steps, ["cls", "k"], "full")
